@@ -3,11 +3,12 @@
 Fixed values: the patterns, lists and thresholds of this module decide what
 counts as a finding, so they are kept as plain text.
 
-Three conventions apply to all patterns here:
+Four conventions apply to all patterns here:
 
 * Word boundaries are ASCII only, spelled as look-arounds, because the Java
   ``\\b`` follows Unicode.
 * ``BLANK`` is the body of a character class with every Unicode blank.
+* A ``*_GATE`` is a cheap necessary condition for the pattern of the same name.
 * Line ends are spelled as look-arounds, so one pass over a whole text gives the
   matches a line-by-line pass would give.
 """
@@ -39,22 +40,27 @@ EMAIL_INSIDE_URL = r"://[^" + BLANK + r"/@]{0,197}\z"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = r"(?<![\w.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\w|\.\d)"
+IPV4_GATE = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 IPV4_NO_INFORMATION = r"\A(?:127\.|0\.0\.0\.0\z|255\.255\.255\.255\z)"
 IPV4_IS_VERSION = r"(?i)version\W{0,3}\z"
 
+IPV6_GATE = r":[0-9A-Fa-f]{0,4}:"
 IPV6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"
 
 CARD = (
     r"(?<![\d-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})??|\d{4}([ -]?)\d{6}\2\d{4,5}|\d{13,19})(?![\d-])"
 )
+CARD_GATE = r"[0-9](?:[ -]?[0-9]){12}"
 CARD_ISSUER = r"\A(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6)"
 
 IBAN = WORD_START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + WORD_END
+IBAN_GATE = r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]"
 
 PHONE = (
     r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}"
     r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]|\.\d)"
 )
+PHONE_GATE = r"\+[0-9]|\([0-9]{3}\)|[0-9]-[0-9]{3}-[0-9]{4}"
 
 # ---- credentials in headers and addresses ----
 # groups: 1 everything before the token, 2 and 3 the scheme word, 4 the token
@@ -62,6 +68,7 @@ AUTH_HEADER = (
     r"(?i)(" + WORD_START + r"(?:authorization[ \t]*[\"']?[ \t]*[:=][ \t]*[\"']?(bearer|basic|token)[ \t]+"
     r"|(bearer)[ \t]+))([A-Za-z0-9\-._~+/]{12,}=*)"
 )
+AUTH_GATE = r"(?i)bearer|authorization"
 # groups: 1 everything before the password, 2 the scheme, 3 the password
 URL_LOGIN = (
     r"(?i)(" + WORD_START + r"([a-z][a-z0-9+.-]{1,20})://[^" + BLANK + r":@/?#'\"]+:)"
@@ -77,18 +84,26 @@ _BREAK = r"\n\r\u2028\u2029"
 _NAME = r"[A-Za-z_][\w.-]*+"
 _TAIL = r"[ \t]*,?[ \t]*\r?(?![^" + _BREAK + r"])"
 _HEAD = r"(?<![^" + _BREAK + r"])[ \t]*(?:export[ \t]+)?"
-# A whole-line assignment matches only up to its value (the value sits in a
-# look-ahead), so pairs inside the value are found by the same pass.
-# groups: 1, 2 whole line; 3, 4 JSON; 5, 6, 7, 8 inline (quoted, bare, next char)
+# A whole-line assignment matches only up to its value (the value sits in the
+# look-ahead, group 1), so pairs inside the value are found by the same pass.
+# A JSON member and an inline pair match as a whole.
 ASSIGNMENT = (
-    _HEAD + r"(" + _NAME + r")[ \t]*[:=][ \t]*[\"']?+"
+    _HEAD + _NAME + r"[ \t]*[:=][ \t]*[\"']?+"
     r"(?=((?<=\")[^\"\n]+(?=\"" + _TAIL + r")|(?<=')[^'\n]+(?='" + _TAIL + r")"
     r"|(?<![\"'])[^" + BLANK + r"\"'][^" + BLANK + r"]*?(?=" + _TAIL + r")))"
     r"|" + _HEAD + _NAME + r"[ \t]*[:=][ \t]*(?:\"\"|'')" + _TAIL
-    + r"|(?<![\w.-])\"(" + _NAME + r")\"[ \t]*:[ \t]*\"((?:[^\"\\\n]|\\" + DOT + r")*+)\""
-    r"|(?<![\w.-])(" + _NAME + r")[ \t]*=[ \t]*"
-    r"(?:[\"']((?<=\")[^\"\n]*(?=\")|(?<=')[^'\n]*(?='))[\"']"
-    r"|([^" + BLANK + r"\"'<>,;&()]+)(?=(\(?)))"
+    + r"|(?<![\w.-])\"" + _NAME + r"\"[ \t]*:[ \t]*\"(?:[^\"\\\n]|\\" + DOT + r")*+\""
+    r"|(?<![\w.-])" + _NAME + r"[ \t]*=[ \t]*"
+    r"(?:\"[^\"\n]*\"|'[^'\n]*'|[^" + BLANK + r"\"'<>,;&()]+)"
+)
+# the parts of a match: key of a line or pair, key and value of a member, value of a pair
+ASSIGNED_KEY = r"\A[ \t]*(?:export[ \t]+)?(" + _NAME + r")[ \t]*[:=]"
+MEMBER = r"(?s)\A\"([^\"]*)\"[ \t]*:[ \t]*\"(.*)\"\z"
+PAIR_VALUE = r"(?s)\A[\w.-]+[ \t]*=[ \t]*([\"']?)(.*)\1\z"
+# no named secret and no high-entropy value without one of these
+ASSIGNMENT_GATE = (
+    r"(?=[CKPSTckpst])(?i:p(?:ass|wd|rivate)|secret|token|credential|key)[\w.-]*+\"?[ \t]*+[:=]"
+    r"|[:=][ \t]*+[\"']?[\w+/=.~-]{20}"
 )
 NOT_A_VALUE = (
     r"(?i)\A(?:\*+|x+|\.\.\.|<[^>]*>|\[[^\]]*\]|\$\{?[\w.]+\}?|%\w+%|\{\{" + DOT + r"*\}\}"

@@ -16,31 +16,32 @@ _CHUNK_BITS = 12
 _WINDOW = 256
 
 
-def _all(text: Column, pattern: Column | str, group: int) -> Column:
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.regexp_extract_all(text, regex, F.lit(group))
-
-
 def find_all(
     text: Column,
     pattern: Column | str,
     groups: Mapping[str, int] | None = None,
+    optional: Mapping[str, tuple[Column, int]] | None = None,
     keep: Callable[[Column], Column] | None = None,
 ) -> Column:
-    """All matches as ``array<struct<start, end, match, before, <groups>>>``.
+    """All matches as ``array<struct<start, end, match, before, after, <groups>>>``.
 
-    ``before`` is the text between the previous match and this one. Offsets are
+    ``before`` and ``after`` are the texts up to the neighbouring matches.
+    ``optional`` groups are only read where their condition holds. Offsets are
     the running lengths of the pieces around the matches; a text without a match
     costs one regex pass and gives null. ``pattern`` must not match empty text.
     """
-    groups = dict(groups or {})
+    groups, optional = dict(groups or {}), dict(optional or {})
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def with_offsets(found: Column) -> Column:
         parts = F.struct(
             found.alias("match"),
             F.split(text, regex, F.lit(-1)).alias("gap"),
-            *[_all(text, regex, g).alias(name) for name, g in groups.items()],
+            *[F.regexp_extract_all(text, regex, F.lit(g)).alias(name) for name, g in groups.items()],
+            *[
+                F.when(wanted, F.regexp_extract_all(text, regex, F.lit(g))).alias(name)
+                for name, (wanted, g) in optional.items()
+            ],
         )
 
         def build(p: Column) -> Column:
@@ -54,7 +55,8 @@ def find_all(
                     e.alias("end"),
                     F.get(p["match"], i).alias("match"),
                     F.get(p["gap"], i).alias("before"),
-                    *[F.get(p[name], i).alias(name) for name in groups],
+                    F.get(p["gap"], i + 1).alias("after"),
+                    *[F.get(p[name], i).alias(name) for name in (*groups, *optional)],
                 ),
             )
 
@@ -62,7 +64,7 @@ def find_all(
         return F.filter(rows, keep) if keep is not None else rows
 
     return let(
-        _all(text, regex, 0),
+        F.regexp_extract_all(text, regex, F.lit(0)),
         lambda found: F.when(F.size(found) > 0, with_offsets(found)),
     )
 

@@ -10,11 +10,8 @@ from veilspark.functions import patterns as P
 from veilspark.functions.text import find_all
 from veilspark.operators.candidates import SEQ, candidate
 
-_GROUPS = {
-    "line_key": 1, "line_value": 2,
-    "json_key": 3, "json_value": 4,
-    "pair_key": 5, "pair_quoted": 6, "pair_bare": 7, "next_char": 8,
-}
+def _has_operator(text: Column) -> Column:
+    return text.contains("=") | text.contains(":")
 
 
 def pairs(text: Column) -> Column:
@@ -26,25 +23,31 @@ def pairs(text: Column) -> Column:
     """
 
     def row(m: Column) -> Column:
-        whole, member = m["line_key"] != "", m["json_key"] != ""
-        quoted = m["pair_quoted"] != ""
-        value = F.concat(m["line_value"], m["json_value"], m["pair_quoted"], m["pair_bare"])
+        match = m["match"]
+        whole, member = m["line_value"] != "", match.startswith('"')
+        key = F.when(member, F.regexp_extract(match, P.MEMBER, 1)).otherwise(
+            F.regexp_extract(match, P.ASSIGNED_KEY, 1)
+        )
+        value = (
+            F.when(whole, m["line_value"])
+            .when(member, F.regexp_extract(match, P.MEMBER, 2))
+            .otherwise(F.regexp_extract(match, P.PAIR_VALUE, 2))
+        )
+        quoted = F.regexp_extract(match, P.PAIR_VALUE, 1) != ""
         end = (
-            F.when(whole, m["end"] + F.length(value))
-            .when(member | quoted, m["end"] - 1)
-            .otherwise(m["end"])
+            F.when(whole, m["end"] + F.length(value)).when(member | quoted, m["end"] - 1).otherwise(m["end"])
         )
         return F.struct(
-            F.concat(m["line_key"], m["json_key"], m["pair_key"]).alias("key"),
+            key.alias("key"),
             value.alias("value"),
             (end - F.length(value)).alias("start"),
             end.alias("end"),
-            m["next_char"].alias("next_char"),
+            F.when(whole | member | quoted, F.lit("")).otherwise(F.substr(m["after"], F.lit(1), F.lit(1))).alias("next_char"),
             F.when(whole, F.lit("line")).when(member, F.lit("json")).otherwise(F.lit("inline")).alias("form"),
         )
 
-    found = F.filter(F.transform(find_all(text, P.ASSIGNMENT, _GROUPS), row), lambda p: p["value"] != "")
-    return F.when(text.contains("=") | text.contains(":"), found)
+    found = F.filter(F.transform(find_all(text, P.ASSIGNMENT, {"line_value": 1}), row), lambda p: p["value"] != "")
+    return F.when(_has_operator(text), found)
 
 
 def is_named_secret(p: Column) -> Column:
@@ -72,10 +75,9 @@ def is_literal(p: Column) -> Column:
 
 def assigned(text: Column, passwords: bool = True, keys: bool = True) -> Column:
     """Candidates of the enabled categories, in text order."""
-    wanted = F.lit(False)
 
     def keep(p: Column) -> Column:
-        hit = wanted
+        hit = F.lit(False)
         if passwords:
             hit = hit | is_named_secret(p)
         if keys:
@@ -93,4 +95,4 @@ def assigned(text: Column, passwords: bool = True, keys: bool = True) -> Column:
             SEQ["assignment"],
         )
 
-    return F.transform(F.filter(pairs(text), keep), row)
+    return F.when(_has_operator(text) & text.rlike(P.ASSIGNMENT_GATE), F.transform(F.filter(pairs(text), keep), row))

@@ -27,7 +27,7 @@ def auth_headers(text: Column) -> Column:
             m["value"], start, start + F.length(m["value"]), "keys", label, 3, F.lower(label), SEQ["auth_header"]
         )
 
-    return F.transform(found, row)
+    return F.when(text.rlike(P.AUTH_GATE), F.transform(found, row))
 
 
 def url_logins(text: Column) -> Column:

@@ -20,13 +20,13 @@ def _detector(
     label: str,
     seq: int,
     valid: Callable[[Column], Column],
-    worth_a_look: Column | None = None,
+    gate: Column,
 ) -> Column:
     found = F.transform(
         find_all(text, pattern, keep=lambda m: ~checks.is_placeholder(m["match"]) & valid(m)),
         lambda m: candidate(m["match"], m["start"], m["end"], category, label, 2, category, seq),
     )
-    return found if worth_a_look is None else F.when(worth_a_look, found)
+    return F.when(gate, found)
 
 
 def emails(text: Column) -> Column:
@@ -39,23 +39,34 @@ def emails(text: Column) -> Column:
 
 def ipv4(text: Column) -> Column:
     return _detector(
-        text, P.IPV4, "ip", "IP", SEQ["ipv4"], lambda m: checks.ipv4_public(m["match"], m["before"])
+        text, P.IPV4, "ip", "IP", SEQ["ipv4"], lambda m: checks.ipv4_public(m["match"], m["before"]),
+        text.rlike(P.IPV4_GATE),
     )
 
 
 def ipv6(text: Column) -> Column:
     return _detector(
-        text, P.IPV6, "ip", "IP", SEQ["ipv6"], lambda m: checks.ipv6_valid(m["match"]), text.contains(":")
+        text, P.IPV6, "ip", "IP", SEQ["ipv6"], lambda m: checks.ipv6_valid(m["match"]),
+        text.rlike(P.IPV6_GATE),
     )
 
 
 def cards(text: Column) -> Column:
-    return _detector(text, P.CARD, "card", "CARD", SEQ["card"], lambda m: checks.card_valid(m["match"]))
+    return _detector(
+        text, P.CARD, "card", "CARD", SEQ["card"], lambda m: checks.card_valid(m["match"]),
+        text.rlike(P.CARD_GATE),
+    )
 
 
 def ibans(text: Column) -> Column:
-    return _detector(text, P.IBAN, "iban", "IBAN", SEQ["iban"], lambda m: checks.iban_valid(m["match"]))
+    return _detector(
+        text, P.IBAN, "iban", "IBAN", SEQ["iban"], lambda m: checks.iban_valid(m["match"]),
+        text.rlike(P.IBAN_GATE),
+    )
 
 
 def phones(text: Column) -> Column:
-    return _detector(text, P.PHONE, "phone", "PHONE", SEQ["phone"], lambda m: checks.phone_valid(m["match"]))
+    return _detector(
+        text, P.PHONE, "phone", "PHONE", SEQ["phone"], lambda m: checks.phone_valid(m["match"]),
+        text.rlike(P.PHONE_GATE),
+    )

@@ -2,15 +2,14 @@
 
 Three steps keep the cost of 221 expressions low:
 
-1. one pass finds the catalogue keywords that occur in the text;
-2. only the rules of those keywords are tried, first for any match at all;
+1. keywords are only looked up in the parts of a text where a rule can match;
+2. only the rules of the keywords that occur are tried, first for any match;
 3. offsets and filters are computed for the rules that matched.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,173 +18,151 @@ from veilspark.functions import checks
 from veilspark.functions.arrays import let
 from veilspark.functions.text import entropy, find_all
 from veilspark.operators.candidates import candidate, none
-from veilspark.sources.rules import Catalogue, Rule
+from veilspark.sources.rules import AROUND_VALUE, NAME_REACH, TOKEN_RUN, Catalogue
 
 
-def keyword_pattern(keywords: list[str]) -> str:
-    """A look-ahead that captures the longest keyword starting at a position.
-
-    The words share their common beginnings, so a position costs one character
-    comparison per first letter instead of one per word.
-    """
-    tree: dict = {}
-    for word in keywords:
-        node = tree
-        for char in word:
-            node = node.setdefault(char, {})
-        node[""] = {}
-
-    def build(node: dict) -> str:
-        ends = "" in node
-        branches = [re.escape(c) + build(n) for c, n in sorted(node.items()) if c]
-        if not branches:
-            return ""
-        body = branches[0] if len(branches) == 1 and not ends else "(?:" + "|".join(branches) + ")"
-        return body + "?+" if ends else body
-
-    return f"(?=({build(tree)}))"
-
-
-def _rules_by_keyword(rules: list[Rule], position: dict[str, int]) -> dict[str, list[int]]:
-    """Keyword -> rules to try when it is the longest keyword at some position."""
-    words = sorted({k for r in rules for k in r.keywords})
-    return {
-        w: sorted({position[r.id] for r in rules for k in r.keywords if w.startswith(k)}) for w in words
-    }
-
-
-def _secret(m: Column) -> Column:
-    """First non-empty secret of the branches, with its start."""
+def _hit(rule: Column, m: Column) -> Column:
+    """The first non-empty secret of the branches, its position and the whole match."""
     first = m["secret"] != ""
-    value = F.when(first, m["secret"]).otherwise(m["secret2"])
-    prefix = F.when(first, m["prefix"]).otherwise(m["prefix2"])
-    start = m["start"] + F.length(prefix)
+    value = F.when(first, m["secret"]).otherwise(F.coalesce(m["secret2"], F.lit("")))
+    start = m["start"] + F.length(F.when(first, m["prefix"]).otherwise(F.coalesce(m["prefix2"], F.lit(""))))
+    # the words joined to the front of a name count as part of the match
+    lead = F.when(rule["with_lead"], F.regexp_extract(F.right(m["before"], F.lit(50)), r"[\w.-]*\z", 0))
     return F.struct(
         value.alias("value"),
         start.alias("start"),
         (start + F.length(value)).alias("end"),
-        m["match"].alias("match"),
-        m["start"].alias("match_start"),
+        F.concat(F.coalesce(lead, F.lit("")), m["match"]).alias("match"),
         m["end"].alias("match_end"),
     )
 
 
-def _line_of(text: Column, start: Column, end: Column) -> Column:
-    """The line around a match that does not cross a line end."""
+def _line_of(text: Column, end: Column) -> Column:
+    """The line that holds the position just before ``end``."""
     return F.concat(
         F.substring_index(F.substr(text, F.lit(1), end), "\n", -1),
         F.substring_index(F.substr(text, end + 1, F.length(text)), "\n", 1),
     )
 
 
-def allowed(text: Column, rule: Column, hit: Column, whole_text_is_line: bool = False) -> Column:
-    """True when the entropy, the global list or the rule's own list rejects a hit."""
+def rejected(text: Column, rule: Column, hit: Column) -> Column:
+    """True when the entropy, the global list or the rule's own list drops a hit."""
     value = hit["value"]
 
-    def searched(target: Column, pattern: Column) -> Column:
+    def found_in(target: Column, pattern: Column) -> Column:
         return F.coalesce(F.rlike(target, pattern), F.lit(False))
 
-    line = text if whole_text_is_line else _line_of(text, hit["match_start"], hit["match_end"])
+    line = F.when(rule["multiline"], text).otherwise(_line_of(text, hit["match_end"]))
     return (
-        (rule["entropy"].isNotNull() & (entropy(value) <= rule["entropy"]))
+        (value == "")
+        | (rule["entropy"].isNotNull() & (entropy(value) <= rule["entropy"]))
         | checks.globally_allowed(value)
         | checks.has_global_stopword(value)
-        | searched(value, rule["allow_secret"])
-        | searched(hit["match"], rule["allow_match"])
+        | found_in(value, rule["allow_secret"])
+        | found_in(hit["match"], rule["allow_match"])
         # the line is only built when the text holds what the list looks for
-        | (searched(text, rule["allow_line"]) & searched(line, rule["allow_line"]))
+        | (found_in(text, rule["allow_line"]) & found_in(line, rule["allow_line"]))
         | F.coalesce(
             F.exists(rule["stopwords"], lambda w: F.contains(F.lower(value), w)), F.lit(False)
         )
     )
 
 
-def _row(rule: Column, hit: Column) -> Column:
-    return candidate(
-        hit["value"], hit["start"], hit["end"],
-        rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
+def keyword_on_line(text: Column, rule: Column, hit: Column) -> Column:
+    """For the few rules whose match need not contain a keyword."""
+    return rule["line_keywords"].isNull() | F.exists(
+        rule["line_keywords"], lambda k: F.contains(F.lower(_line_of(text, hit["match_end"])), k)
     )
 
 
-def _matches(text: Column, pattern: Column, branches: Column | int) -> Column:
-    two = branches == 2 if isinstance(branches, Column) else F.lit(branches == 2)
-    if isinstance(branches, int) and branches == 1:
-        found = find_all(text, pattern, {"prefix": 1, "secret": 2})
-        return F.transform(
-            found,
-            lambda m: _secret(
-                F.struct(
-                    *[m[f].alias(f) for f in ("start", "end", "match", "prefix", "secret")],
-                    F.lit("").alias("prefix2"), F.lit("").alias("secret2"),
-                )
+def rule_matches(text: Column, rule: Column) -> Column:
+    """All matches of one rule with the position of the secret."""
+    two = rule["branches"] == 2
+    found = find_all(text, rule["pattern"], {"prefix": 1, "secret": 2}, {"prefix2": (two, 3), "secret2": (two, 4)})
+    return F.transform(found, lambda m: _hit(rule, m))
+
+
+def condensed(text: Column) -> Column:
+    """What the rules need of a text to look for their keywords.
+
+    ``named``: the text around operators that have a value behind them;
+    ``tokens``: the runs of 12 or more characters that may be a token;
+    ``text``: everything. All in lower case.
+    """
+
+    def around(found: Column) -> Column:
+        gaps = F.split(text, AROUND_VALUE, F.lit(-1))
+        return let(
+            gaps,
+            lambda g: F.array_join(
+                F.transform(
+                    found,
+                    lambda m, i: let(
+                        F.get(g, i),
+                        lambda gap: F.concat(
+                            F.when(F.length(gap) > NAME_REACH, F.concat(F.lit("\n"), F.right(gap, F.lit(NAME_REACH))))
+                            .otherwise(gap),
+                            m,
+                        ),
+                    ),
+                ),
+                "",
             ),
         )
-    if isinstance(branches, int):
-        return F.transform(
-            find_all(text, pattern, {"prefix": 1, "secret": 2, "prefix2": 3, "secret2": 4}), _secret
-        )
-    return F.when(two, _matches(text, pattern, 2)).otherwise(_matches(text, pattern, 1))
-
-
-def line_rule_candidates(text: Column, catalogue: Catalogue, categories: set[str]) -> Column:
-    """Matches of the rules that stay on one line, after all their filters."""
-    rules = [r for r in catalogue.line_rules if r.category in categories]
-    if not rules:
-        return F.lit(None)
-    rows = {row["rule_id"]: row for row in catalogue.as_rows()}
-    table = catalogue.literal([rows[r.id] for r in rules])
-    by_keyword = _rules_by_keyword(rules, {r.id: i for i, r in enumerate(rules)})
-    lookup = F.from_json(
-        F.lit(json.dumps(by_keyword)), "MAP<STRING, ARRAY<INT>>"
+
+    operators = F.regexp_extract_all(text, F.lit(AROUND_VALUE), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN_RUN), F.lit(0))
+    return F.struct(
+        F.lower(let(operators, lambda o: F.when(F.size(o) > 0, around(o)).otherwise(F.lit("")))).alias("named"),
+        F.lower(F.array_join(tokens, "\n")).alias("tokens"),
+        F.lower(text).alias("text"),
     )
 
-    def tried(words: Column) -> Column:
-        numbers = F.array_distinct(F.flatten(F.transform(words, lambda w: F.element_at(lookup, w))))
+
+def rule_candidates(text: Column, catalogue: Catalogue, categories: set[str]) -> Column:
+    """Matches of all rules of the categories, after all their filters."""
+    rows = [r for r in catalogue.as_rows() if r["category"] in categories]
+    table = catalogue.literal(rows)
+    words: dict[str, dict[str, list[int]]] = {"named": {}, "tokens": {}, "text": {}}
+    for i, row in enumerate(rows):
+        for place in row["keyword_places"]:
+            for word in row["keywords"]:
+                words[place].setdefault(word, []).append(i)
+
+    def present(place: str, source: Column) -> Column:
+        entries = F.from_json(
+            F.lit(json.dumps([{"word": w, "rules": r} for w, r in words[place].items()])),
+            "ARRAY<STRUCT<word STRING, rules ARRAY<INT>>>",
+        )
+        return F.when(
+            source[place] != "", F.filter(entries, lambda e: F.contains(source[place], e["word"]))
+        )
+
+    def tried(source: Column) -> Column:
+        entries = F.array_compact(F.array(*[present(place, source) for place in words]))
+        numbers = F.array_sort(
+            F.array_distinct(F.flatten(F.transform(F.flatten(entries), lambda e: e["rules"])))
+        )
         return F.filter(
-            F.transform(F.array_sort(numbers), lambda i: F.get(table, i)),
-            lambda r: F.rlike(text, F.coalesce(r["guard"], r["pattern"])),
+            F.transform(numbers, lambda i: F.get(table, i)), lambda r: F.rlike(text, r["pattern"])
         )
 
     def hits(rule: Column) -> Column:
-        def on_keyword_line(hit: Column) -> Column:
-            line = F.lower(_line_of(text, hit["match_start"], hit["match_end"]))
-            return rule["line_keywords"].isNull() | F.exists(
-                rule["line_keywords"], lambda k: F.contains(line, k)
-            )
-
         kept = F.filter(
-            _matches(text, rule["pattern"], rule["branches"]),
-            lambda h: on_keyword_line(h) & ~allowed(text, rule, h),
+            rule_matches(text, rule),
+            lambda h: keyword_on_line(text, rule, h) & ~rejected(text, rule, h),
+        )
+        return F.transform(
+            kept,
+            lambda h: candidate(
+                h["value"], h["start"], h["end"],
+                rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
+            ),
         )
-        return F.transform(kept, lambda h: _row(rule, h))
 
-    found = F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(keyword_pattern(sorted(by_keyword))), F.lit(1))
-    )
     return let(
-        let(found, lambda words: F.when(F.size(words) > 0, tried(words))),
+        let(condensed(text), tried),
         lambda live: F.when(
-            F.size(live) > 0,
-            F.flatten(F.transform(live, lambda r: F.coalesce(hits(r), none()))),
+            F.size(live) > 0, F.flatten(F.transform(live, lambda r: F.coalesce(hits(r), none())))
         ),
     )
-
-
-def text_rule_candidates(text: Column, catalogue: Catalogue, rule: Rule) -> Column:
-    """Matches of one rule that may span lines."""
-    row = next(r for r in catalogue.as_rows() if r["rule_id"] == rule.id)
-    constant = F.get(catalogue.literal([row]), F.lit(0))
-    lower = F.lower(text)
-    present = F.lit(False)
-    for k in rule.keywords:
-        present = present | F.contains(lower, F.lit(k))
-    if rule.id.startswith("curl"):
-        present = present & (text.contains(rule.guards[0]) | text.contains(rule.guards[1]))
-    else:
-        for g in rule.guards:
-            present = present & F.contains(lower, F.lit(g.lower()))
-    kept = F.filter(
-        _matches(text, F.lit(rule.pattern), rule.branches),
-        lambda h: (h["value"] != "") & ~allowed(text, constant, h, whole_text_is_line=True),
-    )
-    return F.when(present, F.transform(kept, lambda h: _row(constant, h)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let
 from veilspark.functions.patterns import CATEGORIES
 from veilspark.operators import assignments, credentials, personal, secrets
 from veilspark.operators.candidates import gather, widened
@@ -39,14 +41,35 @@ def candidate_array(
 
     Detectors of disabled categories are not part of the plan.
     """
-    on = set(enabled(categories))
-    rules = catalogue or Catalogue()
+    return _candidate_array(text, frozenset(enabled(categories)), catalogue or Catalogue())
+
+
+@lru_cache(maxsize=16)
+def _candidates_of(
+    text: str, categories: frozenset[str], catalogue: Catalogue | None, context: int
+) -> Column:
+    """The unresolved expression does not depend on a table, so it is built once per name."""
+    return _candidate_array(F.col(text), categories, catalogue or Catalogue())
+
+
+@lru_cache(maxsize=16)
+def _named_of(text: str, context: int) -> Column:
+    return F.when(F.size("_spans") > 0, named(F.col("_spans"), existing_placeholders(F.col(text))))
+
+
+@lru_cache(maxsize=16)
+def _spans_of(text: str, context: int) -> tuple[Column, Column]:
+    return merged(resolved(F.col("_found"))), with_values(F.col(text), F.col("_spans"))
+
+
+def _context(df: DataFrame) -> int:
+    return id(df.sparkSession.sparkContext)
+
+
+def _candidate_array(text: Column, on: frozenset[str], rules: Catalogue) -> Column:
     parts = []
     if on & {"keys", "privateKeys", "passwords"}:
-        parts.append(secrets.line_rule_candidates(text, rules, on))
-        parts += [
-            secrets.text_rule_candidates(text, rules, r) for r in rules.text_rules if r.category in on
-        ]
+        parts.append(secrets.rule_candidates(text, rules, on))
     if on & {"keys", "passwords"}:
         parts.append(assignments.assigned(text, "passwords" in on, "keys" in on))
     if "keys" in on:
@@ -63,13 +86,7 @@ def candidate_array(
         parts.append(personal.ibans(text))
     if "phone" in on:
         parts.append(personal.phones(text))
-    return widened_array(text, gather(parts))
-
-
-def widened_array(text: Column, found: Column) -> Column:
-    from veilspark.functions.arrays import let
-
-    return let(found, lambda f: widened(text, f))
+    return let(gather(parts), lambda found: widened(text, found))
 
 
 def candidates(
@@ -80,7 +97,7 @@ def candidates(
     catalogue: Catalogue | None = None,
 ) -> DataFrame:
     """One row per candidate. Reads every text once and shuffles nothing."""
-    found = candidate_array(F.col(text), categories, catalogue)
+    found = _candidates_of(text, frozenset(enabled(categories)), catalogue, _context(df))
     return (
         df.select(*ids, found.alias("_found"))
         .select(*ids, F.explode_outer("_found").alias("_c"))
@@ -97,11 +114,12 @@ def span_rows(
     catalogue: Catalogue | None = None,
 ) -> DataFrame:
     """``(ids, text, _spans)`` with the final spans and their values; no shuffle."""
-    t = F.col(text)
+    found = _candidates_of(text, frozenset(enabled(categories)), catalogue, _context(df))
+    spans, valued = _spans_of(text, _context(df))
     return (
-        df.select(*ids, text, candidate_array(t, categories, catalogue).alias("_found"))
-        .select(*ids, text, merged(resolved(F.col("_found"))).alias("_spans"))
-        .select(*ids, text, with_values(t, F.col("_spans")).alias("_spans"))
+        df.select(*ids, text, found.alias("_found"))
+        .select(*ids, text, spans.alias("_spans"))
+        .select(*ids, text, valued.alias("_spans"))
     )
 
 
@@ -190,13 +208,7 @@ def scan(
     """
     rows = span_rows(df, text, ids, categories, catalogue)
     if scope is None:
-        named_rows = rows.select(
-            *ids,
-            text,
-            F.when(
-                F.size("_spans") > 0, named(F.col("_spans"), existing_placeholders(F.col(text)))
-            ).alias("_spans"),
-        )
+        named_rows = rows.select(*ids, text, _named_of(text, _context(df)).alias("_spans"))
         return ScanResult(named_rows, tuple(ids), text)
     return _scan_scope(df, rows, text, ids, scope, order)
 
