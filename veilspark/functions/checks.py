@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
 from veilspark.functions.arrays import let
-from veilspark.functions.text import contains_any, digits, entropy, matches_any
+from veilspark.functions.text import contains_any, digits, entropy
 
 
 def luhn(number: Column) -> Column:
@@ -88,7 +88,9 @@ def is_placeholder(value: Column) -> Column:
 
 
 def globally_allowed(value: Column) -> Column:
-    return matches_any(value, P.GLOBAL_ALLOW)
+    """One search for the first pattern, which is not anchored, and one for all others."""
+    first, *anchored = P.GLOBAL_ALLOW
+    return value.rlike(first) | value.rlike("|".join(f"(?:{p})" for p in anchored))
 
 
 def has_global_stopword(value: Column) -> Column:

@@ -7,7 +7,9 @@ Four conventions apply to all patterns here:
 
 * Word boundaries are ASCII only, spelled as look-arounds, because the Java
   ``\\b`` follows Unicode.
-* ``BLANK`` is the body of a character class with every Unicode blank.
+* They run on ``text.searchable`` copies, where every Unicode blank is a vertical
+  tab and every Unicode line separator a carriage return. ``BLANK`` is the body
+  of a character class with all blanks of such a copy.
 * A ``*_GATE`` is a cheap necessary condition for the pattern of the same name.
 * Line ends are spelled as look-arounds, so one pass over a whole text gives the
   matches a line-by-line pass would give.
@@ -15,16 +17,24 @@ Four conventions apply to all patterns here:
 
 CATEGORIES = ("keys", "privateKeys", "passwords", "email", "ip", "card", "iban", "phone")
 
-BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK = r" \t\n\x0b\f\r"
 # the same without the line feed: patterns built on it never leave their line
-LINE_BLANK = r" \t\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-DOT = r"[^\n\r\u2028\u2029]"
+LINE_BLANK = r" \t\x0b\f\r"
+DOT = r"[^\n\r]"
 LINE_END = r"(?![^\n])"
 LINE_START = r"(?<![^\n])"
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+# Characters replaced in a searchable copy, and their stand-ins. The two private-use
+# characters are the marks that ``text.find_all`` writes.
+UNICODE_BLANKS = "\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000\ufeff"
+LINE_SEPARATORS = "\u2028\u2029"
+MARK, FIELD = "\uf8f0", "\uf8f1"
+REPLACED = UNICODE_BLANKS + LINE_SEPARATORS + MARK + FIELD
+STAND_INS = "\x0b" * len(UNICODE_BLANKS) + "\r" * len(LINE_SEPARATORS) + "\uf8f2\uf8f3"
+
 # ---- placeholders ----
 PLACEHOLDER = WORD_START + r"[A-Z0-9][A-Z0-9_]*_[0-9]+" + WORD_END
 IS_PLACEHOLDER = r"\A[A-Z0-9][A-Z0-9_]*_[0-9]+\z"
@@ -80,7 +90,7 @@ DATABASE_SCHEME = (
 )
 
 # ---- assignments ----
-_BREAK = r"\n\r\u2028\u2029"
+_BREAK = r"\n\r"
 _NAME = r"[A-Za-z_][\w.-]*+"
 _TAIL = r"[ \t]*,?[ \t]*\r?(?![^" + _BREAK + r"])"
 _HEAD = r"(?<![^" + _BREAK + r"])[ \t]*(?:export[ \t]+)?"
@@ -88,12 +98,12 @@ _HEAD = r"(?<![^" + _BREAK + r"])[ \t]*(?:export[ \t]+)?"
 # look-ahead, group 1), so pairs inside the value are found by the same pass.
 # A JSON member and an inline pair match as a whole.
 ASSIGNMENT = (
-    _HEAD + _NAME + r"[ \t]*[:=][ \t]*[\"']?+"
+    _HEAD + _NAME + r"[ \t]*[:=][ \t]*(?:[\"']?+"
     r"(?=((?<=\")[^\"\n]+(?=\"" + _TAIL + r")|(?<=')[^'\n]+(?='" + _TAIL + r")"
     r"|(?<![\"'])[^" + BLANK + r"\"'][^" + BLANK + r"]*?(?=" + _TAIL + r")))"
-    r"|" + _HEAD + _NAME + r"[ \t]*[:=][ \t]*(?:\"\"|'')" + _TAIL
-    + r"|(?<![\w.-])\"" + _NAME + r"\"[ \t]*:[ \t]*\"(?:[^\"\\\n]|\\" + DOT + r")*+\""
-    r"|(?<![\w.-])" + _NAME + r"[ \t]*=[ \t]*"
+    r"|(?:\"\"|'')" + _TAIL + r")"
+    r"|\"(?<![\w.-]\")" + _NAME + r"\"[ \t]*:[ \t]*\"(?:[^\"\\\n]|\\" + DOT + r")*+\""
+    r"|[A-Za-z_](?<![\w.-].)[\w.-]*+[ \t]*=[ \t]*"
     r"(?:\"[^\"\n]*\"|'[^'\n]*'|[^" + BLANK + r"\"'<>,;&()]+)"
 )
 # the parts of a match: key of a line or pair, key and value of a member, value of a pair

@@ -10,77 +10,94 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions import patterns as P
 from veilspark.functions.arrays import let, running_sum
 
 _CHUNK_BITS = 12
 _WINDOW = 256
 
 
+def searchable(text: Column) -> Column:
+    """A copy of the same length without Unicode blanks and without the marks of ``find_all``.
+
+    Texts in ASCII, told by their size in bytes, are taken as they are.
+    """
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.translate(text, P.REPLACED, P.STAND_INS)
+    )
+
+
 def find_all(
     text: Column,
     pattern: Column | str,
     groups: Mapping[str, int] | None = None,
-    optional: Mapping[str, tuple[Column, int]] | None = None,
     keep: Callable[[Column], Column] | None = None,
+    two_branches: Column | None = None,
 ) -> Column:
     """All matches as ``array<struct<start, end, match, before, after, <groups>>>``.
 
-    ``before`` and ``after`` are the texts up to the neighbouring matches.
-    ``optional`` groups are only read where their condition holds. Offsets are
-    the running lengths of the pieces around the matches; a text without a match
-    costs one regex pass and gives null. ``pattern`` must not match empty text.
+    One regex pass writes every match with its groups between marks; the rest is
+    plain splitting. Offsets are running lengths of the pieces. ``before`` and
+    ``after`` are the texts up to the neighbouring matches. A text without a match
+    gives null. ``text`` is a searchable copy and ``pattern`` does not match empty
+    text. Where ``two_branches`` holds, groups n and n + 2 are alternatives of each other and are joined.
     """
-    groups, optional = dict(groups or {}), dict(optional or {})
+    groups = dict(groups or {})
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def with_offsets(found: Column) -> Column:
-        parts = F.struct(
-            found.alias("match"),
-            F.split(text, regex, F.lit(-1)).alias("gap"),
-            *[F.regexp_extract_all(text, regex, F.lit(g)).alias(name) for name, g in groups.items()],
-            *[
-                F.when(wanted, F.regexp_extract_all(text, regex, F.lit(g))).alias(name)
-                for name, (wanted, g) in optional.items()
-            ],
-        )
+    def template(double: bool) -> Column:
+        fields = ["$0", *(f"${g}${g + 2}" if double else f"${g}" for g in groups.values())]
+        return F.lit(P.MARK + P.FIELD.join(fields) + P.FIELD)
 
-        def build(p: Column) -> Column:
-            ends = running_sum(
-                F.transform(p["match"], lambda m, i: F.length(F.get(p["gap"], i)) + F.length(m))
-            )
-            return F.transform(
+    written = template(False) if two_branches is None else F.when(two_branches, template(True)).otherwise(template(False))
+    n_fields = len(groups) + 2
+
+    def build(pieces: Column) -> Column:
+        fields = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda x: F.split(x, P.FIELD, -1))
+
+        def rows(f: Column) -> Column:
+            def before(i: Column) -> Column:
+                return F.when(i == 0, F.get(pieces, F.lit(0))).otherwise(F.get(F.get(f, i - 1), F.lit(n_fields - 1)))
+
+            ends = running_sum(F.transform(f, lambda x, i: F.length(before(i)) + F.length(F.get(x, F.lit(0)))))
+            found = F.transform(
                 ends,
-                lambda e, i: F.struct(
-                    (e - F.length(F.get(p["match"], i))).alias("start"),
-                    e.alias("end"),
-                    F.get(p["match"], i).alias("match"),
-                    F.get(p["gap"], i).alias("before"),
-                    F.get(p["gap"], i + 1).alias("after"),
-                    *[F.get(p[name], i).alias(name) for name in (*groups, *optional)],
+                lambda e, i: let(
+                    F.get(f, i),
+                    lambda x: F.struct(
+                        (e - F.length(F.get(x, F.lit(0)))).alias("start"),
+                        e.alias("end"),
+                        F.get(x, F.lit(0)).alias("match"),
+                        before(i).alias("before"),
+                        F.get(x, F.lit(n_fields - 1)).alias("after"),
+                        *[F.get(x, F.lit(j + 1)).alias(name) for j, name in enumerate(groups)],
+                    ),
                 ),
             )
+            return F.filter(found, keep) if keep is not None else found
 
-        rows = let(parts, build)
-        return F.filter(rows, keep) if keep is not None else rows
+        return let(fields, rows)
 
+    marked = F.regexp_replace(text, regex, written)
     return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, with_offsets(found)),
+        marked,
+        lambda m: F.when(F.contains(m, F.lit(P.MARK)), let(F.split(m, P.MARK, -1), build)),
     )
 
 
 def entropy(value: Column | str) -> Column:
     """Shannon entropy in bits per character."""
     v = F.col(value) if isinstance(value, str) else value
-    n = F.length(v).cast("double")
+    n = F.length(v)
+    counts = F.transform(
+        F.array_distinct(F.split(v, "")), lambda char: n - F.length(F.replace(v, char, F.lit("")))
+    )
 
-    def add(total: Column, char: Column) -> Column:
-        share = (n - F.length(F.replace(v, char, F.lit(""))).cast("double")) / n
-        return total - share * F.log2(share)
+    def bits(c: Column) -> Column:
+        total = n.cast("double")
+        return F.aggregate(c, F.lit(0.0), lambda e, k: e - k / total * F.log2(k / total))
 
-    return F.when(F.length(v) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), add)
-    )
+    return F.when(n == 0, F.lit(0.0)).otherwise(let(counts, bits))
 
 
 ENTROPY_SQL = """
@@ -151,14 +168,6 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"[^0-9]", "")
 
 
-def matches_any(value: Column, patterns: tuple[str, ...]) -> Column:
-    """True when one of the patterns finds something in the value."""
-    hit = value.rlike(patterns[0])
-    for p in patterns[1:]:
-        hit = hit | value.rlike(p)
-    return hit
-
-
 def contains_any(value: Column, words: tuple[str, ...]) -> Column:
     """True when the lower-cased value contains one of the words."""
     return F.exists(

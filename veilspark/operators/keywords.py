@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from veilspark.sources.rules import Catalogue
 
 
+def line_keywords(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None) -> DataFrame:
+    """``(ids, keyword)``: the catalogue keywords of every line."""
+    rules = catalogue or Catalogue()
+    words = F.array(*[F.lit(w) for w in sorted({k for r in rules.line_rules for k in r.keywords})])
+    low = F.lower("line")
+    return (
+        lines.select(*ids, F.explode_outer(F.filter(words, lambda w: F.contains(low, w))).alias("keyword"))
+        .where(F.col("keyword").isNotNull())
+    )
+
+
 def keyword_candidates(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None) -> DataFrame:
     """``(ids, rule_id)``: each rule once per line that holds one of its keywords.
 
-    The keywords of a line are found in the row; the join to the rules is a
-    broadcast of the keyword table, whose size is fixed by the catalogue. Rules
-    with several keywords on a line are made distinct within the row's rules.
+    The keyword table has a size fixed by the catalogue and is broadcast, so the
+    join itself moves no line. A rule with several keywords on one line is made
+    distinct on the small join result, never on the lines.
     """
     rules = catalogue or Catalogue()
-    spark = lines.sparkSession
-    words = F.array(*[F.lit(w) for w in sorted({k for r in rules.line_rules for k in r.keywords})])
-    low = F.lower("line")
-    found = lines.select(
-        *ids, F.explode_outer(F.filter(words, lambda w: F.contains(low, w))).alias("keyword")
-    ).where(F.col("keyword").isNotNull())
-    line_rules = rules.table(spark).where("not multiline")
-    # one row per keyword, and the rules that no smaller keyword of theirs can bring
-    pairs = line_rules.select(F.explode("keywords").alias("keyword"), "rule_id")
-    return found.join(F.broadcast(pairs), "keyword").select(*ids, "rule_id").distinct()
+    pairs = rules.keyword_table(lines.sparkSession).join(
+        rules.table(lines.sparkSession).where("not multiline").select("rule_id"), "rule_id"
+    )
+    found = line_keywords(lines, ids, rules)
+    return found.join(F.broadcast(pairs.select("keyword", "rule_id")), "keyword").select(*ids, "rule_id").distinct()

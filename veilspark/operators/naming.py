@@ -123,6 +123,11 @@ def named(spans: Column, taken: Column) -> Column:
     return let(spans, attach)
 
 
+def named_in(text: Column, spans: Column) -> Column:
+    """Named spans of one text; numbers of placeholders it already holds are skipped."""
+    return let(existing_placeholders(text), lambda taken: named(spans, taken))
+
+
 def first_uses(named_spans: Column) -> Column:
     """``[placeholder, value]`` pairs of one row, in first-seen order."""
     return F.array_distinct(

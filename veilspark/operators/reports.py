@@ -98,8 +98,6 @@ def counts_by(findings: DataFrame, ids: Sequence[str], by: Sequence[str]) -> Dat
 
 def unique_per_category(spans: Column) -> Column:
     """``array<struct<category, n>>`` in display order, from the named spans of one row."""
-    spans = F.coalesce(spans, F.array().cast("array<struct<placeholder:string,category:string>>"))
-
     def firsts(s: Column) -> Column:
         return F.transform(
             F.array(*[F.lit(c) for c in CATEGORIES]),
@@ -110,7 +108,12 @@ def unique_per_category(spans: Column) -> Column:
 
     # a placeholder counts where it appears first
     ordered = F.array_sort(
-        F.transform(spans, lambda x, i: F.struct(x["placeholder"].alias("placeholder"), i.alias("at"), x["category"].alias("category")))
+        F.transform(
+            spans,
+            lambda x, i: F.struct(
+                x["placeholder"].alias("placeholder"), i.alias("at"), x["category"].alias("category")
+            ),
+        )
     )
     return let(
         let(
@@ -123,12 +126,25 @@ def unique_per_category(spans: Column) -> Column:
     )
 
 
+def _of_found(rows: DataFrame, ids: Sequence[str], values: Column) -> DataFrame:
+    """``values`` of the documents with findings.
+
+    A plain filter on the spans would be pushed below the scan and evaluate it
+    twice; an exploded array of no or one element is not.
+    """
+    one = F.when(F.size("_spans") > 0, F.array(values))
+    return rows.select(*ids, F.explode_outer(one).alias("_v")).where(F.col("_v").isNotNull()).select(*ids, "_v.*")
+
+
 def scan_totals(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Unique values and matches of every document that has any; no shuffle."""
-    return rows.where(F.size("_spans") > 0).select(
-        *ids,
-        F.size(F.array_distinct(F.transform("_spans", lambda s: s["placeholder"]))).alias("n_values"),
-        F.size("_spans").alias("n_matches"),
+    return _of_found(
+        rows,
+        ids,
+        F.struct(
+            F.size(F.array_distinct(F.transform("_spans", lambda s: s["placeholder"]))).alias("n_values"),
+            F.size("_spans").alias("n_matches"),
+        ),
     )
 
 
@@ -154,7 +170,7 @@ def share_summary(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
     parts = F.transform(
         F.filter(unique_per_category(F.col("_spans")), lambda x: x["n"] > 0), phrase
     )
-    return rows.where(F.size("_spans") > 0).select(*ids, let(parts, joined).alias("summary"))
+    return _of_found(rows, ids, F.struct(let(parts, joined).alias("summary")))
 
 
 def preview(value: Column) -> Column:

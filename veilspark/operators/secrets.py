@@ -3,56 +3,46 @@
 Three steps keep the cost of 221 expressions low:
 
 1. keywords are only looked up in the parts of a text where a rule can match;
-2. only the rules of the keywords that occur are tried, first for any match;
-3. offsets and filters are computed for the rules that matched.
+2. only the rules of the keywords that occur are tried, and a rule that stays on
+   one line only on the lines that hold one of its keywords;
+3. offsets and filters are computed for the matches.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
-from veilspark.functions.arrays import let
+from veilspark.functions.arrays import let, running_sum
 from veilspark.functions.text import entropy, find_all
-from veilspark.operators.candidates import candidate, none
+from veilspark.operators.candidates import candidate
 from veilspark.sources.rules import AROUND_VALUE, NAME_REACH, TOKEN_RUN, Catalogue
 
 
 def _hit(rule: Column, m: Column) -> Column:
-    """The first non-empty secret of the branches, its position and the whole match."""
-    first = m["secret"] != ""
-    value = F.when(first, m["secret"]).otherwise(F.coalesce(m["secret2"], F.lit("")))
-    start = m["start"] + F.length(F.when(first, m["prefix"]).otherwise(F.coalesce(m["prefix2"], F.lit(""))))
+    """The secret of a match, its position and the whole match."""
+    start = m["start"] + F.length(m["prefix"])
     # the words joined to the front of a name count as part of the match
     lead = F.when(rule["with_lead"], F.regexp_extract(F.right(m["before"], F.lit(50)), r"[\w.-]*\z", 0))
     return F.struct(
-        value.alias("value"),
+        m["secret"].alias("value"),
         start.alias("start"),
-        (start + F.length(value)).alias("end"),
+        (start + F.length(m["secret"])).alias("end"),
         F.concat(F.coalesce(lead, F.lit("")), m["match"]).alias("match"),
-        m["end"].alias("match_end"),
     )
 
 
-def _line_of(text: Column, end: Column) -> Column:
-    """The line that holds the position just before ``end``."""
-    return F.concat(
-        F.substring_index(F.substr(text, F.lit(1), end), "\n", -1),
-        F.substring_index(F.substr(text, end + 1, F.length(text)), "\n", 1),
-    )
-
-
-def rejected(text: Column, rule: Column, hit: Column) -> Column:
+def rejected(line: Column, rule: Column, hit: Column) -> Column:
     """True when the entropy, the global list or the rule's own list drops a hit."""
     value = hit["value"]
 
     def found_in(target: Column, pattern: Column) -> Column:
         return F.coalesce(F.rlike(target, pattern), F.lit(False))
 
-    line = F.when(rule["multiline"], text).otherwise(_line_of(text, hit["match_end"]))
     return (
         (value == "")
         | (rule["entropy"].isNotNull() & (entropy(value) <= rule["entropy"]))
@@ -60,26 +50,68 @@ def rejected(text: Column, rule: Column, hit: Column) -> Column:
         | checks.has_global_stopword(value)
         | found_in(value, rule["allow_secret"])
         | found_in(hit["match"], rule["allow_match"])
-        # the line is only built when the text holds what the list looks for
-        | (found_in(text, rule["allow_line"]) & found_in(line, rule["allow_line"]))
+        | found_in(line, rule["allow_line"])
         | F.coalesce(
             F.exists(rule["stopwords"], lambda w: F.contains(F.lower(value), w)), F.lit(False)
         )
     )
 
 
-def keyword_on_line(text: Column, rule: Column, hit: Column) -> Column:
-    """For the few rules whose match need not contain a keyword."""
-    return rule["line_keywords"].isNull() | F.exists(
-        rule["line_keywords"], lambda k: F.contains(F.lower(_line_of(text, hit["match_end"])), k)
-    )
+def rule_matches(line: Column, rule: Column) -> Column:
+    """All matches of one rule in one line, with the position of the secret."""
+    found = find_all(line, rule["pattern"], {"prefix": 1, "secret": 2}, two_branches=rule["branches"] == 2)
+    return F.transform(found, lambda m: _hit(rule, m))
 
 
-def rule_matches(text: Column, rule: Column) -> Column:
-    """All matches of one rule with the position of the secret."""
-    two = rule["branches"] == 2
-    found = find_all(text, rule["pattern"], {"prefix": 1, "secret": 2}, {"prefix2": (two, 3), "secret2": (two, 4)})
-    return F.transform(found, lambda m: _hit(rule, m))
+def numbered_lines(text: Column) -> Column:
+    """``array<struct<start, line, low>>`` of a text."""
+
+    def placed(parts: Column) -> Column:
+        ends = running_sum(F.transform(parts, lambda line: F.length(line) + 1))
+        return F.transform(
+            ends,
+            lambda e, i: F.struct(
+                (e - F.length(F.get(parts, i)) - 1).alias("start"),
+                F.get(parts, i).alias("line"),
+                F.lower(F.get(parts, i)).alias("low"),
+            ),
+        )
+
+    return let(F.split(text, "\n", -1), placed)
+
+
+def keyword_pattern(words: list[str]) -> str:
+    """A look-ahead that captures the longest keyword at a position.
+
+    Words share their common beginnings. First letters are tested in groups, so
+    most positions fail after a few comparisons.
+    """
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def either(node: dict, group: int = 0) -> str:
+        branches = [(c, re.escape(c) + tail(n)) for c, n in sorted(node.items()) if c]
+        if len(branches) == 1:
+            return branches[0][1]
+        if not group or len(branches) <= group:
+            return "(?:" + "|".join(b for _, b in branches) + ")"
+        parts = [branches[i : i + group] for i in range(0, len(branches), group)]
+        return "(?:" + "|".join(
+            "(?=[" + "".join(re.escape(c) for c, _ in part) + "])(?:" + "|".join(b for _, b in part) + ")" for part in parts
+        ) + ")"
+
+    def tail(node: dict) -> str:
+        if len(node) == 1 and "" in node:
+            return ""
+        body = either({c: n for c, n in node.items() if c})
+        return f"(?:{body})?+" if "" in node else body
+
+    first = "".join(re.escape(c) for c in sorted(tree))
+    return f"(?=[{first}])(?=({either(tree, 6)}))"
 
 
 def condensed(text: Column) -> Column:
@@ -126,43 +158,44 @@ def rule_candidates(text: Column, catalogue: Catalogue, categories: set[str]) ->
     words: dict[str, dict[str, list[int]]] = {"named": {}, "tokens": {}, "text": {}}
     for i, row in enumerate(rows):
         for place in row["keyword_places"]:
-            for word in row["keywords"]:
+            for word in row["trigger"]:
                 words[place].setdefault(word, []).append(i)
 
     def present(place: str, source: Column) -> Column:
-        entries = F.from_json(
-            F.lit(json.dumps([{"word": w, "rules": r} for w, r in words[place].items()])),
-            "ARRAY<STRUCT<word STRING, rules ARRAY<INT>>>",
-        )
-        return F.when(
-            source[place] != "", F.filter(entries, lambda e: F.contains(source[place], e["word"]))
-        )
+        """Numbers of the rules whose keywords occur in a place."""
+        known = sorted(words[place])
+        # the longest keyword at a position brings the rules of the shorter ones along
+        rules = {w: sorted({i for k in known if w.startswith(k) for i in words[place][k]}) for w in known}
+        entries = F.from_json(F.lit(json.dumps(rules)), "MAP<STRING, ARRAY<INT>>")
+        found = F.array_distinct(F.regexp_extract_all(source[place], F.lit(keyword_pattern(known)), F.lit(1)))
+        return F.when(source[place] != "", F.flatten(F.transform(found, lambda w: F.element_at(entries, w))))
 
     def tried(source: Column) -> Column:
-        entries = F.array_compact(F.array(*[present(place, source) for place in words]))
-        numbers = F.array_sort(
-            F.array_distinct(F.flatten(F.transform(F.flatten(entries), lambda e: e["rules"])))
-        )
-        return F.filter(
-            F.transform(numbers, lambda i: F.get(table, i)), lambda r: F.rlike(text, r["pattern"])
-        )
+        numbers = F.flatten(F.array_compact(F.array(*[present(p, source) for p in words if words[p]])))
+        return F.transform(F.array_sort(F.array_distinct(numbers)), lambda i: F.get(table, i))
 
-    def hits(rule: Column) -> Column:
-        kept = F.filter(
-            rule_matches(text, rule),
-            lambda h: keyword_on_line(text, rule, h) & ~rejected(text, rule, h),
+    def hits(rule: Column, lines: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("line"), F.lower(text).alias("low")))
+        worth = F.when(rule["multiline"], whole).otherwise(
+            F.filter(lines, lambda x: F.exists(rule["keywords"], lambda k: F.contains(x["low"], k)))
         )
-        return F.transform(
-            kept,
-            lambda h: candidate(
-                h["value"], h["start"], h["end"],
-                rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
-            ),
+
+        def in_line(x: Column) -> Column:
+            kept = F.filter(rule_matches(x["line"], rule), lambda h: ~rejected(x["line"], rule, h))
+            return F.transform(
+                kept,
+                lambda h: candidate(
+                    h["value"], x["start"] + h["start"], x["start"] + h["end"],
+                    rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
+                ),
+            )
+
+        return F.flatten(F.array_compact(F.transform(worth, in_line)))
+
+    def all_hits(rules: Column) -> Column:
+        return F.when(
+            F.size(rules) > 0,
+            let(numbered_lines(text), lambda lines: F.flatten(F.transform(rules, lambda r: hits(r, lines)))),
         )
 
-    return let(
-        let(condensed(text), tried),
-        lambda live: F.when(
-            F.size(live) > 0, F.flatten(F.transform(live, lambda r: F.coalesce(hits(r), none())))
-        ),
-    )
+    return let(let(condensed(text), tried), all_hits)

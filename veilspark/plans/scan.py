@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let
 from veilspark.functions.patterns import CATEGORIES
+from veilspark.functions.text import searchable
 from veilspark.operators import assignments, credentials, personal, secrets
 from veilspark.operators.candidates import gather, widened
 from veilspark.operators.masking import masked, segments, with_values
 from veilspark.operators.naming import (
-    existing_placeholders,
     first_uses,
-    named,
+    named_in,
     number_values,
     reserved_numbers,
     unique_values,
@@ -54,7 +54,7 @@ def _candidates_of(
 
 @lru_cache(maxsize=16)
 def _named_of(text: str, context: int) -> Column:
-    return F.when(F.size("_spans") > 0, named(F.col("_spans"), existing_placeholders(F.col(text))))
+    return F.when(F.size("_spans") > 0, named_in(F.col(text), F.col("_spans")))
 
 
 @lru_cache(maxsize=16)
@@ -67,26 +67,29 @@ def _context(df: DataFrame) -> int:
 
 
 def _candidate_array(text: Column, on: frozenset[str], rules: Catalogue) -> Column:
-    parts = []
-    if on & {"keys", "privateKeys", "passwords"}:
-        parts.append(secrets.rule_candidates(text, rules, on))
-    if on & {"keys", "passwords"}:
-        parts.append(assignments.assigned(text, "passwords" in on, "keys" in on))
-    if "keys" in on:
-        parts.append(credentials.auth_headers(text))
-    if "passwords" in on:
-        parts.append(credentials.url_logins(text))
-    if "email" in on:
-        parts.append(personal.emails(text))
-    if "ip" in on:
-        parts += [personal.ipv4(text), personal.ipv6(text)]
-    if "card" in on:
-        parts.append(personal.cards(text))
-    if "iban" in on:
-        parts.append(personal.ibans(text))
-    if "phone" in on:
-        parts.append(personal.phones(text))
-    return let(gather(parts), lambda found: widened(text, found))
+    def detect(t: Column) -> Column:
+        parts = []
+        if on & {"keys", "privateKeys", "passwords"}:
+            parts.append(secrets.rule_candidates(t, rules, set(on)))
+        if on & {"keys", "passwords"}:
+            parts.append(assignments.assigned(t, "passwords" in on, "keys" in on))
+        if "keys" in on:
+            parts.append(credentials.auth_headers(t))
+        if "passwords" in on:
+            parts.append(credentials.url_logins(t))
+        if "email" in on:
+            parts.append(personal.emails(t))
+        if "ip" in on:
+            parts += [personal.ipv4(t), personal.ipv6(t)]
+        if "card" in on:
+            parts.append(personal.cards(t))
+        if "iban" in on:
+            parts.append(personal.ibans(t))
+        if "phone" in on:
+            parts.append(personal.phones(t))
+        return gather(parts)
+
+    return let(let(searchable(text), detect), lambda found: widened(text, found))
 
 
 def candidates(
