@@ -596,7 +596,7 @@ def unique_values(spark, sf_dir):
 )
 def source_map(spark, sf_dir):
     """One map per source: equal values share a placeholder across its documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text")
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet", ["source", "doc_id"])
     return scan(docs, "text", ["source", "doc_id"], scope="source", order=["doc_id"]).map.select("source", "value", "placeholder")
 
 
@@ -611,14 +611,14 @@ def source_map(spark, sf_dir):
 """ + expected.MASKED + " SELECT doc_id, masked FROM masked",
 )
 def source_masked(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text")
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet", ["source", "doc_id"])
     return scan(docs, "text", ["source", "doc_id"], scope="source", order=["doc_id"]).masked.select("doc_id", "masked")
 
 
 @job("conversation_masked", "SELECT conv_id, turn, text AS masked FROM conversations")
 def conversation_masked(spark, sf_dir):
     """Conversations numbered as one scope per conversation; the test turns hold no findings."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    turns = read_documents(spark, f"{sf_dir}/conversations.parquet", ["conv_id", "turn"])
     return scan(turns, "text", ["conv_id", "turn"], scope="conv_id", order=["turn"]).masked
 
 
@@ -629,7 +629,7 @@ def conversation_masked(spark, sf_dir):
 )
 def mask_pages(spark, sf_dir):
     """Findings in raw web pages."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = read_documents(spark, f"{sf_dir}/pages.parquet", ["page_id"], "html")
     return _finding_columns(scan(pages, "html", ["page_id"]).findings, "page_id")
 
 
@@ -738,7 +738,7 @@ def category_counts(spark, sf_dir):
   FROM hits JOIN documents d ON d.doc_id = hits.id GROUP BY ROLLUP (category, lang, source)""",
 )
 def category_counts_by_source(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang", "source"])
     found = scan(docs, "text", ["doc_id", "lang", "source"]).findings
     return reports.counts_by(found, ["doc_id"], ["lang", "source"])
 
@@ -816,12 +816,18 @@ def share_summary(spark, sf_dir):
 _PREVIEW = "CASE WHEN length(split_part(value, chr(10), 1)) > 64 THEN substr(split_part(value, chr(10), 1), 1, 61) || '...' ELSE split_part(value, chr(10), 1) || CASE WHEN contains(value, chr(10)) THEN ' ...' ELSE '' END END"
 
 
-@job(
-    "finding_rows",
-    _LOG + f"SELECT log_id, category, placeholder, {_PREVIEW} AS preview, CAST(1 AS BIGINT) AS n_hits, rule FROM log_findings",
-)
-def finding_rows(spark, sf_dir):
+_REVIEW = f"SELECT log_id, category, placeholder, {_PREVIEW} AS preview, CAST(1 AS BIGINT) AS n_hits, rule FROM log_findings"
+
+
+@job("review_rows", _LOG + _REVIEW)
+def review_rows(spark, sf_dir):
     """Review rows of the derived logs, with one-line previews of the values."""
+    return reports.review_rows(log_scan(spark, sf_dir).occurrences, ["log_id"])
+
+
+@job("finding_rows", _LOG + _REVIEW)
+def finding_rows(spark, sf_dir):
+    """The same from a findings table and a map table."""
     result = log_scan(spark, sf_dir)
     return reports.finding_rows(result.findings, result.map, ["log_id"])
 
@@ -871,8 +877,7 @@ def leak_audit(spark, sf_dir):
 
 @job("roundtrip_audit", "SELECT doc_id, true AS same FROM documents")
 def roundtrip_audit(spark, sf_dir):
-    result = document_scan(spark, sf_dir)
-    return audits.roundtrip_audit(documents(spark, sf_dir), result.masked, result.map, ["doc_id"], "doc_id")
+    return audits.roundtrip_in_rows(document_scan(spark, sf_dir))
 
 
 @job("rescan_audit", "SELECT 'none' AS category, 'none' AS rule, CAST(0 AS BIGINT) AS n_findings FROM documents WHERE false")

@@ -109,7 +109,8 @@ ASSIGNMENT = (
 # the parts of a match: key of a line or pair, key and value of a member, value of a pair
 ASSIGNED_KEY = r"\A[ \t]*(?:export[ \t]+)?(" + _NAME + r")[ \t]*[:=]"
 MEMBER = r"(?s)\A\"([^\"]*)\"[ \t]*:[ \t]*\"(.*)\"\z"
-PAIR_VALUE = r"(?s)\A[\w.-]+[ \t]*=[ \t]*([\"']?)(.*)\1\z"
+# groups: 1 the quote, 2 a quoted value, 3 a bare value
+PAIR_VALUE = r"(?s)\A[\w.-]+[ \t]*=[ \t]*(?:([\"'])(.*)\1|([^\"']*))\z"
 # no named secret and no high-entropy value without one of these
 ASSIGNMENT_GATE = (
     r"(?=[CKPSTckpst])(?i:p(?:ass|wd|rivate)|secret|token|credential|key)[\w.-]*+\"?[ \t]*+[:=]"

@@ -31,7 +31,9 @@ def pairs(text: Column) -> Column:
         value = (
             F.when(whole, m["line_value"])
             .when(member, F.regexp_extract(match, P.MEMBER, 2))
-            .otherwise(F.regexp_extract(match, P.PAIR_VALUE, 2))
+            .otherwise(
+                F.concat(F.regexp_extract(match, P.PAIR_VALUE, 2), F.regexp_extract(match, P.PAIR_VALUE, 3))
+            )
         )
         quoted = F.regexp_extract(match, P.PAIR_VALUE, 1) != ""
         end = (

@@ -141,7 +141,7 @@ def first_uses(named_spans: Column) -> Column:
 # ---- numbering across rows ----
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of the cluster; a private one only where none is set."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
@@ -161,7 +161,7 @@ def running_count(
     few slice totals of a group give the offsets.
     """
     n = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sliced = _checkpointed(
+    sliced = checkpointed(
         df.withColumn("_weight", weight)
         .repartitionByRange(n, *group, *order)
         .withColumn("_slice", F.spark_partition_id())

@@ -183,13 +183,23 @@ def preview(value: Column) -> Column:
 
 
 def finding_rows(findings: DataFrame, mapping: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Review rows: placeholder, preview of the value, number of hits, rule."""
+    """Review rows from stored tables: placeholder, preview of the value, hits, rule."""
     hits = placeholder_hits(findings, ids)
     return hits.join(mapping, [*ids, "placeholder"]).select(
         *ids, "category", "placeholder", preview(F.col("value")).alias("preview"), "n_hits", "rule"
     )
 
 
+def review_rows(occurrences: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The same rows straight from a scan, whose occurrences carry the values: one pass, no join."""
+    return occurrences.groupBy(*ids, "placeholder").agg(
+        F.count("*").alias("n_hits"),
+        F.min_by("category", "start").alias("category"),
+        F.min_by("rule", "start").alias("rule"),
+        F.first("value").alias("value"),
+    ).select(*ids, "category", "placeholder", preview(F.col("value")).alias("preview"), "n_hits", "rule")
+
+
 def top_rows(rows: DataFrame, order: Sequence[Column], limit: int = ROWS_PER_CATEGORY) -> DataFrame:
     """The first rows of every category and how many more there are.
 

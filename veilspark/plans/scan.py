@@ -16,6 +16,7 @@ from veilspark.operators import assignments, credentials, personal, secrets
 from veilspark.operators.candidates import gather, widened
 from veilspark.operators.masking import masked, segments, with_values
 from veilspark.operators.naming import (
+    checkpointed,
     first_uses,
     named_in,
     number_values,
@@ -221,7 +222,8 @@ def _scan_scope(
 ) -> ScanResult:
     if scope not in ids or not set(order) <= set(ids):
         raise ValueError("scope and order must be id columns")
-    spans = (
+    # The spans are few and are read three times; the texts are scanned once for them.
+    spans = checkpointed(
         rows.select(*ids, F.explode_outer("_spans").alias("_s"))
         .where(F.col("_s").isNotNull())
         .select(*ids, "_s.*")

@@ -11,16 +11,29 @@ from veilspark.functions.arrays import let, running_sum
 from veilspark.plans.scan import ScanResult
 
 
+def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Give every core a share of a small input that arrives in fewer splits than cores.
+
+    Scanning costs far more than moving such an input. A large input has more
+    splits than cores and is left as it is, so its texts are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *ids) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one document: ``(path, text)``."""
-    return spark.read.text(path, wholetext=True).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
+    return spread(files, ["path"])
 
 
-def read_documents(spark: SparkSession, path: str, text: str = "text", ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, ids: Sequence[str] = ("doc_id",), text: str = "text"
+) -> DataFrame:
     """A table of documents; only the id and text columns are read."""
-    return spark.read.parquet(path).select(*ids, F.col(text).alias("text"))
+    return spread(spark.read.parquet(path).select(*ids, text), ids)
 
 
 def lines(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
