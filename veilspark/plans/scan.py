@@ -60,7 +60,7 @@ def _named_of(text: str, context: int) -> Column:
 
 @lru_cache(maxsize=16)
 def _spans_of(text: str, context: int) -> tuple[Column, Column]:
-    return merged(resolved(F.col("_found"))), with_values(F.col(text), F.col("_spans"))
+    return let(resolved(F.col("_found")), merged), with_values(F.col(text), F.col("_spans"))
 
 
 def _context(df: DataFrame) -> int:

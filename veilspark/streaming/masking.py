@@ -15,9 +15,8 @@ from veilspark.sources.rules import Catalogue
 def text_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """New files of a folder, one document each: ``(path, text)``."""
     return (
-        spark.readStream.option("wholetext", "true")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .text(path)
+        spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
