@@ -6,7 +6,7 @@ counts as a finding, so they are kept as plain text.
 Four conventions apply to all patterns here:
 
 * Word boundaries are ASCII only, spelled as look-arounds, because the Java
-  ``\\b`` follows Unicode.
+  ``\\b`` follows Unicode while ``\\w`` does not.
 * They run on ``text.searchable`` copies, where every Unicode blank is a vertical
   tab and every Unicode line separator a carriage return. ``BLANK`` is the body
   of a character class with all blanks of such a copy.
@@ -23,9 +23,12 @@ LINE_BLANK = r" \t\x0b\f\r"
 DOT = r"[^\n\r]"
 LINE_END = r"(?![^\n])"
 LINE_START = r"(?<![^\n])"
-WORD_START = r"(?<![A-Za-z0-9_])"
-WORD_END = r"(?![A-Za-z0-9_])"
-BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+WORD_START = r"(?<!\w)"
+WORD_END = r"(?!\w)"
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+# listed one by one, a class is a single table look-up for the regex engine
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHANUMERIC = LETTERS + "0123456789"
 
 # Characters replaced in a searchable copy, and their stand-ins. The two private-use
 # characters are the marks that ``text.find_all`` writes.
@@ -40,10 +43,10 @@ PLACEHOLDER = WORD_START + r"[A-Z0-9][A-Z0-9_]*_[0-9]+" + WORD_END
 IS_PLACEHOLDER = r"\A[A-Z0-9][A-Z0-9_]*_[0-9]+\z"
 
 # ---- personal data ----
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_LABEL = rf"[{ALPHANUMERIC}](?:[{ALPHANUMERIC}-]{{0,61}}[{ALPHANUMERIC}])?"
 # A domain name has at most 127 labels. The bound of 250 keeps the regex stack flat.
 EMAIL = (
-    BOUNDARY + r"[A-Za-z0-9._%+-]+@" + _LABEL + r"(?:\." + _LABEL + r"){0,250}\.[A-Za-z]{2,24}" + WORD_END
+    BOUNDARY + rf"[{ALPHANUMERIC}._%+-]+@" + _LABEL + r"(?:\." + _LABEL + r"){0,250}\.[A-Za-z]{2,24}" + WORD_END
 )
 EMAIL_FILE_ENDING = r"(?i)\.(?:png|jpe?g|gif|svg|webp|avif|ico|js|mjs|css|map|json|txt|log)\z"
 EMAIL_INSIDE_URL = r"://[^" + BLANK + r"/@]{0,197}\z"
@@ -103,7 +106,7 @@ ASSIGNMENT = (
     r"|(?<![\"'])[^" + BLANK + r"\"'][^" + BLANK + r"]*?(?=" + _TAIL + r")))"
     r"|(?:\"\"|'')" + _TAIL + r")"
     r"|\"(?<![\w.-]\")" + _NAME + r"\"[ \t]*:[ \t]*\"(?:[^\"\\\n]|\\" + DOT + r")*+\""
-    r"|[A-Za-z_](?<![\w.-].)[\w.-]*+[ \t]*=[ \t]*"
+    rf"|[{LETTERS}_](?<![\w.-].)[\w.-]*+[ \t]*=[ \t]*"
     r"(?:\"[^\"\n]*\"|'[^'\n]*'|[^" + BLANK + r"\"'<>,;&()]+)"
 )
 # the parts of a match: key of a line or pair, key and value of a member, value of a pair

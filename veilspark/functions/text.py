@@ -37,9 +37,9 @@ def find_all(
     """All matches as ``array<struct<start, end, match, before, after, <groups>>>``.
 
     One regex pass writes every match with its groups between marks; the rest is
-    plain splitting. Offsets are running lengths of the pieces. ``before`` and
-    ``after`` are the texts up to the neighbouring matches. A text without a match
-    gives null. ``text`` is a searchable copy and ``pattern`` does not match empty
+    plain splitting. Offsets are running lengths of the pieces. ``before`` holds up
+    to 256 characters between the previous match and this one, ``after`` the next
+    character before the following match. A text without a match gives null. ``text`` is a searchable copy and ``pattern`` does not match empty
     text. Where ``two_branches`` holds, groups n and n + 2 are alternatives of each other and are joined.
     """
     groups = dict(groups or {})
@@ -68,8 +68,8 @@ def find_all(
                         (e - F.length(F.get(x, F.lit(0)))).alias("start"),
                         e.alias("end"),
                         F.get(x, F.lit(0)).alias("match"),
-                        before(i).alias("before"),
-                        F.get(x, F.lit(n_fields - 1)).alias("after"),
+                        F.right(before(i), F.lit(_WINDOW)).alias("before"),
+                        F.substr(F.get(x, F.lit(n_fields - 1)), F.lit(1), F.lit(1)).alias("after"),
                         *[F.get(x, F.lit(j + 1)).alias(name) for j, name in enumerate(groups)],
                     ),
                 ),
@@ -132,19 +132,23 @@ def widen(chunks: Column, length: Column, start: Column, end: Column) -> Column:
 
     def left_run(context: Column) -> Column:
         return F.length(
-            F.regexp_extract(context, r"(?<![A-Za-z0-9_])[A-Za-z0-9_]*+\z", 0)
+            F.regexp_extract(context, r"(?<!\w)\w*+\z", 0)
         )
 
     def right_run(context: Column) -> Column:
-        return F.length(F.regexp_extract(context, r"\A[A-Za-z0-9_]*+", 0))
+        return F.length(F.regexp_extract(context, r"\A\w*+", 0))
 
     def grown(run: Column, whole: Callable[[], Column]) -> Column:
         return let(run, lambda r: F.when(r < _WINDOW, r).otherwise(whole()))
 
-    left = grown(
-        left_run(cut(chunks, F.greatest(start - _WINDOW, F.lit(0)), start)),
-        lambda: left_run(cut(chunks, F.lit(0), start)),
-    )
+    # the look to the left is only needed next to a word character
+    left = F.when(
+        (start > 0) & cut(chunks, start - 1, start).rlike(r"\w"),
+        grown(
+            left_run(cut(chunks, F.greatest(start - _WINDOW, F.lit(0)), start)),
+            lambda: left_run(cut(chunks, F.lit(0), start)),
+        ),
+    ).otherwise(F.lit(0))
     right = grown(
         right_run(cut(chunks, end, F.least(end + _WINDOW, length))),
         lambda: right_run(cut(chunks, end, length)),

@@ -44,7 +44,7 @@ def pairs(text: Column) -> Column:
             value.alias("value"),
             (end - F.length(value)).alias("start"),
             end.alias("end"),
-            F.when(whole | member | quoted, F.lit("")).otherwise(F.substr(m["after"], F.lit(1), F.lit(1))).alias("next_char"),
+            F.when(whole | member | quoted, F.lit("")).otherwise(m["after"]).alias("next_char"),
             F.when(whole, F.lit("line")).when(member, F.lit("json")).otherwise(F.lit("inline")).alias("form"),
         )
 
