@@ -126,10 +126,11 @@ def keyword_candidates(spark, sf_dir):
 def rule_keywords(spark, sf_dir):
     """Every (keyword, rule) pair with the number of documents that hold the keyword."""
     pairs = Catalogue().keyword_table(spark).select("keyword", "rule_id")
-    words = F.array(*[F.lit(w) for w in sorted({k for r in _RULES for k in r["keywords"]})])
+    found = keywords.keywords_in(F.lower("text"), [k for r in _RULES for k in r["keywords"]])
     hits = (
         documents(spark, sf_dir)
-        .select(F.explode(F.filter(words, lambda w: F.contains(F.lower("text"), w))).alias("keyword"))
+        .select(F.explode_outer(found).alias("keyword"))
+        .where(F.col("keyword").isNotNull())
         .groupBy("keyword")
         .agg(F.count("*").alias("n"))
     )

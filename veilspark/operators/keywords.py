@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.operators.secrets import keyword_pattern
 from veilspark.sources.rules import Catalogue
 
 
+def keywords_in(low: Column, words: Sequence[str]) -> Column:
+    """Distinct words that occur in a lower-cased text, found in one regex pass."""
+    known = sorted(set(words))
+    # the longest word at a position stands for the shorter ones it begins with
+    shorter = {w: [k for k in known if w.startswith(k)] for w in known}
+    table = F.from_json(F.lit(json.dumps(shorter)), "MAP<STRING, ARRAY<STRING>>")
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(keyword_pattern(known)), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.element_at(table, w))))
+
+
 def line_keywords(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None) -> DataFrame:
     """``(ids, keyword)``: the catalogue keywords of every line."""
     rules = catalogue or Catalogue()
-    words = F.array(*[F.lit(w) for w in sorted({k for r in rules.line_rules for k in r.keywords})])
-    low = F.lower("line")
-    return (
-        lines.select(*ids, F.explode_outer(F.filter(words, lambda w: F.contains(low, w))).alias("keyword"))
-        .where(F.col("keyword").isNotNull())
-    )
+    found = keywords_in(F.lower("line"), [k for r in rules.line_rules for k in r.keywords])
+    return lines.select(*ids, F.explode_outer(found).alias("keyword")).where(F.col("keyword").isNotNull())
 
 
 def keyword_candidates(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def category_counts(findings: DataFrame, ids: Sequence[str]) -> DataFrame:
         F.count("*").alias("n_values"), F.sum("n_hits").alias("n_matches")
     )
     return (
-        F.broadcast(categories_table(findings.sparkSession))
+        categories_table(findings.sparkSession)
         .join(totals, "category", "left")
         .select(
             "position",
