@@ -59,18 +59,25 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.002) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(max(least, 64.0))).select(key)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    salts: int = 64,
+    hot: DataFrame | None = None,
+    by: Sequence[str] | None = None,
+) -> DataFrame:
     """Join a large ``left`` with a ``right`` that has one row a key.
 
-    The rows of a hot key of ``left`` are dealt over ``salts`` parts and its row of
-    ``right`` is repeated for each. The list of hot keys is the only broadcast; it has
-    500 rows at most by its definition. ``left`` is read three times, so store it first.
+    The rows of a hot key of ``left`` are dealt over ``salts`` parts, by the columns ``by``,
+    and its row of ``right`` is repeated for each. The list of hot keys is the only broadcast;
+    it has 500 rows at most by its definition. ``left`` is read more than once, so store it
+    first, or give ``hot``.
     """
-    hot = hot_keys(left, key).withColumn("_hot", F.lit(True))
-    spread = F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), F.lit(salts)).cast("int")
-    many = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
-    )
+    hot = (hot_keys(left, key) if hot is None else hot).withColumn("_hot", F.lit(True))
+    part = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int")
+    many = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0))
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     one = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     return many.drop("_hot").join(one, [key, "_salt"], how).drop("_salt")

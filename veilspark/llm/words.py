@@ -54,10 +54,14 @@ class Words(NamedTuple):
     prints: np.ndarray  # 64-bit fingerprints of the lower-cased words
 
 
+def _powers(n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, _M1))])
+
+
 def find_words(data: np.ndarray, borders: np.ndarray, table: np.ndarray, window: int = 1 << 20) -> Words:
     """All words of the texts between ``borders``; temporary memory is bounded by ``window``."""
     lower, of_byte = lower_bytes(), mix(np.arange(256, dtype=np.uint64))
-    powers = np.ones(64, np.uint64)
+    powers = _powers(64)
     starts, ends, prints = [], [], []
     lo, n = 0, len(data)
     while lo < n:
@@ -88,7 +92,7 @@ def find_words(data: np.ndarray, borders: np.ndarray, table: np.ndarray, window:
             segments = np.cumsum(lengths) - lengths
             place = np.arange(int(lengths.sum())) - np.repeat(segments, lengths)
             if lengths.max() > len(powers):
-                powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(lengths.max()), _M1))])
+                powers = _powers(int(lengths.max()))
             values = of_byte[lower[data[lo:hi][is_word]]] * powers[place]
             prints.append(mix(np.add.reduceat(values, segments) ^ (lengths.astype(np.uint64) * _M2)))
             starts.append(a + lo)
