@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.shared import Stored, flat_lists, hot_keys, row_groups, salted_join, store, text_bytes
+from veilspark.llm.shared import flat_lists, hot_keys, row_groups, salted_join, store, text_bytes
 from veilspark.llm.words import find_words, mix, printables, shingle_prints
 
 SLOTS = 256
@@ -214,43 +214,46 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, out)
 
 
-def components(links: DataFrame) -> Stored:
+def components(links: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node that each node of ``links (a, b)`` reaches.
 
     Each round links the larger neighbours of a node, then its smaller ones, to the
     smallest neighbour. Every link of a result points from a node to the smallest node
-    of its group, so the rounds end when nothing changes.
+    of its group, so the rounds end when nothing changes. The smallest node itself has no row.
     """
 
-    def smallest(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("least"))
+    def to_smallest(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+        hot = least.where(F.col("n") > F.lit(max(64.0, rows * 0.002))).select("u")
+        return salted_join(edges, least.select("u", "least"), "u", hot=hot)
 
-    def state(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    larger, lesser = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = store(links.where("a <> b").select(larger, lesser).distinct(), "links")
-    seen = state(now.frame)
-    while seen[0]:
-        edges = now.frame
+    def round_of(edges: DataFrame, rows: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = smallest(both).select("u", F.least("u", "least").alias("least"))
-        large = salted_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        wide = store(large.where("u <> v").distinct(), "large-stars")
-        low = smallest(wide.frame)
+        least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        least = least.select("u", F.least("u", "least").alias("least"), "n")
+        wide = to_smallest(both, least, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        low = wide.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
         small = (
-            salted_join(wide.frame, low, "u")
+            to_smallest(wide, low, rows)
             .select(F.col("v").alias("u"), F.col("least").alias("v"))
             .unionByName(low.select("u", F.col("least").alias("v")))
         )
-        after = store(small.where("u <> v").distinct(), "small-stars")
-        now.drop()
-        wide.drop()
-        now, last = after, seen
-        seen = state(now.frame)
-        if seen == last:
+        return small.where("u <> v").distinct()
+
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    last, now, rows = None, None, edges.count()
+    while rows:
+        seen = Observation()
+        after = store(
+            round_of(edges, rows).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")),
+            "groups",
+        )
+        if now is not None:
+            now.drop()
+        now, edges, rows, state = after, after.frame, seen.get["n"], (seen.get["n"], seen.get["sum"])
+        if state == last:
             break
-    return Stored(now.frame.select(F.col("u").alias("node"), F.col("v").alias("component")), now.path)
+        last = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _block_pairs(crowded: DataFrame, percent: int) -> DataFrame:
@@ -311,15 +314,18 @@ def near_duplicates(
     """
     rows = store(signatures(docs, text, doc_id, width), "signatures").frame
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = store(named.groupBy("print").agg(F.min("doc_id").alias("first_id")), "sets").frame
-    alone = named.join(sets.select(F.col("first_id").alias("doc_id"), F.col("print").alias("_p")), "doc_id").where("print = _p").drop("_p")
-    one_each = store(alone.dropDuplicates(["print"]).select("doc_id", "n_shingles", "bands", "sketch", "bins"), "one-each").frame
+    sets = store(named.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "sets").frame
+    first = sets.select("doc_id", F.col("print").alias("_print"))
+    one_each = store(
+        named.join(first, "doc_id").where("print = _print").dropDuplicates(["print"])
+        .select("doc_id", "n_shingles", "bands", "sketch", "bins"),
+        "one-each",
+    ).frame
 
     banded = one_each.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = store(banded.join(shared, "band"), "band-members").frame
-    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "doc_id")
+    ranked = members.join(members.groupBy("doc_id").agg(F.sum("n").alias("degree")), "doc_id")
     leader = ranked.groupBy("band").agg(
         F.max(F.struct("degree", (-F.col("doc_id")).alias("least"), F.col("n_shingles").alias("n_a"))).alias("top")
     ).select("band", (-F.col("top.least")).alias("a"), "top.n_a")
@@ -329,29 +335,30 @@ def near_duplicates(
         .select("a", F.col("doc_id").alias("b")).distinct(),
         "pairs",
     ).frame
-    ids = members.select("doc_id").distinct()
     texts = store(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")),
+        .join(members.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")),
         "texts",
     ).frame
-    links = store(confirmed(pairs, texts, width, percent), "links").frame
-    groups = components(links)
+    groups = components(store(confirmed(pairs, texts, width, percent), "links").frame)
 
-    def grouped(frame: DataFrame, key: str) -> DataFrame:
-        return frame.join(groups.frame.withColumnRenamed("node", key), key, "left").withColumn(
-            "component", F.coalesce("component", key)
+    def grouped(frame: DataFrame, key: str, of: DataFrame, name: str) -> DataFrame:
+        return frame.join(of.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(
+            name, F.coalesce(name, key)
         )
 
-    placed = store(grouped(members, "doc_id"), "placed").frame
+    placed = grouped(members, "doc_id", groups, "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     crowded = placed.join(mixed.select("band"), "band", "left_semi").join(one_each.select("doc_id", "sketch", "bins"), "doc_id")
     rest = store(_block_pairs(crowded, percent).join(pairs, ["a", "b"], "left_anti"), "rest").frame
     more = store(confirmed(rest, texts, width, percent), "more-links").frame
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
-    of_set = store(grouped(sets.withColumnRenamed("first_id", "doc_id"), "doc_id").select("print", "component"), "groups").frame
-    joined = salted_join(named.select("doc_id", "n_shingles", "print"), of_set, "print").select(
+    of_set = grouped(sets, "doc_id", groups, "component").select("print", "component")
+    if not more.isEmpty():  # links between groups: group the groups
+        between = grouped(grouped(more, "a", groups, "x"), "b", groups, "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        wider = components(store(between, "between-groups").frame)
+        of_set = grouped(of_set, "component", wider, "wider").select("print", F.col("wider").alias("component"))
+    hot = sets.where(F.col("copies") > F.lit(max(64.0, rows.count() * 0.002))).select("print")
+    joined = salted_join(named.select("doc_id", "n_shingles", "print"), of_set, "print", hot=hot).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id")
     )
     rest_rows = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(
