@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, decontaminate, minhash, topk
+from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, secret_scan, surrogates, topk, toxicity
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -115,3 +115,30 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     records = chat.records_of(rows.unionByName(added))
     return chat.digests(chat.format_chats(records, "record", ["conv_id"]), ["conv_id"])
+
+
+@job("op3_html_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@job("op4_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, vectors = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scores(vectors, model)
+
+
+@job("op5_secret_scan")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.train(docs))
+
+
+@job("op6_language")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@job("op8_surrogates")
+def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the deployment")
