@@ -222,18 +222,14 @@ def components(links: DataFrame) -> DataFrame:
     of its group, so the rounds end when nothing changes. The smallest node itself has no row.
     """
 
-    def to_smallest(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-        hot = least.where(F.col("n") > F.lit(max(64.0, rows * 0.002))).select("u")
-        return salted_join(edges, least.select("u", "least"), "u", hot=hot)
-
     def round_of(edges: DataFrame, rows: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
-        least = least.select("u", F.least("u", "least").alias("least"), "n")
-        wide = to_smallest(both, least, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        low = wide.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        hot = hot_keys(both, "u", rows=2 * rows)
+        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+        wide = salted_join(both, least, "u", hot=hot).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        low = wide.groupBy("u").agg(F.min("v").alias("least"))
         small = (
-            to_smallest(wide, low, rows)
+            salted_join(wide, low, "u", hot=hot)
             .select(F.col("v").alias("u"), F.col("least").alias("v"))
             .unionByName(low.select("u", F.col("least").alias("v")))
         )
@@ -357,7 +353,8 @@ def near_duplicates(
         between = grouped(grouped(more, "a", groups, "x"), "b", groups, "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         wider = components(store(between, "between-groups").frame)
         of_set = grouped(of_set, "component", wider, "wider").select("print", F.col("wider").alias("component"))
-    hot = sets.where(F.col("copies") > F.lit(max(64.0, rows.count() * 0.002))).select("print")
+    often = sets.where(F.col("copies") > F.lit(max(64.0, rows.count() * 0.002)))  # 500 sets at most
+    hot = [r[0] for r in often.select("print").collect()]
     joined = salted_join(named.select("doc_id", "n_shingles", "print"), of_set, "print", hot=hot).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id")
     )

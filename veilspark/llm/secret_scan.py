@@ -33,7 +33,7 @@ from veilspark.llm.shared import store
 #: Documents whose words surround the labelled findings, and words of the dictionary.
 EXAMPLES = 400
 DICTIONARY = 4000
-TREES, DEPTH, SEED = 24, 6, 17
+TREES, DEPTH, SEED = 16, 5, 17
 MASK = "[SECRET]"
 
 # Words that speak of secrets, of other things that look like them, and of placeholders; known formats.

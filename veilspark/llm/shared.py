@@ -53,10 +53,11 @@ def store(df: DataFrame, label: str) -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.002) -> DataFrame:
-    """Keys with more than ``share`` of the rows: at most ``1 / share`` of them."""
-    least = df.count() * share
-    return df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(max(least, 64.0))).select(key)
+def hot_keys(df: DataFrame, key: str, share: float = 0.002, rows: int | None = None) -> list:
+    """Keys with more than ``share`` of the rows: at most ``1 / share`` of them, whatever the table."""
+    least = max(64.0, (df.count() if rows is None else rows) * share)
+    many = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(least))
+    return [r[0] for r in many.select(key).collect() if r[0] is not None]
 
 
 def salted_join(
@@ -65,22 +66,23 @@ def salted_join(
     key: str,
     how: str = "inner",
     salts: int = 64,
-    hot: DataFrame | None = None,
+    hot: list | None = None,
     by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join a large ``left`` with a ``right`` that has one row a key.
 
     The rows of a hot key of ``left`` are dealt over ``salts`` parts, by the columns ``by``,
-    and its row of ``right`` is repeated for each. The list of hot keys is the only broadcast;
-    it has 500 rows at most by its definition. ``left`` is read more than once, so store it
-    first, or give ``hot``.
+    and its row of ``right`` is repeated for each. The hot keys are a list of 500 at most by
+    their definition. ``left`` is read for it, so store it first, or give ``hot``.
     """
-    hot = (hot_keys(left, key) if hot is None else hot).withColumn("_hot", F.lit(True))
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
     part = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int")
-    many = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0))
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    one = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
-    return many.drop("_hot").join(one, [key, "_salt"], how).drop("_salt")
+    many = left.withColumn("_salt", F.when(is_hot, part).otherwise(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return many.join(right.withColumn("_salt", F.explode(parts)), [key, "_salt"], how).drop("_salt")
 
 
 def lowered(text: Column) -> Column:
