@@ -1,0 +1,51 @@
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.llm import secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_held_out_findings(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id > 5000")  # other words than those of training
+    made = secret_scan.labelled_findings(docs, examples=60)
+    rows = made.select("label", F.explode(forest.findings(F.col("text"))).alias("f")).select("label", "f.is_secret").collect()
+    right = sum((r.label == 1) == r.is_secret for r in rows)
+    assert len(rows) > 800 and right / len(rows) > 0.95
+
+
+def test_cases(spark, forest):
+    secret = "4f9c1b7e2d8a6035" + "9e1c7b3f5d2a8064" + "1a2b3c4d"
+    texts = [
+        f'words of text token = "{secret}" and more', "token = \"the_next_word\" is an identifier", 'commit "' + secret + '" was made', f"é漢🙂 API_KEY={secret[:24]}\nnext",
+        None, "", "password: xxxxxxxxxxxx", f"token={secret} token={secret}", "x" * 200000 + f' secret_key: "{secret}"',
+    ]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[0], "c")], "doc_id long, text string, score string")
+    found = secret_scan.scan_secrets(docs, forest)
+    kept = sorted((str(r.doc_id), r.start, r.end) for r in found.where("is_secret").collect())
+    places = lambda i, n=40: [(str(i), texts[i].index(secret[:n]), texts[i].index(secret[:n]) + n)]
+    want = places(0) + places(3, 24) + places(7) + [("7", texts[7].rindex(secret), len(texts[7]))] + places(8) + [("None", *places(0)[0][1:])]
+    assert kept == sorted(want)
+    masked = {r.doc_id: r.t for r in docs.where("doc_id is not null").select("doc_id", secret_scan.masked(F.col("text"), forest).alias("t")).collect()}
+    assert masked[0] == 'words of text token = "[SECRET]" and more' and masked[7] == "token=[SECRET] token=[SECRET]"
+    assert masked[3] == "é漢🙂 API_KEY=[SECRET]\nnext" and masked[4] is None and masked[5] == "" and masked[1] == texts[1]
+    assert secret_scan.scan_secrets(docs.limit(0), forest).count() == 0
+
+
+def test_empty_table_trains_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert secret_scan.scan_secrets(docs, secret_scan.train(docs)).count() == 0
+
+
+def test_planted_tokens_and_plans(spark, forest):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = secret_scan.scan_secrets(docs, forest)
+    planted = docs.select(F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("v")).select(F.sha2("v", 256)).distinct()
+    assert planted.exceptAll(found.where("is_secret").select("value_sha256").distinct()).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

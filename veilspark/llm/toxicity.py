@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     # The usual 2 x 2 table: a toxic with the term, b others with it, c and d without.
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
-    chi = F.lit(float(n)) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
+    chi = F.try_divide(F.lit(float(n)) * F.pow(a * d - b * c, 2), (a + b) * (c + d) * (a + c) * (b + d))
     chosen = per_term.where("n >= 3").withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.col("chi").desc(), "term").limit(TERMS)
     terms = np.sort(np.array([r.term for r in chosen.collect()], np.int64).view(np.uint64))
     vectors = store(term_vectors(docs, text, [doc_id], terms), "vectors").frame
