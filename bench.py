@@ -29,7 +29,8 @@ HEADLINES = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "bench", **{"spark.sql.files.maxPartitionBytes": str(4 << 20)})
+    # The test tables are files of one row group; a session on one machine may ask for more partitions.
+    spark = local_session(cpus, "bench", **{"spark.sql.files.maxPartitionBytes": str(4 << 20), "spark.veilspark.readPartitions": cpus})
 
     def run(name: str) -> float:
         began = time.time()

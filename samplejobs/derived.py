@@ -83,11 +83,11 @@ LOG = (
          "bearer_token", 3.0),
     Part("'DATABASE_URL=postgres://app:'", _hex(12, 12), "'@db.internal:5432/app'", "passwords", "DB_PASSWORD",
          "db_password"),
-    Part("'git remote add origin https://deploy:'", _hex(13, 14), "'@git.example.com/app.git'", "passwords",
+    Part("'mirror pulls from https://builder:'", _hex(13, 14), "'@code.example.org/shop/api.git'", "passwords",
          "PASSWORD", "password"),
     Part("'DB_PASSWORD='", _hex(14, 10), "''", "passwords", "PASSWORD", "env-secret"),
     Part("""'export SESSION_SECRET="'""", h(15), """'"'""", "passwords", "SECRET", "env-secret"),
-    Part("""'{"client_id": "web", "client_secret": "'""", h(16), """'"}'""", "passwords", "SECRET", "env-secret"),
+    Part("""'{"issuer": "shop", "client_secret": "'""", h(16), """'"}'""", "passwords", "SECRET", "env-secret"),
     Part("'status=ok signature='", f"('Zq' || translate({h(17)}, '0123456789abcdef', 'GhJkMnPqRs012345'))", "' end'", "keys", "SECRET",
          "high-entropy", 3.7, True),
     Part("'contact user'", "k", "' left'", "", "", ""),
@@ -103,7 +103,7 @@ LOG = (
          "phone"),
     Part("''", f"({BEGIN} || chr(10) || {_hex(20, 64)} || chr(10) || {_hex(21, 64)} || chr(10) || {END})", "''",
          "privateKeys", "PRIVATE_KEY", "private-key"),
-    Part("'curl -u '", f"('admin:' || {_hex(22, 12)})", "' https://api.example.com/v1'", "keys", "CURL_AUTH_USER",
+    Part("'curl -u '", f"('admin:' || {_hex(22, 12)})", "' https://status.example.org/health'", "keys", "CURL_AUTH_USER",
          "curl-auth-user", 2.0),
     Part("'kind: Secret' || chr(10) || 'data:' || chr(10) || '  '", f"('password: ' || {_hex(23, 24)})", "''", "keys",
          "KUBERNETES_SECRET_YAML", "kubernetes-secret-yaml"),

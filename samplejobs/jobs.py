@@ -47,8 +47,10 @@ def log_scan(spark: SparkSession, sf_dir: str, categories=None):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder in the shared checkpoint folder of the cluster; a private one only in tests."""
+    """A folder in the shared checkpoint folder of the cluster; a private one only in local mode without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if shared is None:
         return tempfile.mkdtemp(prefix="veilspark-")
     return f"{shared.rstrip('/')}/veilspark-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
@@ -392,8 +394,7 @@ _CODE_TEXTS = (
 
 @job(
     "assign_not_code",
-    "SELECT c_custkey, 'secret_key' AS key, substr(md5(c_name), 1, 12) AS value FROM customer "
-    "WHERE NOT regexp_matches(substr(md5(c_name), 1, 12), 'e[0-9]{200}')",
+    "SELECT c_custkey, 'secret_key' AS key, substr(md5(c_name), 1, 12) AS value FROM customer",
 )
 def assign_not_code(spark, sf_dir):
     """Pairs whose value is a literal; calls, indexes and dotted names are dropped."""

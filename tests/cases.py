@@ -1,125 +1,124 @@
 """Test texts. Secret-shaped values are assembled at run time from parts and a seeded generator."""
 
 import base64
+import json
 import random
+import string
 
-UP, LO, DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALNUM, HEX = UP + LO + DIG, DIG + "abcdef"
-_random = random.Random(7)
+ALNUM = string.ascii_uppercase + string.ascii_lowercase + string.digits
+BASE32 = string.ascii_uppercase + "234567"
+LOWER = string.ascii_lowercase + string.digits
+HEX = string.digits + "abcdef"
+WIDE = ALNUM + "+/"
+_random = random.Random(1931)
 
 
 def rnd(chars: str, n: int) -> str:
     return "".join(_random.choice(chars) for _ in range(n))
 
 
+def shaped(*parts) -> str:
+    """A value from fixed strings and ``(characters, length)`` pairs."""
+    return "".join(p if isinstance(p, str) else rnd(*p) for p in parts)
+
+
+#: Formats that are found wherever they stand: placeholder label and parts of the value.
+FORMATS = (
+    ("SQUARE_ACCESS_TOKEN", "sq0", "atp-", (ALNUM, 22)),
+    ("DOPPLER_API_TOKEN", "dp", ".pt.", (LOWER, 43)),
+    ("LINEAR_API_KEY", "lin", "_api_", (LOWER, 40)),
+    ("DATABRICKS_API_TOKEN", "da", "pi", (HEX, 32)),
+    ("SHOPIFY_ACCESS_TOKEN", "shp", "at_", (HEX, 32)),
+    ("DIGITALOCEAN_PAT", "do", "p_v1_", (HEX, 64)),
+    ("TWILIO_API_KEY", "S", "K", (HEX, 32)),
+    ("SENDGRID_API_TOKEN", "SG", ".", (ALNUM, 22), ".", (ALNUM, 43)),
+    ("NPM_ACCESS_TOKEN", "np", "m_", (LOWER, 36)),
+    ("GCP_API_KEY", "AI", "za", (ALNUM, 35)),
+    ("STRIPE_KEY", "sk", "_live_", (ALNUM, 24)),
+    ("GITLAB_PAT", "gl", "pat-", (ALNUM, 20)),
+    ("GITHUB_TOKEN", "gh", "o_", (ALNUM, 36)),
+    ("GITHUB_TOKEN", "gh", "p_", (ALNUM, 36)),
+    ("AWS_ACCESS_KEY", "AK", "IA", (BASE32, 16)),
+    ("VAULT_SERVICE_TOKEN", "s", ".", (LOWER, 24)),
+    ("ANTHROPIC_API_KEY", "sk-", "ant-api03-", (ALNUM, 93), "AA"),
+    ("OPENAI_API_KEY", "sk-", "proj-", (ALNUM, 74), "T3Blbk", "FJ", (ALNUM, 74)),
+    ("SLACK_BOT_TOKEN", "xo", "xb-", (string.digits, 12), "-", (string.digits, 12), "-", (ALNUM, 24)),
+)
+SURROUNDINGS = ("rotate {} before Friday", "old value {} (revoked)", "see {} then retry", "{} was pasted here")
+
+
+def key_block(lines: int) -> str:
+    body = "\n".join(rnd(WIDE, 64) for _ in range(lines))
+    return "-----BEGIN EC PRIV" + f"ATE KEY-----\n{body}\n-----END EC PRIV" + "ATE KEY-----"
+
+
+def signed_token() -> str:
+    parts = [json.dumps(x).encode() for x in ({"alg": "ES256", "kid": "k1"}, {"iss": "shop", "n": 7})]
+    return ".".join(base64.urlsafe_b64encode(p).decode().rstrip("=") for p in parts) + "." + rnd(ALNUM, 52)
+
+
 def positives():
     """(label, text, value that must go, start of the placeholder)."""
     out = []
-
-    def add(label, value, prefix, context="found {} in log"):
-        out.append((label, context.replace("{}", value), value, prefix))
-
-    uuid = "-".join(rnd(HEX, n) for n in (8, 4, 4, 4, 12))
-    add("aws", "AK" + "IA" + rnd(UP + "234567", 16), "AWS_ACCESS_KEY_")
-    add("github pat", "gh" + "p_" + rnd(ALNUM, 36), "GITHUB_TOKEN_")
-    add("github fine", "github" + "_pat_" + rnd(ALNUM + "_", 82), "GITHUB_TOKEN_")
-    add("github oauth", "gh" + "o_" + rnd(ALNUM, 36), "GITHUB_TOKEN_")
-    add("gitlab", "gl" + "pat-" + rnd(ALNUM, 20), "GITLAB_PAT_")
-    add("slack bot", "xo" + "xb-" + rnd(DIG, 11) + "-" + rnd(DIG, 12) + "-" + rnd(ALNUM, 24), "SLACK_BOT_TOKEN_")
-    add("slack hook", "https://hooks.slack" + ".com/services/T" + rnd(UP + DIG, 9) + "/B" + rnd(UP + DIG, 9) + "/" + rnd(ALNUM, 24), "SLACK_WEBHOOK_URL_")
-    add("stripe", "sk" + "_live_" + rnd(ALNUM, 24), "STRIPE_KEY_")
-    add("gcp", "AI" + "za" + rnd(ALNUM + "_-", 35), "GCP_API_KEY_")
-    add("openai", "sk-" + "proj-" + rnd(ALNUM, 74) + "T3Blbk" + "FJ" + rnd(ALNUM, 74), "OPENAI_API_KEY_")
-    add("anthropic", "sk-" + "ant-api03-" + rnd(ALNUM, 93) + "AA", "ANTHROPIC_API_KEY_")
-    add("npm", "np" + "m_" + rnd(LO + DIG, 36), "NPM_ACCESS_TOKEN_")
-    add("sendgrid", "SG" + "." + rnd(ALNUM, 22) + "." + rnd(ALNUM, 43), "SENDGRID_API_TOKEN_")
-    add("twilio", "S" + "K" + rnd(HEX, 32), "TWILIO_API_KEY_")
-    add("digitalocean", "do" + "p_v1_" + rnd(HEX, 64), "DIGITALOCEAN_PAT_")
-    add("shopify", "shp" + "at_" + rnd(HEX, 32), "SHOPIFY_ACCESS_TOKEN_")
-    add("databricks", "da" + "pi" + rnd(HEX, 32), "DATABRICKS_API_TOKEN_")
-    add("linear", "lin" + "_api_" + rnd(LO + DIG, 40), "LINEAR_API_KEY_")
-    add("doppler", "dp" + ".pt." + rnd(LO + DIG, 43), "DOPPLER_API_TOKEN_")
-    add("square", "sq0" + "atp-" + rnd(ALNUM, 22), "SQUARE_ACCESS_TOKEN_")
-    add("age", "AGE-SECRET" + "-KEY-1" + rnd("QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L", 58), "AGE_SECRET_KEY_")
-    add("telegram", rnd("123456789", 10) + ":A" + rnd(ALNUM, 34), "TELEGRAM_BOT_API_TOKEN_", "telegram_bot = {}")
-    add("heroku", uuid, "HEROKU_API_KEY_", "heroku_config: {}")
-    jwt = ".".join(
-        base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1234567890","name":"x"}')
-    ) + "." + rnd(ALNUM, 43)
-    add("jwt", jwt, "JWT_")
-    body = "\n".join(rnd(ALNUM + "+/", 64) for _ in range(4))
-    add("private key", "-----BEGIN RSA PRIV" + "ATE KEY-----\n" + body + "\n-----END RSA PRIV" + "ATE KEY-----", "PRIVATE_KEY_", "key:\n{}\ndone")
-    add("generic", rnd(ALNUM, 32), "API_KEY_", "my auth => {} ok")
-    add("curl user", "admin:" + rnd(ALNUM, 14), "CURL_AUTH_USER_", "curl -u {} https://api.example.com")
-    add("curl header", rnd(ALNUM, 24), "CURL_AUTH_HEADER_", 'curl https://api.example.com \\\n  -H "X-Api-Key: {}"')
-    add("kubernetes", "password: " + rnd(ALNUM, 16) + "==", "KUBERNETES_SECRET_YAML_", "kind: Secret\nmetadata:\n  name: db\ndata:\n  {}\n")
-    add("kubernetes reversed", "password: " + rnd(ALNUM, 16) + "==", "KUBERNETES_SECRET_YAML_", "data:\n  {}\nmetadata:\n  name: db\nkind: Secret\n")
-    add("atlassian", rnd(LO + DIG, 20) + rnd(HEX, 4), "ATLASSIAN_API_TOKEN_", "jira token: {}")
-    add("azure", rnd(ALNUM, 3) + "8Q~" + rnd(ALNUM, 34), "AZURE_AD_CLIENT_SECRET_", "client {} used")
-    add("nuget", "Pa" + rnd(ALNUM, 12) + "!", "NUGET_CONFIG_PASSWORD_", '<add key="ClearTextPassword" value="{}" />')
-    add("sonar", rnd(LO + DIG, 40), "SONAR_API_TOKEN_", "sonar.login={}")
-    add("vault", "s." + rnd(LO + DIG, 24), "VAULT_SERVICE_TOKEN_")
-    add("bearer", rnd(ALNUM, 40), "BEARER_TOKEN_", "Authorization: Bearer {}")
-    add("basic", rnd(ALNUM, 24), "BASIC_AUTH_", "authorization: basic {}")
-    add("url login", rnd(ALNUM, 16), "PASSWORD_", "git remote add origin https://deploy:{}@git.example.com/app.git")
-    add("mongodb", rnd(ALNUM, 16), "DB_PASSWORD_", "MONGO_URL=mongodb+srv://app:{}@cluster0.example.net/prod")
-    add("ado", rnd(ALNUM, 14), "PASSWORD_", "Server=db;Database=app;User ID=app;Password={};")
-    add("jdbc", rnd(ALNUM, 14), "PASSWORD_", "jdbc:mysql://db.example.net:3306/app?user=app&password={}&ssl=true")
-    add("env password", "hunter" + rnd(ALNUM, 6), "PASSWORD_", "DB_PASSWORD={}")
-    add("env token", rnd(ALNUM, 24), "SECRET_", 'export API_TOKEN="{}"')
-    add("yaml password", rnd(ALNUM, 12), "PASSWORD_", "database:\n  password: {}\n")
-    add("json secret", rnd(ALNUM, 30), "SECRET_", '{"client_id": "web", "client_secret": "{}"}')
-    add("entropy", rnd(ALNUM, 31) + "7", "SECRET_", "signature={} status=ok")
-    add("email", "jane.doe+billing@example.co.uk", "EMAIL_")
-    add("ipv4", "198.51.100.23", "IP_", "client {} connected")
-    add("ipv6 full", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "IP_", "from {} ok")
-    add("ipv6 short", "fd12:3456:789a::1", "IP_", "from {} ok")
-    add("visa", "4242 4242 4242 4242", "CARD_")
-    add("mastercard", "5555555555554444", "CARD_", "pan={}")
-    add("amex", "3782 822463 10005", "CARD_")
-    add("iban spaced", "GB82 WEST 1234 5698 7654 32", "IBAN_")
-    add("iban compact", "DE89370400440532013000", "IBAN_")
-    add("phone intl", "+44 20 7946 0958", "PHONE_")
-    add("phone us", "(415) 555-0132", "PHONE_")
-    return out
+    for i, (label, *parts) in enumerate(FORMATS):
+        value = shaped(*parts)
+        out.append((f"format {i}", SURROUNDINGS[i % len(SURROUNDINGS)].format(value), value, f"{label}_"))
+    in_context = (
+        ("a date for a card", "4000 0566 5566 5556", "CARD_", "paid with {} on Monday"),
+        ("card in a field", "6011111111111117", "CARD_", "account|{}|ok"),
+        ("account number", "FR14 2004 1010 0505 0001 3M02 606", "IBAN_", "transfer to {} done"),
+        ("compact account number", "NL91ABNA0417164300", "IBAN_", "to={}"),
+        ("phone with country", "+49 30 901820", "PHONE_", "ring {} after six"),
+        ("phone with area", "(212) 555-0187", "PHONE_", "desk {} east"),
+        ("mailbox", "lee+news@mail.example.org", "EMAIL_", "write to {}."),
+        ("address of four", "203.0.113.77", "IP_", "lost route to {} again"),
+        ("address of eight", "2001:0db8:0000:0042:0000:8a2e:0370:7334", "IP_", "peer {} left"),
+        ("short address of eight", "fd00:abcd::17", "IP_", "peer {} joined"),
+        ("header", rnd(ALNUM, 44), "BEARER_TOKEN_", "> Authorization: Bearer {}"),
+        ("basic header", rnd(ALNUM, 28), "BASIC_AUTH_", "authorization: basic {}"),
+        ("login of an address", rnd(ALNUM, 15), "PASSWORD_", "fetching https://robot:{}@packages.example.org/simple"),
+        ("login of a database", rnd(ALNUM, 18), "DB_PASSWORD_", "store is postgres://ledger:{}@pg.example.org/main"),
+        ("settings line", "Winter" + rnd(ALNUM, 8), "PASSWORD_", "SMTP_PASSWORD={}"),
+        ("quoted settings line", rnd(ALNUM, 26), "SECRET_", 'set WEBHOOK_SECRET="{}"'),
+        ("member of an object", rnd(ALNUM, 32), "SECRET_", '{{"realm": "shop", "client_secret": "{}"}}'),
+        ("random looking member", rnd(ALNUM, 33) + "4", "SECRET_", "x_signature={} attempt=2"),
+        ("signed token", signed_token(), "JWT_", "cookie {} expired"),
+        ("key block", key_block(3), "PRIVATE_KEY_", "file follows\n{}\nend of file"),
+        ("login of a call", "ops:" + rnd(ALNUM, 15), "CURL_AUTH_USER_", "curl --user {} https://status.example.org/health"),
+        ("manifest", "password: " + rnd(ALNUM, 18) + "==", "KUBERNETES_SECRET_YAML_", "kind: Secret\ndata:\n  {}\n"),
+        ("manifest from below", "password: " + rnd(ALNUM, 18) + "==", "KUBERNETES_SECRET_YAML_", "data:\n  {}\nkind: Secret\n"),
+        ("package source", "Qx" + rnd(ALNUM, 13) + "!", "NUGET_CONFIG_PASSWORD_", '<add key="ClearTextPassword" value="{}" />'),
+        ("closing character", shaped("sntrys_", "eyJpYXQiO", (ALNUM, 20), "LCJyZWdpb25fdXJs", (ALNUM, 20), "_", (ALNUM, 43)), "SENTRY_ORG_TOKEN_", "report with {}"),
+    )
+    return out + [(label, context.format(value), value, prefix) for label, value, prefix, context in in_context]
 
 
 def negatives():
     """Texts without any finding."""
-    image = "data:image/png;base64," + base64.b64encode(bytes(range(256)) * 6).decode()
+    picture = "data:image/gif;base64," + base64.b64encode(bytes(i * 7 % 256 for i in range(1500))).decode()
+    digest = "8f14e45fceea167a5a36dedd4bea2543" + "ab12cd34"
     return {
-        "hashes": "commit 9fceb02d0ae598e95dc970b74767f19372d61af8\nMerge: 1a2b3c4 5d6e7f8\n"
-                  '{"commit": "9fceb02d0ae598e95dc970b74767f19372d61af8", "sha": "' + "e3b0c44298fc1c14" * 4 + '"}\n'
-                  "image: registry.example.com/app@sha256:" + "e3b0c44298fc1c14" * 4,
-        "uuids": "request_id=7f9c2ba4-e88f-4f0e-9a4b-3c2d1e0f5a6b\n"
-                 '{"id": "550e8400-e29b-41d4-a716-446655440000", "trace_id": "4bf92f3577b34da6a3ce929d0e0e4736"}',
-        "image": f'<img alt="logo" src="{image}">\n.logo {{ background: url({image}); }}\n{{"avatar": "{image}"}}',
-        "prose": "The deploy finished at 14:32 and errors dropped to 0.2%. Key takeaways: keep the token rotation "
-                 "schedule, and write down the password policy for new hires. Thanks for the quick fix!",
-        "versions": "react from v18.2.0 to 19.1.0, @types/node@22.15.3, 2.14.0-beta.1, Version=4.0.0.0",
-        "numbers": "processed 1715000000000 events, pi is 3.14159, order 123456789012, 2025-09-14 09:41:07+02:00, "
-                   "listening on 0.0.0.0:8080 and 127.0.0.1:3000",
-        "code": "const token = getToken();\napiKey: process.env.API_KEY,\npassword: ${DB_PASSWORD}\n"
-                'secret_key = os.environ["SECRET_KEY"]\napi_key=API_KEY_1\nimport { tokenize } from "./lexer.js"',
-        "paths": "GET https://example.com/search?page=2&sort=desc 200\nat Object.<anonymous> "
-                 "(/srv/app/node_modules/express/lib/router/index.js:284:7)\nsee icon@2x.png",
+        "digests": f'commit {digest}\nparent 0a1b2c3\n{{"sha": "{digest}"}}',
+        "pictures": f'<img src="{picture}">\n.icon {{ background: url({picture}) }}',
+        "language": "By noon the queue was empty. Please keep the password rules short, and tell the new colleagues about them!",
+        "releases": "moved from v3.11.4 to 4.0.1-rc.2, schema version=12.0.3.1",
+        "amounts": "17 of 1690000000000 rows, 2.71828 on average, invoice 100200300400, on 127.0.0.1:9200",
+        "programs": "let token = nextToken();\npassword: ${ADMIN_PASSWORD}\nsecret_key = os.environ[\"SIGNING\"]",
+        "places": "GET https://docs.example.org/guide?chapter=4&view=print 304, drawing@3x.png in /opt/site/assets/img/index.css:12:3",
     }
 
 
 def sample_log():
     """A log with values of all eight categories."""
-    key = "\n".join(rnd(ALNUM + "+/", 64) for _ in range(6))
     return "\n".join([
-        "2025-09-14T09:41:07.312Z INFO gateway starting build=4.12.0 commit=9fceb02d0ae598e95dc970b74767f19372d61af8",
-        "AWS_ACCESS_KEY_ID=" + "AK" + "IA" + rnd(UP + "234567", 16),
-        "STRIPE_SECRET_KEY=" + "sk" + "_live_" + rnd(ALNUM, 24),
-        f"DATABASE_URL=postgres://billing_app:Wint3r-{rnd(ALNUM, 10)}@db-prod.internal:5432/billing",
-        f'SESSION_SECRET="{rnd(ALNUM, 32)}"',
-        f"git clone https://{'gh' + 'p_' + rnd(ALNUM, 36)}@github.com/acme/billing-worker.git",
-        "payment failed for customer maria@example.com (card 4242 4242 4242 4242, IBAN DE89 3704 0044 0532 0130 00)",
-        "  X-Forwarded-For: 203.0.113.42, 10.0.4.17",
-        "ticket #5521 opened by james@acme-corp.io, callback +1 415 555 0132, again maria@example.com",
-        "-----BEGIN RSA PRIV" + "ATE KEY-----\n" + key + "\n-----END RSA PRIV" + "ATE KEY-----",
-        "ready in 2988 ms, 0 errors since v4.11.2",
+        "07:00:01 worker 4 up, release 9.3.1",
+        "07:00:02 env S3_KEY=" + shaped("AK", "IA", (BASE32, 16)),
+        f"07:00:02 env QUEUE_URL=amqp://orders:{rnd(ALNUM, 14)}@mq.example.org:5671/live",
+        f'07:00:03 env COOKIE_SECRET="{rnd(ALNUM, 34)}"',
+        "07:01:10 order 881 by noor@example.org, card 4000 0566 5566 5556, account NL91 ABNA 0417 1643 00",
+        "07:01:11 seen from 203.0.113.9, then 198.51.100.4",
+        "07:02:30 noor@example.org asks for a call at +49 30 901820",
+        key_block(5),
+        "07:03:00 done after 119 s",
         "",
     ])

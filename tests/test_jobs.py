@@ -21,8 +21,7 @@ def folder(tmp_path_factory):
 
 def test_files_lines_and_sinks(spark, folder, tmp_path):
     texts = documents.read_text_files(spark, str(folder)).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "text")
-    # an empty file holds no row for the text reader
-    assert {r["name"] for r in texts.collect()} >= {"a.log", "b.log"}
+    assert {r["name"]: len(r["text"]) for r in texts.collect() if r["name"] != "a.log"} == {"b.log": 21, "c.log": 0}
     got = documents.lines(texts.where("name = 'b.log'"), "text", ["name"]).orderBy("line_no").collect()
     assert [(r["line_no"], r["line_start"], r["line"]) for r in got] == [(0, 0, "mail a@example.com\r"), (1, 20, ""), (2, 21, "")]
     result = scan(texts, "text", ["name"])
@@ -35,7 +34,13 @@ def test_files_lines_and_sinks(spark, folder, tmp_path):
     with pytest.raises(ValueError):
         documents.write_scan(result, paths[0], paths[1], paths[0] + "/vault")
     documents.write_scan(result, str(tmp_path / "m2"), str(tmp_path / "f2"))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["f2", "findings", "m2", "masked", "vault"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        documents.write_scan(result, *paths)  # a vault is never written over
+    documents.write_scan(result, str(tmp_path / "m2"), str(tmp_path / "f2"), str(tmp_path / "m2-vault"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f2", "findings", "m2", "m2-vault", "masked", "vault"]
+    documents.write_masked_text(result, str(tmp_path / "lines"))
+    lines = spark.read.json(str(tmp_path / "lines"))
+    assert {r["name"]: r["masked"] for r in lines.collect()} == {r["name"]: r["masked"] for r in result.masked.collect()}
 
 
 def test_views(spark):
@@ -136,7 +141,7 @@ def test_entropy_and_sql_function(spark):
 
 def test_scan_plan_has_no_shuffle(spark, tmp_path):
     spark.range(200).selectExpr("id", "concat('mail u', id, '@example.com') AS text").write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
+    df = documents.read_documents(spark, str(tmp_path / "t"), ["id"])
     result = scan(df, "text", ["id"])
     for table in (result.masked, result.findings, result.map, result.segments):
         plan = table._jdf.queryExecution().executedPlan().toString()

@@ -142,11 +142,13 @@ def first_uses(named_spans: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of the cluster; a private one only where none is set."""
+    """Cut the lineage in the folder of the cluster; a private one only in local mode without the setting."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veilspark-"))
     return df.checkpoint()
 

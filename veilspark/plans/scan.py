@@ -47,24 +47,25 @@ def candidate_array(
 
 @lru_cache(maxsize=16)
 def _candidates_of(
-    text: str, categories: frozenset[str], catalogue: Catalogue | None, context: int
+    text: str, categories: frozenset[str], catalogue: Catalogue | None, context: str
 ) -> Column:
     """The unresolved expression does not depend on a table, so it is built once per name."""
     return _candidate_array(F.col(text), categories, catalogue or Catalogue())
 
 
 @lru_cache(maxsize=16)
-def _named_of(text: str, context: int) -> Column:
+def _named_of(text: str, context: str) -> Column:
     return F.when(F.size("_spans") > 0, named_in(F.col(text), F.col("_spans")))
 
 
 @lru_cache(maxsize=16)
-def _spans_of(text: str, context: int) -> tuple[Column, Column]:
+def _spans_of(text: str, context: str) -> tuple[Column, Column]:
     return let(resolved(F.col("_found")), merged), with_values(F.col(text), F.col("_spans"))
 
 
-def _context(df: DataFrame) -> int:
-    return id(df.sparkSession.sparkContext)
+def _context(df: DataFrame) -> str:
+    """Expressions belong to one application; its id is never used again."""
+    return df.sparkSession.sparkContext.applicationId
 
 
 def _candidate_array(text: Column, on: frozenset[str], rules: Catalogue) -> Column:

@@ -11,29 +11,32 @@ from veilspark.functions.arrays import let, running_sum
 from veilspark.plans.scan import ScanResult
 
 
-def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Give every core a share of a small input that arrives in fewer splits than cores.
+#: Setting of a session that wants its inputs dealt over that many partitions; unset, texts are never shuffled.
+READ_PARTITIONS = "spark.veilspark.readPartitions"
 
-    Scanning costs far more than moving such an input. A large input has more
-    splits than cores and is left as it is, so its texts are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *ids) if df.rdd.getNumPartitions() < cores else df
+
+def dealt(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The input in as many partitions as the session asks for: for files of one row group on one machine."""
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(wanted), *ids) if wanted else df
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Each file is one document: ``(path, text)``."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
-    )
-    return spread(files, ["path"])
+    """Each file is one document, also an empty one: ``(path, text)``."""
+    files = spark.read.text(path, wholetext=True)
+    written = lambda name: F.regexp_replace(name, "^file:/+", "file:///")  # noqa: E731  local paths have two spellings
+    texts = files.select(written(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    # An empty file gives no row, but it is in the listing that Spark has made for the scan.
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path STRING").select(written(F.col("path")).alias("path"))
+    empty = listed.join(texts.select("path"), "path", "left_anti").withColumn("text", F.lit(""))
+    return dealt(texts.unionByName(empty), ["path"])
 
 
 def read_documents(
     spark: SparkSession, path: str, ids: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """A table of documents; only the id and text columns are read."""
-    return spread(spark.read.parquet(path).select(*ids, text), ids)
+    return dealt(spark.read.parquet(path).select(*ids, text), ids)
 
 
 def lines(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
@@ -65,20 +68,21 @@ def write_scan(
 ) -> None:
     """Write masked texts and findings; the map only where an explicit vault path is given.
 
+    A vault is never written over: older masked texts need it to be restored.
+
     Each output is its own pass, which reads the texts once more; see
     ``ScanResult.rows`` for writing the nested rows once instead.
     """
     if vault_path is not None:
         for other in (masked_path, findings_path):
-            if vault_path.rstrip("/").startswith(other.rstrip("/")) or other.rstrip("/").startswith(
-                vault_path.rstrip("/")
-            ):
+            one, two = vault_path.rstrip("/") + "/", other.rstrip("/") + "/"
+            if one.startswith(two) or two.startswith(one):
                 raise ValueError("the vault must not share a folder with masked texts or findings")
-        result.map.write.mode("overwrite").format(fmt).save(vault_path)
+        result.map.write.mode("errorifexists").format(fmt).save(vault_path)
     result.masked.write.mode("overwrite").format(fmt).save(masked_path)
     result.findings.write.mode("overwrite").format(fmt).save(findings_path)
 
 
 def write_masked_text(result: ScanResult, path: str) -> None:
-    """Masked texts as plain text, one document after another; line feeds are kept."""
-    result.masked.select("masked").write.mode("overwrite").text(path)
+    """Masked texts as lines of JSON with their ids; line feeds of a text stay inside its line."""
+    result.masked.write.mode("overwrite").json(path)
