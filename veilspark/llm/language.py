@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from veilspark.llm.shared import hot_keys, salted_join, store, text_bytes
 
-#: Labelled texts that the text model is learned from, and its buckets of trigrams.
+#: Labelled texts that the text model is learned from (about so many), and its buckets of trigrams.
 EXAMPLES = 8000
 BUCKETS = 1 << 15
 LANGUAGES = 64
@@ -61,8 +61,9 @@ def _buckets(data: np.ndarray) -> np.ndarray:
 
 def learn(texts: DataFrame, text: str = "text", lang: str = "lang", examples: int = EXAMPLES) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every bucket under each, from a bounded sample of labelled texts."""
-    known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    names = [r[0] for r in known.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(LANGUAGES).collect()]
+    known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_place", F.pmod(F.xxhash64(*texts.columns), F.lit(1 << 30)))
+    sizes = known.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(LANGUAGES).collect()
+    names = [r[0] for r in sizes]
     share = max(1, examples // max(1, len(names)))
     out = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -78,13 +79,13 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang", examples: in
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=out.names)
 
-    sample = None
-    for name in names:
-        one = known.where(F.col(lang) == name).orderBy(F.xxhash64(text)).limit(share)
-        sample = one if sample is None else sample.unionByName(one)
+    chosen = F.lit(False)  # of each language as many rows as its share, give or take chance, by the hash of the whole row
+    for name, rows in sizes:
+        chosen = chosen | ((F.col(lang) == name) & (F.col("_place") < int(min(1.0, share / rows) * (1 << 30)) + 1))
+    sample = known.where(chosen).select(lang, text)
     table = np.full((len(names), BUCKETS), 0.5)
     if names:
-        for r in sample.repartition(16).mapInArrow(run, out).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        for r in sample.mapInArrow(run, out).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
             table[names.index(r.lang), r.bucket] += r.n
     return names, np.log(table / table.sum(axis=1, keepdims=True)) if names else table
 

@@ -85,6 +85,16 @@ def salted_join(
     return many.join(right.withColumn("_salt", F.explode(parts)), [key, "_salt"], how).drop("_salt")
 
 
+def hash_sample(df: DataFrame, rows: int, wanted: int, keys: Sequence[str]) -> DataFrame:
+    """The ``wanted`` rows with the smallest hashes of ``keys``, of ``rows`` in all.
+
+    Only rows that can be among them are sorted, so no task gets a share of every partition.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    reach = min(1.0, (1.2 * wanted + 64) / max(rows, 1))
+    return df.where(place < F.lit(int(reach * (1 << 30)) + 1)).orderBy(place, *keys).limit(wanted)
+
+
 def lowered(text: Column) -> Column:
     """The text with A-Z in lower case, all other characters as they are; null is empty."""
     capitals = "".join(map(chr, range(65, 91)))

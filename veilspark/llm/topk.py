@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.shared import store
+from veilspark.llm.shared import hash_sample, store
 
 PIVOTS = 48
 SAMPLE = 2048
@@ -130,7 +130,7 @@ def top_k(
         empty = vectors.sparkSession.createDataFrame([], kind)
         return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     radius, width = float(np.sqrt(largest)), max(width, 1)
-    sample = rows.orderBy(F.xxhash64("id"), "row").limit(SAMPLE).select("v").toArrow()  # a bounded sample
+    sample = hash_sample(rows, n, SAMPLE, ["id", "row"]).select("v").toArrow()  # a bounded sample
     chosen, added = choose_pivots(matrix(sample.column(0), width).astype(np.float64), radius, pivots)
 
     blocks = -(-n // VECTORS_PER_BLOCK)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.shared import flat_lists, row_groups, store, text_bytes
+from veilspark.llm.shared import flat_lists, hash_sample, row_groups, store, text_bytes
 from veilspark.llm.words import find_words, letters
 
 EXAMPLES = 16_000
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """
     usable = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     known = usable.groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
-    sample = store(known.orderBy(F.xxhash64(doc_id), doc_id).limit(EXAMPLES), "labelled").frame
+    sample = store(hash_sample(known, known.count(), EXAMPLES, [doc_id]), "labelled").frame
     labelled = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)
     n_toxic = F.sum("_toxic").alias("n1")
     words = store(term_vectors(labelled.select(doc_id, "_toxic", text), text, [doc_id, "_toxic"]), "labelled-words").frame
