@@ -178,6 +178,22 @@ _detector("cards", "card", "cards")
 _detector("phones", "phone", "phones")
 
 
+_LONG_DOMAIN = "'far.off@' || repeat('x1.', 260) || 'example.com'"
+
+
+@job(
+    "emails_long",
+    "WITH RECURSIVE " + expected.document_spans(("emails",))
+    + f"""SELECT id AS doc_id, s AS start, value FROM spans
+      UNION ALL SELECT doc_id, length(text) + 6 AS start, {_LONG_DOMAIN} AS value FROM documents WHERE text IS NOT NULL""",
+)
+def emails_long(spark, sf_dir):
+    """Every text with an address of 262 labels behind it: addresses have no longest domain."""
+    docs = documents(spark, sf_dir).withColumn("text", F.expr(f"text || ' mail ' || {_LONG_DOMAIN} || ', thanks'"))
+    found = scan(docs, "text", ["doc_id"], ["email"]).occurrences
+    return found.select("doc_id", F.col("start").cast("bigint").alias("start"), "value")
+
+
 @job("scan_ip_only", expected.findings(("ips",)) + 'SELECT id AS doc_id, s AS start, e AS "end", category, rule, placeholder FROM findings')
 def scan_ip_only(spark, sf_dir):
     return _finding_columns(document_scan(spark, sf_dir, ["ip"]).findings)
@@ -617,10 +633,18 @@ def source_masked(spark, sf_dir):
     return scan(docs, "text", ["source", "doc_id"], scope="source", order=["doc_id"]).masked.select("doc_id", "masked")
 
 
-@job("conversation_masked", "SELECT conv_id, turn, text AS masked FROM conversations")
+@job(
+    "conversation_masked",
+    """WITH named AS (SELECT conv_id, turn % 3 AS who, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n
+                     FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn % 3)
+  SELECT c.conv_id, c.turn, c.text || ' write to EMAIL_' || named.n || ' now' AS masked
+  FROM conversations c LEFT JOIN named ON named.conv_id = c.conv_id AND named.who = c.turn % 3""",
+)
 def conversation_masked(spark, sf_dir):
-    """Conversations numbered as one scope per conversation; the test turns hold no findings."""
-    turns = read_documents(spark, f"{sf_dir}/conversations.parquet", ["conv_id", "turn"])
+    """Conversations numbered as one scope per conversation; every turn gets one of three addresses behind it."""
+    turns = read_documents(spark, f"{sf_dir}/conversations.parquet", ["conv_id", "turn"]).withColumn(
+        "text", F.expr("text || ' write to someone' || (turn % 3) || '@mail.example.org now'")
+    )
     return scan(turns, "text", ["conv_id", "turn"], scope="conv_id", order=["turn"]).masked
 
 

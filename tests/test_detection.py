@@ -1,8 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.cases import ALNUM, negatives, positives, sample_log
 from veilspark import CATEGORIES, Catalogue, restore, scan
+from veilspark.functions.patterns import EMAIL
 from veilspark.operators import audits
 
 
@@ -23,6 +27,27 @@ def scanned(spark):
     }
 
 
+# fixed value: the rule as a backtracking pattern
+EMAIL_RULE = (
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+    r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\.[A-Za-z]{2,24}\b"
+)
+
+
+def test_email_spans_as_a_plain_pattern(spark):
+    """The pattern without stack finds what a backtracking loop over labels finds, at any number of labels."""
+    r = random.Random(3)
+    labels = ["a", "b9", "com", "org", "x" * 24, "y" * 25, "z" * 63, "q" * 64, "1", "n-m", "co-", "-d", "", "é", "k_"]
+    gaps = [".", ".", ".", ".", "-", "..", "@", "_", " "]
+    texts = ["a@" + "".join(r.choice(labels) + r.choice(gaps) for _ in range(r.randrange(1, 9))) for _ in range(6000)]
+    texts += ["m@" + "b1." * n + end for n in (1, 249, 250, 251, 20000) for end in ("com", "com-.x", "c", "com_", "co-op.de", "7")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING").repartition(8)
+    got = df.select("id", F.regexp_extract_all("t", F.lit(EMAIL), F.lit(0)).alias("m")).collect()
+    rule = re.compile(EMAIL_RULE, re.ASCII)
+    assert {x["id"]: x["m"] for x in got} == {i: rule.findall(t) for i, t in enumerate(texts)}
+    assert sum(map(len, (x["m"] for x in got))) > 300
+
+
 TOKEN = "gh" + "p_" + "aB3dE6gH9jK2mN5pQ8rS1tU4vW7xY0zA2bC4"
 EXACT = [
     ("ann@x.example and bob@x.example, then ann@x.example", "EMAIL_1 and EMAIL_2, then EMAIL_1"),

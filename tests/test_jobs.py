@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.cases import sample_log
-from veilspark import entropy, restore, scan
+from veilspark import Catalogue, entropy, restore, scan
 from veilspark.functions.text import ENTROPY_SQL
-from veilspark.operators import audits, reports
+from veilspark.operators import audits, naming, reports
 from veilspark.operators.restoring import restore_with_map
 from veilspark.sources import documents
 from veilspark.streaming import masking
@@ -52,9 +54,12 @@ def test_views(spark):
 
 def test_streams(spark, folder, tmp_path):
     query = masking.write_masked(
-        masking.text_stream(spark, str(folder)), "text", ["path"], str(tmp_path / "m"), str(tmp_path / "c"), str(tmp_path / "v")
+        masking.text_stream(spark, str(folder)), "text", ["path"], str(tmp_path / "m"), str(tmp_path / "c"), str(tmp_path / "v"),
+        catalogue=Catalogue(), findings_path=str(tmp_path / "f"),
     )
     query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "f"))
+    assert {r["placeholder"] for r in found.collect()} >= {"EMAIL_1"} and "value" not in found.columns
     got = {r["path"].split("/")[-1]: r["masked"] for r in spark.read.parquet(str(tmp_path / "m")).collect()}
     assert got["b.log"] == "mail EMAIL_1\r\n\n"
     masked = masking.mask_stream(masking.text_stream(spark, str(folder)), "text", ["path"]).masked
@@ -93,6 +98,24 @@ def test_scope_shares_names_and_splits_rows(spark):
     assert {(r["conv"], r["turn"]): r["restored"] for r in back.collect()} == {(c, t): x for c, t, x in rows}
 
 
+def test_checkpoints_hold_no_value(spark):
+    before = "far.from.home@example.org"
+    df = spark.createDataFrame([(1, 0, f"mail {before}"), (1, 1, f"again {before} and here@example.net")], "conv INT, turn INT, text STRING")
+    result = scan(df, "text", ["conv", "turn"], scope="conv", order=["turn"])
+    assert {(r["placeholder"], r["value"]) for r in result.map.collect()} == {("EMAIL_1", before), ("EMAIL_2", "here@example.net")}
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = [os.path.join(path, name) for path, _, names in os.walk(folder) for name in names]
+    assert files and not any(b"far.from" in open(f, "rb").read() or b"here@" in open(f, "rb").read() for f in files)
+
+
+def test_sealed_values_are_alike_and_open(spark):
+    seal, unseal = naming.sealing()
+    df = spark.createDataFrame([("a",), ("a",), ("",), ("é" * 5000,), (None,)], "v STRING").repartition(3)
+    sealed = df.select("v", seal(F.col("v")).alias("s"))
+    assert sealed.select("s").distinct().count() == 4
+    assert sealed.where(~F.col("v").eqNullSafe(unseal(F.col("s")))).count() == 0
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, "a@x.org b@x.org 198.51.100.23 a@x.org"), (2, "nothing"), (3, "c@x.org")], "id INT, text STRING")
     result = scan(df, "text", ["id"])

@@ -44,9 +44,14 @@ IS_PLACEHOLDER = r"\A[A-Z0-9][A-Z0-9_]*_[0-9]+\z"
 
 # ---- personal data ----
 _LABEL = rf"[{ALPHANUMERIC}](?:[{ALPHANUMERIC}-]{{0,61}}[{ALPHANUMERIC}])?"
-# A domain name has at most 127 labels. The bound of 250 keeps the regex stack flat.
+_TOP_LABEL = r"\.[A-Za-z]{2,24}+" + WORD_END
+# An address ends with the last label that can be a top-level one. Each round of the outer loop goes on to the next
+# such label: the rest of a label that the round before has cut at a hyphen, then whole labels, then the end.
+# Possessive loops need no stack, so a domain may have any number of labels.
 EMAIL = (
-    BOUNDARY + rf"[{ALPHANUMERIC}._%+-]+@" + _LABEL + r"(?:\." + _LABEL + r"){0,250}\.[A-Za-z]{2,24}" + WORD_END
+    BOUNDARY + rf"[{ALPHANUMERIC}._%+-]+@" + _LABEL + r"(?=\.)"
+    rf"(?:(?:-[{ALPHANUMERIC}-]*+(?<=[{ALPHANUMERIC}])(?<=\.[{ALPHANUMERIC}-]{{2,63}}))?+"
+    r"(?:(?!" + _TOP_LABEL + r")\." + _LABEL + r"(?=\.))*+" + _TOP_LABEL + r")++"
 )
 EMAIL_FILE_ENDING = r"(?i)\.(?:png|jpe?g|gif|svg|webp|avif|ico|js|mjs|css|map|json|txt|log)\z"
 EMAIL_INSIDE_URL = r"://[^" + BLANK + r"/@]{0,197}\z"

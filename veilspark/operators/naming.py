@@ -7,8 +7,9 @@ of the table, so its ranks are computed in range slices and not in one task.
 
 from __future__ import annotations
 
+import secrets
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sealing() -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Seal and open values with a random key that lives as long as the returned expressions.
+
+    Equal values are sealed alike (the initial vector is a keyed hash of the value), so sealed values can be grouped
+    and joined. Files that outlive a job then hold no real value. The key is a literal of the plan and nowhere else.
+    """
+    key = F.lit(bytearray(secrets.token_bytes(32)))
+    salt = F.lit(secrets.token_hex(32))
+    mode, padding = F.lit("CBC"), F.lit("PKCS")
+
+    def seal(value: Column) -> Column:
+        vector = F.unhex(F.substring(F.sha2(F.concat(salt, value), 256), 1, 32))
+        return F.aes_encrypt(value.cast("binary"), key, mode, padding, vector)
+
+    def unseal(value: Column) -> Column:
+        return F.aes_decrypt(value, key, mode, padding).cast("string")
+
+    return seal, unseal
+
+
 def running_count(
     df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column, name: str, slices: int | None = None
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from veilspark.operators.naming import (
     named_in,
     number_values,
     reserved_numbers,
+    sealing,
     unique_values,
 )
 from veilspark.operators.resolve import merged, resolved
@@ -224,17 +225,20 @@ def _scan_scope(
     if scope not in ids or not set(order) <= set(ids):
         raise ValueError("scope and order must be id columns")
     # The spans are few and are read three times; the texts are scanned once for them.
+    # What is checkpointed holds sealed values only.
+    seal, unseal = sealing()
     spans = checkpointed(
         rows.select(*ids, F.explode_outer("_spans").alias("_s"))
         .where(F.col("_s").isNotNull())
         .select(*ids, "_s.*")
+        .withColumn("value", seal(F.col("value")))
     )
     names = number_values(
         unique_values(spans, scope, [*order, "start"]), reserved_numbers(df, text, scope), scope
     )
     # The map holds a value of a scope once, so a frequent value is split on this side only.
-    filled = spans.join(names.select(scope, "value", "placeholder"), [scope, "value"])
+    filled = spans.join(names.select(scope, "value", "placeholder"), [scope, "value"]).withColumn("value", unseal(F.col("value")))
     fields = ("start", "end", "category", "label", "rule", "value", "placeholder")
     per_row = filled.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_spans"))
     named_rows = df.select(*ids, text).join(per_row, list(ids), "left").select(*ids, text, "_spans")
-    return ScanResult(named_rows, tuple(ids), text, scope, names)
+    return ScanResult(named_rows, tuple(ids), text, scope, names.withColumn("value", unseal(F.col("value"))))

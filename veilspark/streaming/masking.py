@@ -45,16 +45,20 @@ def write_masked(
     vault_path: str | None = None,
     categories: Iterable[str] | None = None,
     once: bool = True,
+    catalogue: Catalogue | None = None,
+    findings_path: str | None = None,
 ) -> StreamingQuery:
-    """Mask a stream into parquet; the map goes to the vault in the same micro-batch.
+    """Mask a stream into parquet; findings and the map go to their folders in the same micro-batch.
 
     A batch id names the folders, so a repeated batch overwrites its own output
     after a failure.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        result = scan(batch, text, ids, categories)
+        result = scan(batch, text, ids, categories, catalogue=catalogue)
         result.masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
+        if findings_path is not None:
+            result.findings.write.mode("overwrite").parquet(f"{findings_path}/batch={batch_id}")
         if vault_path is not None:
             result.map.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
 
