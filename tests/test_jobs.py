@@ -133,6 +133,33 @@ def test_reports(spark):
     assert [(r["n_lines"], r["lines_text"], r["size_text"]) for r in stats] == [(0, "0 lines", "0 B"), (2, "2 lines", "3 B")]
 
 
+def test_counts_and_lists_of_each_text(spark):
+    mails = " ".join(f"u{i}@x.org" for i in range(5))
+    df = spark.createDataFrame([(1, f"{mails} u3@x.org 198.51.100.23"), (2, "nothing"), (3, ""), (4, None)], "id INT, text STRING")
+    rows = scan(df, "text", ["id"]).rows
+    counts = {(r["id"], r["category"]): (r["n_values"], r["n_matches"]) for r in reports.document_category_counts(rows, ["id"]).collect()}
+    assert len(counts) == 32 and {k: v for k, v in counts.items() if v != (0, 0)} == {(1, "email"): (5, 6), (1, "ip"): (1, 1)}
+    total = {r["category"]: (r["n_values"], r["n_matches"]) for r in reports.table_category_counts(rows).collect()}
+    assert len(total) == 8 and total["email"] == (5, 6) and total["ip"] == (1, 1) and total["card"] == (0, 0)
+    nothing = scan(df.where("id > 9"), "text", ["id"]).rows
+    assert {(r["n_values"], r["n_matches"]) for r in reports.table_category_counts(nothing).collect()} == {(0, 0)}
+    assert reports.document_top_values(nothing, ["id"]).count() == 0
+    top = sorted(tuple(r) for r in reports.document_top_values(rows, ["id"], 4).collect())
+    assert top == [(1, "email", i + 1, f"EMAIL_{i + 1}", f"u{i}@x.org", "email", 2 if i == 3 else 1, 1) for i in range(4)] + [
+        (1, "ip", 1, "IP_1", "198.51.100.23", "ip", 1, 0)
+    ]
+
+
+def test_a_value_of_two_categories_counts_where_it_is_first(spark):
+    schema = "id INT, _spans ARRAY<STRUCT<start INT, end INT, category STRING, label STRING, rule STRING, value STRING, placeholder STRING>>"
+    spans = [(0, 1, "keys", "K", "r1", "v", "K_1"), (3, 4, "email", "E", "r2", "w", "E_1"), (5, 6, "passwords", "K", "r3", "v", "K_1")]
+    rows = spark.createDataFrame([(1, spans)], schema)
+    found = rows.select("id", F.inline("_spans"))
+    by_row = {(r["category"], r["n_values"], r["n_matches"]) for r in reports.table_category_counts(rows).collect()}
+    assert by_row == {(r["category"], r["n_values"], r["n_matches"]) for r in reports.category_counts(found, ["id"]).collect()}
+    assert ("keys", 1, 2) in by_row and ("passwords", 0, 0) in by_row
+
+
 def test_audits(spark):
     df = spark.createDataFrame([(1, "a@x.org keep me"), (2, "plain")], "id INT, text STRING")
     result = scan(df, "text", ["id"])

@@ -32,13 +32,15 @@ def line_keywords(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | N
 def keyword_candidates(lines: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None) -> DataFrame:
     """``(ids, rule_id)``: each rule once per line that holds one of its keywords.
 
-    The keyword table has a size fixed by the catalogue and is broadcast, so the
-    join itself moves no line. A rule with several keywords on one line is made
-    distinct on the small join result, never on the lines.
+    Keywords are turned into rules inside the row by a table of the catalogue's size: no join, no shuffle.
     """
     rules = catalogue or Catalogue()
-    pairs = rules.keyword_table(lines.sparkSession).join(
-        rules.table(lines.sparkSession).where("not multiline").select("rule_id"), "rule_id"
+    rules_of: dict[str, list[str]] = {}
+    for rule in rules.line_rules:
+        for keyword in rule.keywords:
+            rules_of.setdefault(keyword, []).append(rule.id)
+    table = F.from_json(F.lit(json.dumps(rules_of)), "MAP<STRING, ARRAY<STRING>>")
+    found = F.transform(keywords_in(F.lower("line"), list(rules_of)), lambda w: F.element_at(table, w))
+    return lines.select(*ids, F.explode_outer(F.array_distinct(F.flatten(found))).alias("rule_id")).where(
+        F.col("rule_id").isNotNull()
     )
-    found = line_keywords(lines, ids, rules)
-    return found.join(F.broadcast(pairs.select("keyword", "rule_id")), "keyword").select(*ids, "rule_id").distinct()

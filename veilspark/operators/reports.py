@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import let
+from veilspark.functions.arrays import let, positions
 from veilspark.functions.patterns import CATEGORIES
 from veilspark.functions.text import counted, size_text
 
@@ -126,6 +126,95 @@ def unique_per_category(spans: Column) -> Column:
     )
 
 
+def values_of(spans: Column) -> Column:
+    """The distinct values of one row in first-seen order, from its named spans.
+
+    ``array<struct<at, category, placeholder, rule, value, n_hits>>``; category and rule come from the first use.
+    Two sorts, so n log n in the number of spans. No spans give an empty array.
+    """
+    fields = ("category", "placeholder", "rule", "value")
+    ordered = F.array_sort(
+        F.transform(
+            spans,
+            lambda x, i: F.struct(x["placeholder"].alias("name"), i.alias("at"), *[x[f].alias(f) for f in fields]),
+        )
+    )
+
+    def counted_runs(o: Column) -> Column:
+        heads = positions(o, lambda i: (i == 0) | (F.get(o, i - 1)["name"] != F.get(o, i)["name"]))
+
+        def one(h: Column, run: Column, begins: Column) -> Column:
+            first = F.get(o, h)
+            hits = F.coalesce(F.get(begins, run + 1), F.size(o)) - h
+            return F.struct(first["at"].alias("at"), *[first[f].alias(f) for f in fields], hits.alias("n_hits"))
+
+        return let(heads, lambda begins: F.array_sort(F.transform(begins, lambda h, run: one(h, run, begins))))
+
+    none = "ARRAY<STRUCT<at INT, category STRING, placeholder STRING, rule STRING, value STRING, n_hits INT>>"
+    return F.when(F.size(spans) > 0, let(ordered, counted_runs)).otherwise(F.array().cast(none))
+
+
+def document_category_counts(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Unique values and matches of every text and category, zero-filled; counted in the row, without a shuffle."""
+
+    def counts(values: Column) -> Column:
+        def one(category: Column, position: Column) -> Column:
+            hits = F.transform(F.filter(values, lambda v: v["category"] == category), lambda v: v["n_hits"])
+            return let(
+                hits,
+                lambda h: F.struct(
+                    position.alias("position"),
+                    category.alias("category"),
+                    F.size(h).cast("bigint").alias("n_values"),
+                    F.aggregate(h, F.lit(0).cast("bigint"), lambda total, n: total + n).alias("n_matches"),
+                ),
+            )
+
+        return F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), one)
+
+    return rows.select(*ids, F.explode(let(values_of(F.col("_spans")), counts)).alias("_c")).select(*ids, "_c.*")
+
+
+def table_category_counts(rows: DataFrame) -> DataFrame:
+    """The same over the whole table: a task shuffles eight sums. An empty table has its eight zeros too."""
+    totals = document_category_counts(rows, []).groupBy("category").agg(
+        F.sum("n_values").alias("n_values"), F.sum("n_matches").alias("n_matches")
+    )
+    return categories_table(rows.sparkSession).join(totals, "category", "left").select(
+        "position", "category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_values", "n_matches")]
+    )
+
+
+def document_top_values(rows: DataFrame, ids: Sequence[str], limit: int = ROWS_PER_CATEGORY) -> DataFrame:
+    """The review list of every text: the first ``limit`` values of a category as they appear, and how many more.
+
+    ``(ids, category, place, placeholder, preview, rule, n_hits, n_more)``; in the row, without a shuffle.
+    """
+
+    def lists(values: Column) -> Column:
+        def one(category: Column) -> Column:
+            def placed(own: Column) -> Column:
+                return F.transform(
+                    F.slice(own, 1, limit),
+                    lambda v, i: F.struct(
+                        category.alias("category"),
+                        (i + 1).alias("place"),
+                        v["placeholder"].alias("placeholder"),
+                        preview(v["value"]).alias("preview"),
+                        v["rule"].alias("rule"),
+                        v["n_hits"].alias("n_hits"),
+                        F.greatest(F.size(own) - limit, F.lit(0)).alias("n_more"),
+                    ),
+                )
+
+            return let(F.filter(values, lambda v: v["category"] == category), placed)
+
+        return F.flatten(F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), one))
+
+    listed = rows.select(*ids, F.explode_outer(let(values_of(F.col("_spans")), lists)).alias("_v"))
+    return listed.where(F.col("_v").isNotNull()).select(*ids, "_v.*")
+
+
 def _of_found(rows: DataFrame, ids: Sequence[str], values: Column) -> DataFrame:
     """``values`` of the documents with findings.
 
