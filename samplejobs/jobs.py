@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from veilspark.functions import checks
 from veilspark.functions import patterns as P
 from veilspark.functions.text import ENTROPY_SQL, entropy, find_all, searchable
 from veilspark.operators import assignments, audits, keywords, naming, reports, resolve
+from veilspark.operators.keeping import new_folder
 from veilspark.operators.restoring import restore, tokens
 from veilspark.plans.scan import candidates, scan
 from veilspark.sources.documents import lines, read_documents
@@ -46,16 +46,6 @@ def log_scan(spark: SparkSession, sf_dir: str, categories=None):
     return scan(derived.service_log(spark, sf_dir), "text", ["log_id"], categories)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A folder in the shared checkpoint folder of the cluster; a private one only in local mode without the setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if shared is None:
-        return tempfile.mkdtemp(prefix="veilspark-")
-    return f"{shared.rstrip('/')}/veilspark-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-
-
 # ---- sources ----
 
 
@@ -693,7 +683,7 @@ def existing_placeholders(spark, sf_dir):
     _FINDINGS + "SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS place, placeholder AS word, value FROM findings",
 )
 def restore_tokens(spark, sf_dir):
-    result = document_scan(spark, sf_dir)
+    result = document_scan(spark, sf_dir).kept()
     names = result.map.withColumnRenamed("placeholder", "word")
     words = tokens(result.masked, "masked", ["doc_id"], "doc_id")
     return words.join(names, ["doc_id", "word"], "left").select(
@@ -703,7 +693,7 @@ def restore_tokens(spark, sf_dir):
 
 @job("restore_documents", "SELECT doc_id, text AS restored FROM documents")
 def restore_documents(spark, sf_dir):
-    result = document_scan(spark, sf_dir)
+    result = document_scan(spark, sf_dir).kept()
     return restore(result.masked, "masked", result.map, ["doc_id"], "doc_id").select("doc_id", "restored")
 
 
@@ -727,7 +717,7 @@ def mask_segments(spark, sf_dir):
 @job("stream_mask", _FINDINGS.rstrip() + "," + expected.MASKED + "SELECT doc_id, masked FROM masked")
 def stream_mask(spark, sf_dir):
     """The documents as a stream: the scan plan in append mode, read back from its sink."""
-    folder = work_folder(spark)
+    folder = new_folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).select("doc_id", "text")
@@ -866,7 +856,7 @@ def review_rows(spark, sf_dir):
 @job("finding_rows", _LOG + _REVIEW)
 def finding_rows(spark, sf_dir):
     """The same from a findings table and a map table."""
-    result = log_scan(spark, sf_dir)
+    result = log_scan(spark, sf_dir).kept()
     return reports.finding_rows(result.findings, result.map, ["log_id"])
 
 
@@ -900,7 +890,7 @@ def doc_top_findings(spark, sf_dir):
 )
 def top_findings(spark, sf_dir):
     """The 200 most frequent values of every category and how many more there are."""
-    found = document_scan(spark, sf_dir).occurrences
+    found = document_scan(spark, sf_dir).kept().occurrences
     by_value = found.groupBy("category", "value").agg(F.count("*").alias("n_hits"))
     top = reports.top_rows(by_value, [F.desc("n_hits"), F.col("value")])
     return top.withColumn("place", F.col("place").cast("bigint"))
@@ -923,7 +913,7 @@ def leak_audit(spark, sf_dir):
 
     That the first word is gone is expected too, and wrongly, so the audit has something to find in every text.
     """
-    result = document_scan(spark, sf_dir)
+    result = document_scan(spark, sf_dir).kept()
     names = result.map
     wanted = (
         names.select("doc_id", F.lit("hide").alias("must"), "value")
@@ -956,7 +946,7 @@ def rescan_audit(spark, sf_dir):
 
 @job("log_roundtrip", _LOG + "SELECT log_id, true AS same FROM log_text")
 def log_roundtrip(spark, sf_dir):
-    result = log_scan(spark, sf_dir)
+    result = log_scan(spark, sf_dir).kept()
     return audits.roundtrip_audit(
         derived.service_log(spark, sf_dir), result.masked, result.map, ["log_id"], "log_id"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.cases import sample_log
 from veilspark import Catalogue, entropy, restore, scan
 from veilspark.functions.text import ENTROPY_SQL
-from veilspark.operators import audits, naming, reports
+from veilspark.operators import audits, keeping, reports
 from veilspark.operators.restoring import restore_with_map
 from veilspark.sources import documents
 from veilspark.streaming import masking
@@ -108,8 +108,45 @@ def test_checkpoints_hold_no_value(spark):
     assert files and not any(b"far.from" in open(f, "rb").read() or b"here@" in open(f, "rb").read() for f in files)
 
 
+def test_kept_rows_give_the_same_results_and_hold_no_value(spark):
+    rows = [
+        (1, "mail far.off@example.org, 198.51.100.23 and far.off@example.org"), (2, "plain"), (3, ""), (4, None),
+        (5, "😀 EMAIL_1 x" * 900 + " edge@example.net"), (None, "no.id@example.org"), (1, "twice@example.org"),
+    ]
+    df = spark.createDataFrame(rows, "id INT, text STRING")
+    lazy = scan(df, "text", ["id"])
+    kept = lazy.kept()
+    for name in ("masked", "findings", "occurrences", "map", "segments", "rows"):
+        one, two = getattr(lazy, name), getattr(kept, name)
+        assert one.columns == two.columns
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())), name
+    stored = spark.read.parquet(kept.folder)
+    assert not stored.where("exists(_gaps, g -> contains(g, 'example.org')) OR exists(_spans, s -> contains(cast(s.value AS STRING), 'example'))").count()
+    kept.discard()
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(kept.folder).count()
+
+
+def test_a_scope_masks_rows_without_or_with_equal_ids(spark):
+    rows = [("c", 0, "a@x.org"), ("c", 0, "b@x.org a@x.org"), (None, None, "a@x.org EMAIL_1"), ("c", 1, None), ("c", 2, "")]
+    df = spark.createDataFrame(rows, "conv STRING, turn INT, text STRING")
+    got = scan(df, "text", ["conv", "turn"], scope="conv", order=["turn"]).masked.collect()
+    assert len(got) == 5 and not any("@" in (r["masked"] or "") for r in got)
+    assert {r["masked"] for r in got if r["conv"] is None} == {"EMAIL_2 EMAIL_1"}
+
+
+def test_restore_shuffles_only_texts_with_placeholders(spark, tmp_path):
+    df = spark.createDataFrame([(1, "mail EMAIL_1"), (2, "plain"), (3, None), (None, "x")], "id INT, masked STRING")
+    df.write.parquet(str(tmp_path / "m"))
+    names = spark.createDataFrame([(1, "EMAIL_1", "a@x.org")], "id INT, placeholder STRING, value STRING")
+    back = restore(spark.read.parquet(str(tmp_path / "m")), "masked", names, ["id"], "id")
+    assert {(r["id"], r["restored"]) for r in back.collect()} == {(1, "mail a@x.org"), (2, "plain"), (3, None), (None, "x")}
+    with pytest.raises(ValueError):
+        reports.top_rows(df.withColumn("category", F.lit("email")), [F.col("id")], 10**6)
+
+
 def test_sealed_values_are_alike_and_open(spark):
-    seal, unseal = naming.sealing()
+    seal, unseal = keeping.sealing()
     df = spark.createDataFrame([("a",), ("a",), ("",), ("é" * 5000,), (None,)], "v STRING").repartition(3)
     sealed = df.select("v", seal(F.col("v")).alias("s"))
     assert sealed.select("s").distinct().count() == 4

@@ -7,15 +7,14 @@ of the table, so its ranks are computed in range slices and not in one task.
 
 from __future__ import annotations
 
-import secrets
-import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
 from veilspark.functions.arrays import let, positions, running_max, running_sum
+from veilspark.operators.keeping import checkpointed
 
 # A number a placeholder can have: no leading zero, at most 18 digits.
 _CANONICAL = r"\A(.*)_([1-9][0-9]{0,17})\z"
@@ -142,38 +141,6 @@ def first_uses(named_spans: Column) -> Column:
 # ---- numbering across rows ----
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of the cluster; a private one only in local mode without the setting."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veilspark-"))
-    return df.checkpoint()
-
-
-def sealing() -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Seal and open values with a random key that lives as long as the returned expressions.
-
-    Equal values are sealed alike (the initial vector is a keyed hash of the value), so sealed values can be grouped
-    and joined. Files that outlive a job then hold no real value. The key is a literal of the plan and nowhere else.
-    """
-    key = F.lit(bytearray(secrets.token_bytes(32)))
-    salt = F.lit(secrets.token_hex(32))
-    mode, padding = F.lit("CBC"), F.lit("PKCS")
-
-    def seal(value: Column) -> Column:
-        vector = F.unhex(F.substring(F.sha2(F.concat(salt, value), 256), 1, 32))
-        return F.aes_encrypt(value.cast("binary"), key, mode, padding, vector)
-
-    def unseal(value: Column) -> Column:
-        return F.aes_decrypt(value, key, mode, padding).cast("string")
-
-    return seal, unseal
-
-
 def running_count(
     df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column, name: str, slices: int | None = None
 ) -> DataFrame:
@@ -246,7 +213,8 @@ def number_values(
     which a second running count over both kinds of rows delivers.
     """
     ranked = running_count(unique, [scope, "label"], ["first"], F.lit(1), "rank", slices)
-    used = reserved.join(unique.select(scope, "label").distinct(), [scope, "label"], "left_semi")
+    held = unique.select(F.col(scope).alias("_scope"), F.col("label").alias("_label")).distinct()
+    used = reserved.join(held, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("label") == F.col("_label")), "left_semi")
     marks = running_count(used, [scope, "label"], ["number"], F.lit(1), "_nth", slices).select(
         scope, "label", (F.col("number") - F.col("_nth")).alias("rank"), F.lit(1).alias("_mark")
     )

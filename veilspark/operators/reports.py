@@ -293,8 +293,13 @@ def top_rows(rows: DataFrame, order: Sequence[Column], limit: int = ROWS_PER_CAT
     """The first rows of every category and how many more there are.
 
     The rank filter cuts every task to ``limit`` rows per category before the
-    shuffle; the remainder comes from a count that is combined the same way.
+    shuffle, which Spark does up to a limit of its own; a higher one is refused.
+    The remainder comes from a count that is combined the same way. ``rows`` is
+    read twice: take it from ``ScanResult.kept``.
     """
+    bound = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if limit > bound:
+        raise ValueError(f"at most {bound} rows of a category")
     ranked = rows.withColumn(
         "place", F.row_number().over(Window.partitionBy("category").orderBy(*order))
     ).where(F.col("place") <= limit)

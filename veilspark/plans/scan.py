@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -14,16 +14,9 @@ from veilspark.functions.patterns import CATEGORIES
 from veilspark.functions.text import searchable
 from veilspark.operators import assignments, credentials, personal, secrets
 from veilspark.operators.candidates import gather, widened
+from veilspark.operators.keeping import changed_values, filled, found, removed, sealing, stored
 from veilspark.operators.masking import masked, segments, with_values
-from veilspark.operators.naming import (
-    checkpointed,
-    first_uses,
-    named_in,
-    number_values,
-    reserved_numbers,
-    sealing,
-    unique_values,
-)
+from veilspark.operators.naming import first_uses, named_in, number_values, reserved_numbers, unique_values
 from veilspark.operators.resolve import merged, resolved
 from veilspark.sources.rules import Catalogue
 
@@ -134,8 +127,8 @@ class ScanResult:
     """Lazy results of one scan.
 
     ``rows`` holds one row per text with the nested spans; the tables below are
-    projections of it, so a caller that needs several of them should write
-    ``rows`` once and read it back.
+    projections of it, so a caller that needs several of them should take them
+    from ``kept()``, which runs the detectors once.
     """
 
     rows: DataFrame
@@ -149,9 +142,16 @@ class ScanResult:
         """``(ids, masked)``."""
         return self.rows.select(*self.ids, masked(F.col(self.text), F.col("_spans")).alias("masked"))
 
+    def _span_table(self) -> DataFrame:
+        """``(ids, _spans)`` with values as ``_opened`` takes them."""
+        return self.rows
+
+    def _opened(self, value: Column) -> Column:
+        return value
+
     def _exploded(self) -> DataFrame:
         return (
-            self.rows.select(*self.ids, F.explode_outer("_spans").alias("_s"))
+            self._span_table().select(*self.ids, F.explode_outer("_spans").alias("_s"))
             .where(F.col("_s").isNotNull())
         )
 
@@ -165,7 +165,7 @@ class ScanResult:
     @property
     def occurrences(self) -> DataFrame:
         """Findings together with label and value, for reports that may see values."""
-        return self._exploded().select(*self.ids, "_s.*")
+        return self._exploded().select(*self.ids, "_s.*").withColumn("value", self._opened(F.col("value")))
 
     @property
     def map(self) -> DataFrame:
@@ -173,9 +173,9 @@ class ScanResult:
         if self.scope_map is not None:
             return self.scope_map.select(self.scope, "placeholder", "value")
         return (
-            self.rows.select(*self.ids, F.explode_outer(first_uses(F.col("_spans"))).alias("_m"))
+            self._span_table().select(*self.ids, F.explode_outer(first_uses(F.col("_spans"))).alias("_m"))
             .where(F.col("_m").isNotNull())
-            .select(*self.ids, "_m.placeholder", "_m.value")
+            .select(*self.ids, "_m.placeholder", self._opened(F.col("_m.value")).alias("value"))
         )
 
     @property
@@ -195,6 +195,54 @@ class ScanResult:
         self.findings.createOrReplaceTempView("findings")
         self.map.createOrReplaceTempView("placeholder_map")
 
+    def kept(self) -> KeptScan:
+        """The same results from rows that are written once, now, to the shared folder.
+
+        What is written holds the plain parts of the texts and sealed values. ``discard`` deletes it.
+        """
+        seal, unseal = sealing()
+        parts, folder = stored(self.rows, self.ids, self.text, seal)
+        return KeptScan.of(parts, folder, unseal, self.ids, self.text, self.scope, self.scope_map)
+
+
+@dataclass(frozen=True)
+class KeptScan(ScanResult):
+    """Results of a scan whose rows lie in the shared folder; values are only opened where they are shown."""
+
+    parts: DataFrame = field(kw_only=True)
+    folder: str = field(kw_only=True)
+    unseal: Callable[[Column], Column] = field(kw_only=True)
+
+    @staticmethod
+    def of(
+        parts: DataFrame, folder: str, unseal: Callable[[Column], Column], ids: Sequence[str], text: str,
+        scope: str | None, scope_map: DataFrame | None,
+    ) -> KeptScan:
+        spans = changed_values(parts, unseal)
+        rows = parts.select(
+            *ids, filled(F.col("_gaps"), spans, lambda s: s["value"]).alias(text), spans.alias("_spans")
+        )
+        return KeptScan(rows, tuple(ids), text, scope, scope_map, parts=parts, folder=folder, unseal=unseal)
+
+    @property
+    def masked(self) -> DataFrame:
+        """``(ids, masked)``."""
+        hidden = filled(F.col("_gaps"), F.col("_spans"), lambda s: s["placeholder"])
+        return self.parts.select(*self.ids, hidden.alias("masked"))
+
+    def _span_table(self) -> DataFrame:
+        return self.parts
+
+    def _opened(self, value: Column) -> Column:
+        return self.unseal(value)
+
+    def kept(self) -> KeptScan:
+        return self
+
+    def discard(self) -> None:
+        """Delete the written rows; the results can't be read after that."""
+        removed(self.parts.sparkSession, self.folder)
+
 
 def scan(
     df: DataFrame,
@@ -224,21 +272,30 @@ def _scan_scope(
 ) -> ScanResult:
     if scope not in ids or not set(order) <= set(ids):
         raise ValueError("scope and order must be id columns")
-    # The spans are few and are read three times; the texts are scanned once for them.
-    # What is checkpointed holds sealed values only.
+    # The texts are scanned once. What is written holds plain parts and sealed values only.
     seal, unseal = sealing()
-    spans = checkpointed(
-        rows.select(*ids, F.explode_outer("_spans").alias("_s"))
+    parts, folder = stored(rows, ids, text, seal)
+    spans = (
+        parts.select("_row", *ids, F.explode_outer("_spans").alias("_s"))
         .where(F.col("_s").isNotNull())
-        .select(*ids, "_s.*")
-        .withColumn("value", seal(F.col("value")))
+        .select("_row", *ids, "_s.*")
     )
     names = number_values(
         unique_values(spans, scope, [*order, "start"]), reserved_numbers(df, text, scope), scope
     )
     # The map holds a value of a scope once, so a frequent value is split on this side only.
-    filled = spans.join(names.select(scope, "value", "placeholder"), [scope, "value"]).withColumn("value", unseal(F.col("value")))
+    issued = names.select(F.col(scope).alias("_scope"), F.col("value").alias("_value"), "placeholder")
+    same = F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("value") == F.col("_value"))
     fields = ("start", "end", "category", "label", "rule", "value", "placeholder")
-    per_row = filled.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_spans"))
-    named_rows = df.select(*ids, text).join(per_row, list(ids), "left").select(*ids, text, "_spans")
-    return ScanResult(named_rows, tuple(ids), text, scope, names.withColumn("value", unseal(F.col("value"))))
+    per_row = (
+        spans.join(issued, same)
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_spans"))
+    )
+    # Texts without findings, most of them, pass by the join.
+    plain = parts.where(~found(F.col("_spans"))).select(
+        *ids, "_gaps", F.lit(None).cast(per_row.schema["_spans"].dataType).alias("_spans")
+    )
+    hit = parts.where(found(F.col("_spans"))).drop("_spans").join(per_row, "_row").select(*ids, "_gaps", "_spans")
+    opened = names.withColumn("value", unseal(F.col("value")))
+    return KeptScan.of(plain.unionByName(hit), folder, unseal, ids, text, scope, opened)

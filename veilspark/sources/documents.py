@@ -70,17 +70,23 @@ def write_scan(
 
     A vault is never written over: older masked texts need it to be restored.
 
-    Each output is its own pass, which reads the texts once more; see
-    ``ScanResult.rows`` for writing the nested rows once instead.
+    The texts are scanned once, into the shared folder with sealed values, and
+    all outputs are read from there.
     """
     if vault_path is not None:
         for other in (masked_path, findings_path):
             one, two = vault_path.rstrip("/") + "/", other.rstrip("/") + "/"
             if one.startswith(two) or two.startswith(one):
                 raise ValueError("the vault must not share a folder with masked texts or findings")
-        result.map.write.mode("errorifexists").format(fmt).save(vault_path)
-    result.masked.write.mode("overwrite").format(fmt).save(masked_path)
-    result.findings.write.mode("overwrite").format(fmt).save(findings_path)
+    kept = result.kept()
+    try:
+        if vault_path is not None:
+            kept.map.write.mode("errorifexists").format(fmt).save(vault_path)
+        kept.masked.write.mode("overwrite").format(fmt).save(masked_path)
+        kept.findings.write.mode("overwrite").format(fmt).save(findings_path)
+    finally:
+        if kept is not result:
+            kept.discard()
 
 
 def write_masked_text(result: ScanResult, path: str) -> None:

@@ -51,16 +51,23 @@ def write_masked(
     """Mask a stream into parquet; findings and the map go to their folders in the same micro-batch.
 
     A batch id names the folders, so a repeated batch overwrites its own output
-    after a failure.
+    after a failure. A batch is scanned once for all its outputs.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         result = scan(batch, text, ids, categories, catalogue=catalogue)
-        result.masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
-        if findings_path is not None:
-            result.findings.write.mode("overwrite").parquet(f"{findings_path}/batch={batch_id}")
-        if vault_path is not None:
-            result.map.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        if findings_path is None and vault_path is None:
+            result.masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
+            return
+        kept = result.kept()
+        try:
+            kept.masked.write.mode("overwrite").parquet(f"{masked_path}/batch={batch_id}")
+            if findings_path is not None:
+                kept.findings.write.mode("overwrite").parquet(f"{findings_path}/batch={batch_id}")
+            if vault_path is not None:
+                kept.map.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        finally:
+            kept.discard()
 
     return _start(stream, sink, checkpoint, once)
 
