@@ -51,3 +51,10 @@ def test_layouts(spark):
     assert len({chat.paths_print(x.paths) for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
     plan = chat.digests(chat.format_chats(df, "raw", ["name"]), ["name"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_turn_above_the_limit_of_the_parser(spark):
+    turn = F.concat(F.lit('{"messages":[{"role":"user","content":"'), F.repeat(F.lit("a"), F.lit(20_000_001)), F.lit('"},{"role":"assistant","content":"yo"}]}'))
+    df = spark.range(1).select(F.col("id").alias("name"), turn.alias("raw"))
+    got = chat.canonical_turns(df, "raw", ["name"]).select("layout", F.transform("turns", lambda t: F.length(t["text"])).alias("n")).first()
+    assert (got.layout, got.n) == ("messages", [20_000_001, 2])

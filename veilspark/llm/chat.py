@@ -75,7 +75,7 @@ def _parsed(raw: Column) -> Column:
             plain.append(path)
     fields = [f"`{p}` STRING" for p in plain]
     fields += [f"`{n}` ARRAY<STRUCT<{', '.join(f'`{f}`: STRING' for f in own)}>>" for n, own in lists.items()]
-    return F.from_json(raw, ", ".join(fields))
+    return F.from_json(raw, ", ".join(fields), {"maxStringLen": str(2**31 - 1)})  # the parser's own limit is 20 million characters
 
 
 def _has(record: Column, path: str) -> Column:
