@@ -78,3 +78,15 @@ def test_signature_is_that_of_whole_permutations():
     shared = np.concatenate([a[:800], b[:100]])  # 800 of 1000 + 900 - 800
     x, y = (minhash.super_minhash(s, np.zeros(len(s), np.int32), 1)[0] for s in (a, shared))
     assert abs((x == y).mean() - 800 / 1100) < 0.1
+
+
+def test_bands_follow_the_limit():
+    assert minhash.banding(85) == (32, 8) and minhash.slots_alike(85) == 178 and minhash.banding(80) == (42, 6)
+    for percent in (50, 70, 80, 85, 90, 100):
+        bands, width = minhash.banding(percent)
+        assert bands * width <= minhash.SLOTS and minhash.missed(percent, bands, width) <= 4e-5
+        p = percent / 100
+        assert minhash.slots_alike(percent) <= 256 * p - 6.9 * (256 * p * (1 - p)) ** 0.5
+    sets = [np.arange(1, 50, dtype=np.uint64)] * 2
+    keys, sketch = minhash._signed(np.array([49, 49]), sets, 256, *minhash.banding(80))
+    assert keys.shape == (2, 42) and (keys[0] == keys[1]).all() and len(set(keys[0].tolist())) == 42 and sketch.shape == (2, 256)

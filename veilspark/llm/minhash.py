@@ -19,8 +19,9 @@ through a round together.
    counts of two sets add up to no less than their intersection. What passes is
    verified, so no link is lost that any band shows, whatever the leaders were.
 
-Every link is confirmed on whole sets. With 32 bands of 8 slots a pair at the limit
-of 0.85 is missed by all bands with a chance of 4e-5, one at 0.9 with 2e-8.
+Every link is confirmed on whole sets. Bands follow from the limit of similarity: as many
+slots a band as miss a pair at the limit in all bands with a chance of ``MISSED`` at most. At 0.85
+these are 32 bands of 8 (a chance of 4e-5), at 0.80 42 bands of 6 (3e-6).
 
 Defined results: null, empty and blank texts have an empty set and stand alone; a text
 of fewer words than a shingle is one shingle; equal rows get equal rows; a null
@@ -43,16 +44,32 @@ from veilspark.llm.shared import flat_lists, hot_keys, row_groups, salted_join,
 from veilspark.llm.words import find_words, mix, printables, shingle_prints
 
 SLOTS = 256
-BANDS = 32
+#: The largest chance that all bands miss a pair at the limit.
+MISSED = 4e-5
 #: Bins in which the elements of a set are counted; a full count of 255 says nothing.
 BINS = 256
 #: Documents of a block in the comparison by signatures.
 BLOCK = 128
-#: A pair at 0.85 agrees in 217.6 of 256 slots, give or take 5.7: this is seven times that below.
-SLOTS_ALIKE = 178
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def missed(percent: int, bands: int, width: int) -> float:
+    """The chance that no band of ``width`` slots shows a pair of that similarity."""
+    return (1 - (percent / 100) ** width) ** bands
+
+
+def banding(percent: int, slots: int = SLOTS) -> tuple[int, int]:
+    """Bands and slots of each; below 4 % of similarity even bands of one slot miss more than ``MISSED``."""
+    width = max([w for w in range(1, slots + 1) if missed(percent, slots // w, w) <= MISSED], default=1)
+    return slots // width, width
+
+
+def slots_alike(percent: int, slots: int = SLOTS) -> int:
+    """The slots in which a pair at the limit agrees, less seven deviations (at 0.85: 217.6 less 7 x 5.7 are 178)."""
+    p = percent / 100
+    return max(0, round(slots * p - 7 * (slots * p * (1 - p)) ** 0.5))
+
+
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """Signatures ``[n, slots]`` of n sets; ``owner`` tells the set of each distinct element.
 
@@ -108,13 +125,12 @@ def _sets(prints: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]
     return found
 
 
-def _signed(sizes: np.ndarray, sets: list[np.ndarray], slots: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+def _signed(sizes: np.ndarray, sets: list[np.ndarray], slots: int, bands: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and slot bytes of many sets; sets of like size go through the rounds together."""
     keys = np.zeros((len(sets), bands), np.uint64)
     sketch = np.zeros((len(sets), slots), np.uint8)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
-    width = slots // bands
     weights = mix(np.arange(width, dtype=np.uint64)) | np.uint64(1)
     lo = 0
     while lo < len(order):
@@ -132,14 +148,15 @@ def _signed(sizes: np.ndarray, sets: list[np.ndarray], slots: int, bands: int) -
             owner = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes[chosen])
             signature = super_minhash(np.concatenate([sets[i] for i in chosen]), owner, len(chosen), slots)
         mixed = mix(signature)
-        keys[chosen] = mix((mixed.reshape(len(chosen), bands, width) * weights).sum(axis=2) + mix(np.arange(bands, dtype=np.uint64)))
+        keys[chosen] = mix((mixed[:, : bands * width].reshape(len(chosen), bands, width) * weights).sum(axis=2) + mix(np.arange(bands, dtype=np.uint64)))
         sketch[chosen] = (mixed & np.uint64(255)).astype(np.uint8)
         lo = hi
     return keys, sketch
 
 
-def signatures(docs: DataFrame, text: str, doc_id: str, width: int, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """``(doc_id, n_shingles, print, bands, sketch)`` of every row."""
+def signatures(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, slots: int = SLOTS) -> DataFrame:
+    """``(doc_id, n_shingles, print, bands, sketch, bins)`` of every row, with the bands for a limit of ``percent``."""
+    bands, of_band = banding(percent, slots)
     out = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
@@ -162,7 +179,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, width: int, slots: int =
                     words = find_words(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], kind)
                     sets += _sets(words.prints, words.first, width)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                keys, sketch = _signed(sizes, sets, slots, bands)
+                keys, sketch = _signed(sizes, sets, slots, bands, of_band)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 cells = np.repeat(np.arange(len(sets)) * BINS, sizes) + (flat >> np.uint64(56)).astype(np.int64)
                 bins = np.minimum(np.bincount(cells, minlength=len(sets) * BINS), 255).astype(np.uint8).reshape(len(sets), BINS)
@@ -270,6 +287,7 @@ def _block_pairs(crowded: DataFrame, percent: int) -> DataFrame:
     )
     right = blocks.select("band", F.col("block").alias("other"), F.col("members").alias("right"))
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    alike = slots_alike(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(column: pa.Array, i: int) -> dict[str, np.ndarray]:
@@ -288,7 +306,7 @@ def _block_pairs(crowded: DataFrame, percent: int) -> DataFrame:
                     n, m = x["n_shingles"][k], y["n_shingles"]
                     fits = (x["component"][k] != y["component"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                     hit = np.flatnonzero(fits)
-                    hit = hit[(x["sketch"][k] == y["sketch"][hit]).sum(axis=1) >= SLOTS_ALIKE]
+                    hit = hit[(x["sketch"][k] == y["sketch"][hit]).sum(axis=1) >= alike]
                     most = np.minimum(x["bins"][k], y["bins"][hit]).sum(axis=1, dtype=np.int64)
                     hit = hit[(100 * most >= percent * (n + m[hit] - most)) | full_x[k] | full_y[hit]]
                     a.append(np.minimum(x["doc_id"][k], y["doc_id"][hit]))
@@ -308,7 +326,7 @@ def near_duplicates(
     least ``percent`` of the union. ``component_id`` is the smallest id of the linked
     documents, ``kept`` tells whether it is the document's own.
     """
-    rows = store(signatures(docs, text, doc_id, width), "signatures").frame
+    rows = store(signatures(docs, text, doc_id, width, percent), "signatures").frame
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = store(named.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "sets").frame
     first = sets.select("doc_id", F.col("print").alias("_print"))
