@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are values assigned to names that speak of secrets, values in known formats and long quoted
-strings. Features of a candidate are its length, characters and transitions between them,
+Candidates are values assigned to names that speak of secrets, values in known formats, long quoted
+strings, private key blocks, passwords in URLs and bare runs of letters and digits. Features of a candidate are its length, characters and transitions between them,
 how its letter pairs and words agree with the words of the corpus, path marks, and the words
 around it. A random forest, trained from labelled findings, gives the probability.
 
@@ -12,8 +12,9 @@ Labelled findings are texts made in Spark from the given documents: words of a b
 around values whose kind is known, secrets on one side and identifiers, placeholders,
 digests, paths and data on the other. Word counts cover all documents.
 
-Defined results: null and empty texts have no candidates; overlapping candidates keep the one that begins
-first, of those the longest; equal rows give equal findings; offsets count code points; an empty table
+Defined results: null and empty texts have no candidates; every candidate is scored, accepted ones that
+overlap become one finding over all they cover, and a rejected one that overlaps an accepted one or a rejected one
+before it has no row; equal rows give equal findings; offsets count code points; an empty table
 trains nothing and finds nothing. Other columns stay as they are.
 """
 
@@ -47,14 +48,24 @@ FORMATS = (
 ASSIGNED = rf"(?i)(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]*(?:{SPEAKS})[A-Za-z0-9_.-]*)[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s|basic\s)?[\"']?([^\s\"'`,;]{{8,}})"
 KNOWN = rf"(?<![A-Za-z0-9_-])()({FORMATS})(?![A-Za-z0-9_-])"
 QUOTED = r"[\"']()([A-Za-z0-9+/_=-]{24,})[\"']"
+_KEY = r"[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----"
+#: To the end mark; without one, the lines that can be of a key.
+BLOCK = (
+    rf"()(-----BEGIN{_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END{_KEY}"
+    r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{20,}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]++={1,2}+)?+))"
+)
+IN_URL = r"(?<![A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]{0,24}+://[^\s:/?#@\"'<>`]*+):([^\s/?#\"'<>`]+)(?=@[^\s/?#@\"'<>`])"
+#: Letters and digits, of which there is one of each at least.
+BARE = r"(?<![A-Za-z0-9_+/-])()((?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+)(?![+/])"
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "symbols", "changes", "longest_run", "hex_only", "pairs", "dictionary",
-    "slashes", "dots", "in_path", "speaks", "otherwise", "placeholder", "known", "assigned", "pieces",
+    "slashes", "dots", "in_path", "speaks", "otherwise", "placeholder", "known", "assigned", "pieces", "free",
 )
 
 
 _STEMS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
 _MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "AIza", "SG.", "npm_", "eyJ")
+_SCORED = "array<struct<start:int,end:int,kind:string,name:string,score:double,is_secret:boolean>>"
 _CANDIDATE = "array<struct<start:int,last:int,end:int,kind:string,name:string,value:string,before:string,after:string>>"
 
 
@@ -66,7 +77,7 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """``array<struct<start, last, end, kind, name, value, before, after>>`` of a text, in order and disjoint.
+    """``array<struct<start, last, end, kind, name, value, before, after>>`` of a text, in order; they may overlap.
 
     Cheap tests for words go first, so a pattern only runs over texts that may match.
     """
@@ -95,22 +106,18 @@ def candidates(text: Column) -> Column:
         low = F.lower(whole)
         assigned = _any(low, _STEMS) & _any(whole, ("=", ":"))
         quoted = F.contains(whole, F.lit('"')) | F.contains(whole, F.lit("'"))
-        every = F.array_sort(
+        return F.array_sort(
             F.concat(
                 found(KNOWN, "known", _any(whole, _MARKS)),
                 found(ASSIGNED, "assigned", assigned),
                 found(QUOTED, "quoted", quoted & whole.rlike(r"[\"'][A-Za-z0-9+/_=-]{24}")),
+                found(BLOCK, "block", F.contains(whole, F.lit("PRIVATE KEY"))),
+                found(IN_URL, "url", F.contains(whole, F.lit("://")) & F.contains(whole, F.lit("@"))),
+                found(BARE, "bare", whole.rlike("[A-Za-z0-9_-]{20}")),
             )
         )
-        return F.aggregate(
-            every,
-            F.array().cast(_CANDIDATE),
-            lambda kept, x: F.when(
-                (F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["end"]), F.concat(kept, F.array(x))
-            ).otherwise(kept),
-        )
 
-    possible = _any(F.lower(given), _STEMS) | _any(given, _MARKS) | F.contains(given, F.lit('"')) | F.contains(given, F.lit("'"))
+    possible = _any(F.lower(given), _STEMS) | _any(given, (*_MARKS, '"', "'", "PRIVATE KEY", "://")) | given.rlike("[A-Za-z0-9_-]{20}")
     return F.coalesce(F.when(possible, let(searchable(given), search)), F.array().cast(_CANDIDATE))
 
 
@@ -157,13 +164,15 @@ def features(c: Column, vocabulary: Vocabulary) -> Column:
         F.filter(pieces, lambda p: (F.length(p) >= 3) & F.array_contains(vocabulary.dictionary(), F.lower(p))),
         F.lit(0), lambda s, p: s + F.length(p),
     )
+    written = ~low.rlike(PLACEHOLDER)
+    known = v.rlike(f"^(?:{FORMATS})$") | ((c["kind"] == "url") & written) | ((c["kind"] == "block") & v.rlike("[A-Za-z0-9+/=]{20}"))
     values = (
         n, entropy(v), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("[^0-9A-Za-z]"),
         count("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"), count(r"(.)\1\1"), flag(v.rlike("^[0-9a-fA-F-]+$")),
         F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / n, covered / n,
         count("/"), count("[.]"), flag(c["before"].rlike("[/.]$") | (c["after"] == "/") | v.rlike("^[./~]|://")),
-        flag(near.rlike(SPEAKS)), flag(near.rlike(OTHERWISE)), flag(low.rlike(PLACEHOLDER)), flag(v.rlike(f"^(?:{FORMATS})$")),
-        flag(c["kind"] == "assigned"), F.size(pieces) / n,
+        flag(near.rlike(SPEAKS)), flag(near.rlike(OTHERWISE)), flag(~written), flag(known),
+        flag(c["kind"] == "assigned"), F.size(pieces) / n, flag((c["kind"] == "bare") & ~near.rlike(OTHERWISE) & ~v.rlike("^[0-9a-fA-F-]+$")),
     )
     return F.struct(*[x.cast("double").alias(name) for name, x in zip(FEATURES, values)])
 
@@ -176,7 +185,7 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         F.slice(F.regexp_extract_all(F.col(text), F.lit(r"\p{L}{2,24}"), F.lit(0)), F.lit(1), F.lit(12)).alias("w"),
         F.sha2(F.concat(F.lit("finding"), F.col(doc_id).cast("string")), 256).alias("hex"),
         F.sha2(F.concat(F.lit("other"), F.col(doc_id).cast("string")), 256).alias("hex2"),
-    ).where(F.size("w") >= 8)
+    ).where(F.size("w") >= 8).repartition(16, "hex")  # few rows, but their findings are many
     b64 = F.base64(F.unhex("hex"))
     base = base.withColumn("b64", b64).withColumn("mixed", F.translate(F.concat(b64, F.base64(F.unhex("hex2"))), "+/=", "kQ7"))
     w = [F.get("w", F.lit(i)) for i in range(8)]
@@ -184,11 +193,18 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     part = lambda x, n, at=1: F.substring(x, at, n)
     lit, low = F.lit, F.lower
     uuid = F.concat_ws("-", part(hex_, 8), part(hex_, 4, 9), part(hex_, 4, 13), part(hex_, 4, 17), part(hex_, 12, 21))
+    lower_prefix = F.substring(low(w[3]), 1, 4)
+    lines = F.concat_ws("\n", mixed, F.reverse(mixed), F.col("b64"))
     true = [
         (' token = "', part(hex_, 40), '" '), (" secret_key: ", part(mixed, 32), " "), (" API_KEY=", part(mixed, 24), "\n"),
         (' password = "', F.concat(part(mixed, 11), lit("!9")), '" '), (" auth_token=", part(hex_, 32), " "), (" ", F.concat(lit("AKIA"), F.upper(part(mixed, 16))), " "),
         (" ", F.concat(lit("ghp_"), part(mixed, 36)), " "), (' client_secret: "', F.col("b64"), '" '), (' the secret is "', part(mixed, 40), '" '),
         (" Authorization: Bearer ", part(mixed, 48), " "), (' "access_key": "', part(mixed, 30, 5), '", '), (" db_password=", part(mixed, 14, 9), " "),
+        (" ", F.concat(lit("-----BEGIN RSA PRIVATE KEY-----\n"), lines, lit("\n-----END RSA PRIVATE KEY-----")), "\n"),
+        (" DATABASE_URL=postgres://app:", part(mixed, 12, 3), "@db.internal:5432/main "), (" see https://user:", low(w[3]), "@host.example.org/ "),
+        (" redis://:", F.concat(low(w[4]), part(hex_, 3)), "@cache:6379 "), (" amqp://mq:", part(mixed, 4), "@mq.internal "),
+        (" ", F.concat(lit("github_pat_"), part(mixed, 22), lit("_"), part(mixed, 50, 20)), " "), (" ", F.concat(lower_prefix, lit("_"), part(mixed, 32, 7)), "\n"),
+        (" ", part(mixed, 40, 11), " "), (" ", F.concat(lower_prefix, lit("-"), part(mixed, 28, 3)), " "),
     ]
     false = [
         (' token = "', F.concat_ws("_", low(w[3]), low(w[4]), low(w[5])), '" '), (" secret = ", F.concat(lit("your_"), low(w[3]), lit("_here")), " "),
@@ -197,6 +213,12 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         (" auth = ", F.concat(F.initcap(w[3]), lit("Factory.get"), F.initcap(w[4]), lit("Instance")), " "), (' checksum "', F.col("b64"), '" '),
         (' "', F.concat_ws("-", *[low(x) for x in w[2:7]]), '" '), (' auth_uuid = "', uuid, '" '), (" secret_name: ", F.concat(low(w[3]), low(w[4]), low(w[5])), " "),
         (" author: ", F.concat_ws(".", w[3], w[4], w[5]), " "), (" key_authority=https://", F.concat(low(w[3]), lit(".example.org/"), low(w[4])), " "),
+        (" ", lit("-----BEGIN PRIVATE KEY-----\nYOUR KEY HERE\n-----END PRIVATE KEY-----"), "\n"), (" ", lit("-----BEGIN RSA PRIVATE KEY-----\n...\n-----END RSA PRIVATE KEY-----"), "\n"),
+        (" DATABASE_URL=postgres://app:", F.concat(lit("${"), F.upper(w[4]), lit("}")), "@db.internal:5432/main "), (" https://user:", lit("xxxxxxxx"), "@host.example.org/ "),
+        (" mysql://root:", F.concat(lit("your_"), low(w[3])), "@db/ "), (" ftp://me:", lit("****"), "@files/ "),
+        (" commit ", part(hex_, 40), " "), (" sha256 ", hex_, " "), (" ", part(hex_, 40), " "), (" ", part(F.col("hex2"), 32), "\n"), (" ", uuid, " "), (" etag ", part(mixed, 24), " "),
+        (" ", F.concat(F.concat_ws("-", *[low(x) for x in w[2:6]]), lit("-2024")), " "), (" ", F.concat(F.concat_ws("_", *[low(x) for x in w[2:6]]), lit("_1")), " "),
+        (" ", F.concat(lit("20240131-"), F.concat_ws("-", low(w[3]), low(w[4]), low(w[5]))), " "), (" ", F.concat(*[F.initcap(x) for x in w[2:6]], lit("2")), " "),
     ]
     rows = [F.struct(F.lit(label).alias("label"), F.concat(w[0], lit(" "), w[1], lit(a), v, lit(z), w[2]).alias("text")) for label, kinds in ((1.0, true), (0.0, false)) for a, v, z in kinds]
     return base.select(F.explode(F.array(*rows)).alias("r")).select("r.label", "r.text")
@@ -239,11 +261,34 @@ class Forest:
                 let(features(c, self.vocabulary), self.probability),
                 lambda p: F.struct(
                     c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["name"].alias("name"),
-                    F.substr(text, c["start"] + 1, c["end"] - c["start"]).alias("value"), p.alias("score"), (p >= limit).alias("is_secret"),
+                    p.alias("score"), (p >= limit).alias("is_secret"),
                 ),
             )
 
-        return F.transform(candidates(text), one)
+        def valued(x: Column) -> Column:
+            value = F.substr(text, x["start"] + 1, x["end"] - x["start"])
+            return F.struct(x["start"], x["end"], x["kind"], x["name"], value.alias("value"), x["score"], x["is_secret"])
+
+        return F.transform(resolved(F.transform(candidates(text), one).cast(_SCORED)), valued)
+
+
+def resolved(scored: Column) -> Column:
+    """Disjoint findings of scored candidates in order: no accepted one is lost or cut, whatever overlaps it."""
+
+    def add(kept: Column, x: Column) -> Column:
+        last, before = F.element_at(kept, -1), F.slice(kept, F.lit(1), F.size(kept) - 1)
+        joined = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"), last["name"].alias("name"),
+            F.greatest(last["score"], x["score"]).alias("score"), F.lit(True).alias("is_secret"),
+        )
+        return (
+            F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["end"]), F.concat(kept, F.array(x)))
+            .when(~x["is_secret"], kept)
+            .when(last["is_secret"], F.concat(before, F.array(joined)))
+            .otherwise(F.concat(before, F.array(x)))
+        )
+
+    return F.aggregate(scored, F.array().cast(_SCORED), lambda kept, x: add(kept, x).cast(_SCORED))
 
 
 def _trees(written: str) -> list:
