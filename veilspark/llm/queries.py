@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, secret_scan, surrogates, topk, toxicity
+from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, secret_scan, surrogates, topk, toxicity, trie
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -142,3 +142,37 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job("op8_surrogates")
 def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the deployment")
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL."""
+    bit = "CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END"
+    byte = f"list_reduce(range(8), lambda r, i: {bit}, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+@job(
+    "op11_prefix_trie",
+    f"""WITH
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+      {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(x ORDER BY i) AS xs FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, xs, conv_id - conv_id % 5 AS start, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+    full_ AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.xs, 1, a.h), list_slice(a.xs, 1, 0)), list_slice(a.xs, a.h + 1, len(a.xs))) AS xs
+      FROM h a LEFT JOIN own b ON b.conv_id = a.start),
+    p AS (SELECT conv_id, xs, unnest(range(len(xs) + 1)) AS depth FROM full_),
+    q AS (SELECT conv_id, depth, len(xs) AS n, list_slice(xs, 1, depth) AS pre, list_slice(xs, 1, depth - 1) AS up,
+      CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(xs[depth].t)) END AS bytes FROM p),
+    nodes AS (SELECT pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(bytes) * (count(*) - 1) AS saved,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM q GROUP BY pre, depth),
+    kids AS (SELECT a.pre, a.depth, count(b.conv_id) AS n_children FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth + 1 AND b.up = a.pre GROUP BY 1, 2),
+    below AS (SELECT a.pre, a.depth, sum(b.saved) AS saved_tokens, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+      FROM nodes a JOIN nodes b ON b.depth >= a.depth AND list_slice(b.pre, 1, a.depth) = a.pre JOIN kids k ON k.pre = b.pre AND k.depth = b.depth GROUP BY 1, 2)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, k.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+      CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN kids k ON k.pre = n.pre AND k.depth = n.depth JOIN below b ON b.pre = n.pre AND b.depth = n.depth
+    LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.pre = n.up""",
+)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.Forks(family=5, reach=9))
