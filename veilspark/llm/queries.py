@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, secret_scan, surrogates, topk, toxicity, trie
+from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, repair, secret_scan, surrogates, topk, toxicity, trie
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -176,3 +176,66 @@ def _crc32(text: str) -> str:
 )
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.Forks(family=5, reach=9))
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda z: z IS NOT NULL))[1]"
+
+
+def _edit(best: str, cost: str, letter: str, written: str | None = None) -> str:
+    """The state ``best`` (cost, audit, repaired rows) after an edit, in SQL."""
+    rows = f"{best}.t" if written is None else f"CASE WHEN {best}.t IS NULL THEN {written} ELSE {best}.t || chr(10) || {written} END"
+    return f"CASE WHEN {best} IS NULL THEN NULL ELSE {{'c': {best}.c + {cost}, 'a': {best}.a || '{letter}', 't': {rows}}} END"
+
+
+def _repair_sql() -> str:
+    """States 0 start, 1 behind a system turn, 2 behind a user, 3 behind an assistant; n: after inserts."""
+    user, assistant = "'user:'", "'assistant:'"
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    shorter, kept = "(CASE WHEN x.f = 3 THEN 1 ELSE 0 END)", "x.r || ':' || x.t"
+
+    def stays(s: str) -> str:
+        return _edit(s, "3", "D")
+
+    def keeps(s: str, initial: str) -> str:
+        return f"CASE WHEN x.f IN (1, 2) OR x.i <> '{initial}' THEN NULL ELSE {_edit(s, shorter, 'K', kept)} END"
+
+    def given(s: str, role: str) -> str:
+        return f"CASE WHEN x.f IN (1, 2) THEN NULL ELSE {_edit(s, f'2 + {shorter}', 'R', f"'{role}:' || x.t")} END"
+
+    to_user = [f(s, v) for s in ("n0", "n1", "n3") for f, v in ((keeps, "u"), (given, "user"))]
+    to_assistant = [keeps("n2", "a"), given("n2", "assistant")]
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE
+    k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+    d AS (SELECT *, {_crc32("id")} % 20 AS kind FROM k),
+    m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(CASE kind WHEN 0 THEN CAST([] AS BIGINT[]) WHEN 3 THEN CAST([1, 2] AS BIGINT[]) ELSE CAST([1] AS BIGINT[]) END) AS copy FROM d),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, {spaces}) AS bare FROM m),
+    f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+      lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) AS pair FROM o),
+    g AS (SELECT conv_id, list({{'r': role, 'i': substr(role, 1, 1), 't': text, 'f': f}} ORDER BY n) AS xs, count(*) AS n,
+      coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 1) AS blank,
+      count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+      count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+    s AS (SELECT conv_id, xs, n, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 't': NULL}} AS {state}) AS b0,
+        CAST(NULL AS {state}) AS b1, CAST(NULL AS {state}) AS b2, CAST(NULL AS {state}) AS b3 FROM g
+      UNION ALL SELECT conv_id, xs, n, i + 1, {stays("n0")}, {_least(stays("n1"), keeps("n0", "s"))}, {_least(stays("n2"), *to_user)},
+        {_least(stays("n3"), *to_assistant)} FROM (
+        SELECT *, {_least("b3", _edit("n2", "2", "I", assistant))} AS n3, xs[i + 1] AS x FROM (
+          SELECT *, b0 AS n0, b1 AS n1, {_least("b2", *(_edit(b, "2", "I", user) for b in ("b0", "b1", "b3")))} AS n2 FROM s WHERE i < n))),
+    e AS (SELECT conv_id, n, b0, b3, {_least("b2", *(_edit(b, "2", "I", user) for b in ("b0", "b1")))} AS n2 FROM s WHERE i = n),
+    r AS (SELECT conv_id, {_least("b0", "b3", _edit("n2", "2", "I", assistant))} AS best FROM e)
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+      CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+      CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+      sha256(coalesce(best.t, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@job("op12_structure_repair", _repair_sql())
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
