@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, repair, secret_scan, surrogates, topk, toxicity, trie
+from veilspark.llm import bpe, chat, decontaminate, html_text, language, minhash, packing, repair, secret_scan, surrogates, topk, toxicity, trie
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -239,3 +239,9 @@ def _repair_sql() -> str:
 @job("op12_structure_repair", _repair_sql())
 def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@job("op13_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, capacity=2048, ids=False)
