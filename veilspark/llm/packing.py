@@ -28,6 +28,7 @@ from __future__ import annotations
 import sys
 import types
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +49,8 @@ GROUPS = 64
 BORDERS = (2, 3, 4, 8)
 #: Entries of the table of word parts that a worker process keeps.
 REMEMBERED = 400_000
+#: Characters that normalisation leaves alone but for lower case.
+PLAIN = r"^[\x21-\x7E\x{A1}-\x{24F}]*$"
 _TEXT_BYTES = 1 << 24
 
 
@@ -71,31 +74,40 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = lambda part: alphabet.pre_tokenize_str(part)[0][0]
         # fixed: the parts of a word that the tokenizer's file names
         self.parts_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        # characters that normalisation leaves alone but for lower case
-        self.plain = regex.compile(r"[\x21-\x7E\xA1-ɏ]*").fullmatch
-        self.parts: dict[str, np.ndarray] = {}
+        # ids as bytes; the younger half of the table becomes the older one when it is full
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> np.ndarray:
-        ids = self.parts.get(part)
+    def _part(self, part: str) -> bytes:
+        ids = self.young.get(part)
         if ids is None:
-            tokens = self.whole.model.tokenize(part if part.isascii() else self.as_bytes(part))
-            ids = np.array([t.id for t in tokens], np.int32)
+            ids = self.old.get(part)
+            if ids is None:
+                tokens = self.model.tokenize(part if part.isascii() else self.as_bytes(part))
+                ids = array("i", [t.id for t in tokens]).tobytes()
             if len(part) <= 64:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = ids
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[part] = ids
         return ids
 
-    def word(self, word: str) -> list[np.ndarray]:
-        if word.isalpha() and word.isascii():
-            return [self._part(word)]
-        if self.plain(word):
-            return [self._part(part) for part in self.parts_of(word.lower())]
-        return [np.array(self.whole.encode(word, add_special_tokens=False).ids, np.int32)]
+    def word(self, word: str, plain: bool) -> bytes:
+        """Ids of a word; ``plain`` words have no character that normalisation changes but for lower case."""
+        if word in self.young:
+            return self.young[word]
+        if not plain:
+            return array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        if word.isalpha():
+            return self._part(word)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, self.parts_of(word)))
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column without nulls."""
@@ -107,14 +119,15 @@ class WordTokenizer:
             column = pc.if_else(pa.array(special), "", column)
         words = pc.ascii_split_whitespace(pc.ascii_lower(column))
         known = words.flatten().dictionary_encode()
-        ids = [self.word(word) for word in known.dictionary.to_pylist()]
-        sizes = np.array([sum(map(len, word)) for word in ids], np.int64)
-        flat = np.concatenate([part for word in ids for part in word] or [np.empty(0, np.int32)])
+        plain = pc.match_substring_regex(known.dictionary, PLAIN).to_pylist()
+        ids = list(map(self.word, known.dictionary.to_numpy(zero_copy_only=False).tolist(), plain))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         places = np.asarray(known.indices)
         counts = sizes[places]
         ends = np.cumsum(counts)
         starts = (np.cumsum(sizes) - sizes)[places]
-        values = flat[np.arange(int(counts.sum())) + np.repeat(starts - (ends - counts), counts)]
+        values = flat[np.arange(len(flat) and int(ends[-1])) + np.repeat(starts - (ends - counts), counts)]
         borders = np.concatenate([[0], ends])[np.asarray(words.offsets) - words.offsets[0].as_py()]
         return [values[a:b] if own is None else own for own, a, b in zip(out, borders[:-1], borders[1:], strict=True)]
 
