@@ -389,6 +389,28 @@ def rule_allowlist(spark, sf_dir):
     )
 
 
+# A generic value is no secret where it holds a stop word; here the stop words are the names of the nations.
+_STOPWORD_VALUE = (
+    "'Zx' || substr(md5(c_name), 1, 9) || CASE WHEN c_custkey % 3 = 0 THEN lower(replace(n_name, ' ', '')) "
+    "WHEN c_custkey % 3 = 1 THEN replace(n_name, ' ', '9') ELSE 'Q7' END || substr(md5(c_name), 9, 9)"
+)
+
+
+@job(
+    "rule_stopwords",
+    f"""WITH vals AS (SELECT c_custkey, {_STOPWORD_VALUE} AS value FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, value, length('service auth: ') AS start FROM vals
+    WHERE {derived.SQL_ENTROPY.format(v='value')} > 3.5
+      AND NOT EXISTS (SELECT 1 FROM nation WHERE contains(lower(value), lower(n_name)))""",
+)
+def rule_stopwords(spark, sf_dir):
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nations, F.expr("c_nationkey = n_nationkey"))
+    texts = customers.select("c_custkey", F.expr(f"'service auth: ' || {_STOPWORD_VALUE}").alias("text"))
+    found = scan(texts, "text", ["c_custkey"], ["keys"], catalogue=Catalogue.with_words_of(nations, "n_name")).occurrences
+    return found.where("rule = 'generic-api-key'").select("c_custkey", "value", F.col("start").cast("bigint").alias("start"))
+
+
 _CODE_TEXTS = (
     ("'token = getToken'", "'token = getToken(' || c_custkey || ')'"),
     ("env", "'api_key = process.env.KEY_' || c_custkey"),

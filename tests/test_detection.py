@@ -8,6 +8,7 @@ from tests.cases import ALNUM, negatives, positives, sample_log
 from veilspark import CATEGORIES, Catalogue, restore, scan
 from veilspark.functions.patterns import EMAIL
 from veilspark.operators import audits
+from veilspark.operators.secrets import keyword_pattern
 
 
 @pytest.fixture(scope="module")
@@ -214,3 +215,28 @@ def test_every_rule_finds_a_value_of_its_own_shape(spark):
     missing = sorted({i.split("|")[0] for i, _ in rows} - {a for a, b in found if a == b})
     # some draws fall below an entropy threshold or into an allow list
     assert missing in ([], ["aws-amazon-bedrock-api-key-short-lived"]), missing
+
+
+def test_stop_words_are_one_search(spark):
+    """The trie of all words finds what a search for each word finds."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcd.-[") for _ in range(rng.randrange(1, 7))) for _ in range(1500)})
+    values = ["".join(rng.choice("abcdE.-[ x") for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    for known in (words, words[::40], ["abc", "abcd", "bcd"], ["a"]):
+        table = spark.createDataFrame([(v,) for v in values], "value string")
+        got = table.select("value", F.lower("value").rlike(keyword_pattern(known)).alias("hit")).collect()
+        assert [(r.value, r.hit) for r in got] == [(v, any(w in v.lower() for w in known)) for v in values]
+
+
+def test_stop_words_of_the_generic_rule(spark, tmp_path):
+    words = [f"word{i}" for i in range(2000)]
+    (tmp_path / "words.txt").write_text("\n".join(["", *words, " Padded "]))
+    catalogue = Catalogue.with_stopwords_from(spark, str(tmp_path / "words.txt"))
+    assert catalogue.stopwords == tuple(sorted([*words, "padded"]))
+    value = "Zx81Kq0vLw3Tn5"
+    texts = [("kept", f"service auth: {value}Rp"), ("dropped", f"service auth: {value}WORD1999"), ("padded", f"service auth: {value}padded")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    assert {r.id for r in scan(df, "text", ["id"], ["keys"], catalogue=catalogue).findings.where("rule = 'generic-api-key'").collect()} == {"kept"}
+    assert {r.id for r in scan(df, "text", ["id"], ["keys"]).findings.where("rule = 'generic-api-key'").collect()} == {"kept", "dropped", "padded"}
+    with pytest.raises(ValueError):
+        Catalogue.with_words_of(spark.range(20_001).select(F.concat(F.lit("w"), "id").alias("w")), "w")

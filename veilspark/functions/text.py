@@ -29,10 +29,9 @@ def searchable(text: Column) -> Column:
 
 def find_all(
     text: Column,
-    pattern: Column | str,
+    pattern: str | Column | Callable[[Callable[[bool], str]], Column],
     groups: Mapping[str, int] | None = None,
     keep: Callable[[Column], Column] | None = None,
-    two_branches: Column | None = None,
 ) -> Column:
     """All matches as ``array<struct<start, end, match, before, after, <groups>>>``.
 
@@ -40,16 +39,15 @@ def find_all(
     plain splitting. Offsets are running lengths of the pieces. ``before`` holds up
     to 256 characters between the previous match and this one, ``after`` the next
     character before the following match. A text without a match gives null. ``text`` is a searchable copy and ``pattern`` does not match empty
-    text. Where ``two_branches`` holds, groups n and n + 2 are alternatives of each other and are joined.
+    text. Instead of a pattern, a function may make the marked text: it gets the replacement to write, with True the one
+    for a pattern of two branches, whose groups n and n + 2 are alternatives of each other and are joined.
     """
     groups = dict(groups or {})
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def template(double: bool) -> Column:
-        fields = ["$0", *(f"${g}${g + 2}" if double else f"${g}" for g in groups.values())]
-        return F.lit(P.MARK + P.FIELD.join(fields) + P.FIELD)
+    def template(two_branches: bool) -> str:
+        fields = ["$0", *(f"${g}${g + 2}" if two_branches else f"${g}" for g in groups.values())]
+        return P.MARK + P.FIELD.join(fields) + P.FIELD
 
-    written = template(False) if two_branches is None else F.when(two_branches, template(True)).otherwise(template(False))
     n_fields = len(groups) + 2
 
     def build(pieces: Column) -> Column:
@@ -78,7 +76,8 @@ def find_all(
 
         return let(fields, rows)
 
-    marked = F.regexp_replace(text, regex, written)
+    plain = isinstance(pattern, str | Column)
+    marked = F.regexp_replace(text, pattern, F.lit(template(False))) if plain else pattern(template)
     return let(
         marked,
         lambda m: F.when(F.contains(m, F.lit(P.MARK)), let(F.split(m, P.MARK, -1), build)),

@@ -6,12 +6,16 @@ Three steps keep the cost of 221 expressions low:
 2. only the rules of the keywords that occur are tried, and a rule that stays on
    one line only on the lines that hold one of its keywords;
 3. offsets and filters are computed for the matches.
+
+Patterns are constants of the plan: a rule's number picks its expression by halving.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,31 +40,59 @@ def _hit(rule: Column, m: Column) -> Column:
     )
 
 
-def rejected(line: Column, rule: Column, hit: Column) -> Column:
-    """True when the entropy, the global list or the rule's own list drops a hit."""
-    value = hit["value"]
+def by_rule(number: Column, cases: dict[int, Column], default: Column | None = None) -> Column:
+    """The expression of the rule with this number, found by halving.
+
+    Each rule has expressions of its own with constant patterns, so every pattern is compiled once a task. Without
+    ``default`` the number is one of the cases.
+    """
+    known = sorted(cases)
+
+    def half(part: list[int]) -> Column:
+        if len(part) == 1:
+            case = cases[part[0]]
+            return case if default is None else F.when(number == part[0], case).otherwise(default)
+        middle = len(part) // 2
+        return F.when(number < part[middle], half(part[:middle])).otherwise(half(part[middle:]))
+
+    if not known:
+        raise ValueError("no rule")
+    return half(known)
 
-    def found_in(target: Column, pattern: Column) -> Column:
-        return F.coalesce(F.rlike(target, pattern), F.lit(False))
 
+def rejected(line: Column, rule: Column, hit: Column, rows: list[dict]) -> Column:
+    """True when the entropy, the global list or the rule's own lists drop a hit; ``rows`` are the rules."""
+    value = hit["value"]
+    own: dict[int, Column] = {}
+    for row in rows:
+        tests = [
+            F.coalesce(target.rlike(row[f"allow_{name}"]), F.lit(False))
+            for name, target in (("secret", value), ("match", hit["match"]), ("line", line))
+            if row[f"allow_{name}"]
+        ]
+        if row["stopwords"]:
+            tests.append(F.lower(value).rlike(keyword_pattern(row["stopwords"])))
+        if tests:
+            own[row["seq"]] = reduce(lambda a, b: a | b, tests)
     return (
         (value == "")
-        | found_in(value, rule["allow_secret"])
-        | found_in(hit["match"], rule["allow_match"])
-        | found_in(line, rule["allow_line"])
+        | (by_rule(rule["seq"], own, F.lit(False)) if own else F.lit(False))
         | checks.globally_allowed(value)
         | checks.has_global_stopword(value)
-        | F.coalesce(
-            F.exists(rule["stopwords"], lambda w: F.contains(F.lower(value), w)), F.lit(False)
-        )
         | (rule["entropy"].isNotNull() & (entropy(value) <= rule["entropy"]))
     )
 
 
-def rule_matches(line: Column, rule: Column) -> Column:
-    """All matches of one rule in one line, with the position of the secret."""
-    found = find_all(line, rule["pattern"], {"prefix": 1, "secret": 2}, two_branches=rule["branches"] == 2)
-    return F.transform(found, lambda m: _hit(rule, m))
+def rule_matches(line: Column, rule: Column, rows: list[dict]) -> Column:
+    """All matches of one rule of ``rows`` in one line, with the position of the secret."""
+
+    def marked(template: Callable[[bool], str]) -> Column:
+        return by_rule(
+            rule["seq"],
+            {r["seq"]: F.regexp_replace(line, F.lit(r["pattern"]), F.lit(template(r["branches"] == 2))) for r in rows},
+        )
+
+    return F.transform(find_all(line, marked, {"prefix": 1, "secret": 2}), lambda m: _hit(rule, m))
 
 
 def numbered_lines(text: Column) -> Column:
@@ -181,7 +213,7 @@ def rule_candidates(text: Column, catalogue: Catalogue, categories: set[str]) ->
         )
 
         def in_line(x: Column) -> Column:
-            kept = F.filter(rule_matches(x["line"], rule), lambda h: ~rejected(x["line"], rule, h))
+            kept = F.filter(rule_matches(x["line"], rule, rows), lambda h: ~rejected(x["line"], rule, h, rows))
             return F.transform(
                 kept,
                 lambda h: candidate(
