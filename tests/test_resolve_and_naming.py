@@ -1,10 +1,13 @@
+import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let
 from veilspark.operators import naming, resolve
+from veilspark.operators.skew import hot_keys, split_join
 
 FIELDS = "start INT, end INT, category STRING, label STRING, tier INT, rule STRING, seq INT"
 
@@ -126,3 +129,47 @@ def test_running_count_spreads_one_group(spark):
     out = naming.running_count(df, ["g"], ["id"], F.lit(1), "n", slices=9)
     assert out.where("n <> id + 1").count() == 0
     assert out.count() == 5000
+
+
+def test_numbers_beside_many_that_are_taken(spark):
+    """The n-th value of a label gets the n-th free number, also with thousands of both."""
+    rng = random.Random(5)
+    cases = []
+    for n, m in ((3, 0), (5, 3), (40, 60), (5000, 5000)):
+        values = [f"v{rng.randrange(n)}" for _ in range(n)]
+        labels = {v: rng.choice(["A", "B", "EMAIL"]) for v in values}
+        taken = [f"{rng.choice(['A', 'B', 'C', 'EMAIL'])}_{rng.choice([str(rng.randrange(1, 2 * m)), '007', '0', 'x'])}" for _ in range(m)]
+        cases.append((len(cases), [(i, i + 1, "c", labels[v], "r", v) for i, v in enumerate(values)], taken))
+    span = "struct<start:int,end:int,category:string,label:string,rule:string,value:string>"
+    table = spark.createDataFrame(cases, f"id int, spans array<{span}>, taken array<string>")
+    began = time.time()
+    got = table.select("id", naming.named(F.col("spans"), F.array_distinct("taken")).alias("spans")).collect()
+    assert time.time() - began < 60
+    for row in got:
+        _, spans, taken = cases[row.id]
+        free = {label: filter(lambda i, own=f"{label}_", used=set(taken): f"{own}{i}" not in used, itertools.count(1)) for label in ("A", "B", "EMAIL")}
+        names = {}
+        for _, _, _, label, _, value in spans:
+            if value not in names:
+                names[value] = f"{label}_{next(free[label])}"
+        assert [s.placeholder for s in row.spans] == [names[s[5]] for s in spans]
+
+
+def test_a_hot_key_stays_where_it_is(spark):
+    left = spark.range(40_000).select(
+        F.col("id"), F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit("s")).alias("scope"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT_1")).otherwise(F.concat(F.lit("W_"), (F.col("id") % 5000).cast("string"))).alias("word"),
+    ).repartition(16, "id").checkpoint()
+    right = left.select(F.col("scope").alias("_s"), F.col("word").alias("_w")).distinct().where("_w <> 'W_7'").withColumn("v", F.concat("_w", F.lit("!")))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            joined = split_join(left, right, [("scope", "_s"), ("word", "_w")], how)
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+            plain = left.join(right, F.expr("scope <=> _s AND word = _w"), how)
+            assert joined.exceptAll(plain).isEmpty() and joined.count() == plain.count()
+        assert hot_keys(left, ["scope", "word"]).count() == 2 and split_join(left.limit(0), right, [("word", "_w")]).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -7,7 +7,7 @@ of the table, so its ranks are computed in range slices and not in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,18 +25,58 @@ def existing_placeholders(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(P.PLACEHOLDER), F.lit(0)))
 
 
-def _skip_marks(taken: Column, label: Column) -> Column:
-    """For each taken number, ascending, how many free numbers lie below it."""
+def _heads(items: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """For every item of an array sorted by label the ``value`` at the first item of its label, which never falls."""
+    return running_max(
+        F.transform(
+            items,
+            lambda x, i: F.when((i > 0) & (F.get(items, i - 1)["label"] == x["label"]), 0).otherwise(value(x, i)),
+        )
+    )
+
+
+def _skips(ranks: Column, taken: Column) -> Column:
+    """For every (label, rank) of a sorted array, how many numbers its placeholder has to skip.
+
+    The n-th value of a label gets the n-th number that is not taken. With the taken numbers r0 < r1 < ... of the
+    label that is n plus the count of j with rj - j - 1 < n. Marks and ranks are merged once, for all labels together:
+    n log n in the number of both.
+    """
+    canonical = F.filter(taken, lambda t: t.rlike(_CANONICAL))
     numbers = F.array_sort(
         F.transform(
-            F.filter(
-                taken,
-                lambda t: t.rlike(_CANONICAL) & (F.regexp_extract(t, _CANONICAL, 1) == label),
+            canonical,
+            lambda t: F.struct(
+                F.regexp_extract(t, _CANONICAL, 1).alias("label"),
+                F.regexp_extract(t, _CANONICAL, 2).cast("bigint").alias("number"),
             ),
-            lambda t: F.regexp_extract(t, _CANONICAL, 2).cast("bigint"),
         )
     )
-    return let(numbers, lambda n: F.transform(n, lambda x, i: x - i - 1))
+
+    def point(label: Column, at: Column, mark: int) -> Column:
+        return F.struct(label.alias("label"), at.cast("bigint").alias("at"), F.lit(mark).alias("mark"))
+
+    def marks(n: Column) -> Column:
+        first = _heads(n, lambda x, i: i)
+        return let(first, lambda f: F.transform(n, lambda x, i: point(x["label"], x["number"] - (i - F.get(f, i)) - 1, 1)))
+
+    def counted(points: Column) -> Column:
+        def of_values(total: Column) -> Column:
+            before = _heads(points, lambda x, i: F.get(total, i) - x["mark"])
+            kept = let(
+                before,
+                lambda b: F.filter(
+                    F.transform(points, lambda x, i: F.struct(x["mark"].alias("mark"), (F.get(total, i) - F.get(b, i)).alias("n"))),
+                    lambda x: x["mark"] == 0,
+                ),
+            )
+            return F.transform(kept, lambda x: x["n"])
+
+        return let(running_sum(F.transform(points, lambda x: x["mark"])), of_values)
+
+    # at equal places values come before marks: a mark counts for the ranks above it
+    values = F.transform(ranks, lambda r: point(r["label"], r["rank"], 0))
+    return let(F.array_sort(F.concat(values, let(numbers, marks))), counted)
 
 
 def named(spans: Column, taken: Column) -> Column:
@@ -71,28 +111,24 @@ def named(spans: Column, taken: Column) -> Column:
         )
 
         def per_label(u: Column) -> Column:
-            begin = running_max(
-                F.transform(
+            def ranked(b: Column) -> Column:
+                return F.transform(
                     u,
-                    lambda x, i: F.when((i > 0) & (F.get(u, i - 1)["label"] == x["label"]), 0).otherwise(i),
+                    lambda x, i: F.struct(
+                        x["label"].alias("label"), (i - F.get(b, i) + 1).cast("bigint").alias("rank"), x["run"].alias("run")
+                    ),
                 )
-            )
 
-            def issue(b: Column) -> Column:
-                def one(x: Column, i: Column) -> Column:
-                    rank = i - F.get(b, i) + 1
-                    free = F.when(F.size(taken) == 0, rank.cast("bigint")).otherwise(
-                        rank
-                        + F.size(F.filter(_skip_marks(taken, x["label"]), lambda k: k < rank))
-                    )
-                    return F.struct(
-                        x["run"].alias("run"),
-                        F.concat(x["label"], F.lit("_"), free.cast("string")).alias("placeholder"),
-                    )
-
-                return F.array_sort(F.transform(u, one))
-
-            return let(begin, issue)
+            def issue(r: Column) -> Column:
+                def one(x: Column, skip: Column) -> Column:
+                    number = (x["rank"] + skip).cast("string")
+                    return F.struct(x["run"].alias("run"), F.concat(x["label"], F.lit("_"), number).alias("placeholder"))
+
+                fresh = F.transform(r, lambda x: one(x, F.lit(0)))
+                beside = let(_skips(r, taken), lambda k: F.transform(r, lambda x, i: one(x, F.get(k, i))))
+                return F.array_sort(F.when(F.size(taken) == 0, fresh).otherwise(beside))
+
+            return let(let(_heads(u, lambda x, i: i), ranked), issue)
 
         def back(names: Column) -> Column:
             return F.array_sort(

@@ -18,6 +18,7 @@ from veilspark.operators.keeping import changed_values, filled, found, removed,
 from veilspark.operators.masking import masked, segments, with_values
 from veilspark.operators.naming import first_uses, named_in, number_values, reserved_numbers, unique_values
 from veilspark.operators.resolve import merged, resolved
+from veilspark.operators.skew import split_join
 from veilspark.sources.rules import Catalogue
 
 
@@ -283,12 +284,11 @@ def _scan_scope(
     names = number_values(
         unique_values(spans, scope, [*order, "start"]), reserved_numbers(df, text, scope), scope
     )
-    # The map holds a value of a scope once, so a frequent value is split on this side only.
+    # The map holds a value of a scope once, so the rows of a frequent value need no exchange.
     issued = names.select(F.col(scope).alias("_scope"), F.col("value").alias("_value"), "placeholder")
-    same = F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("value") == F.col("_value"))
     fields = ("start", "end", "category", "label", "rule", "value", "placeholder")
     per_row = (
-        spans.join(issued, same)
+        split_join(spans, issued, [(scope, "_scope"), ("value", "_value")])
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_spans"))
     )
