@@ -14,10 +14,11 @@ from veilspark.functions.text import ENTROPY_SQL, entropy, find_all, searchable
 from veilspark.operators import assignments, audits, keywords, naming, reports, resolve
 from veilspark.operators.keeping import new_folder
 from veilspark.operators.restoring import restore, tokens
+from veilspark.plans import sql
 from veilspark.plans.scan import candidates, scan
-from veilspark.sources.documents import lines, read_documents
+from veilspark.sources.documents import lines, read_documents, write_scan
 from veilspark.sources.rules import Catalogue
-from veilspark.streaming.masking import mask_stream
+from veilspark.streaming.masking import read_committed, write_masked
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -738,19 +739,85 @@ def mask_segments(spark, sf_dir):
 
 @job("stream_mask", _FINDINGS.rstrip() + "," + expected.MASKED + "SELECT doc_id, masked FROM masked")
 def stream_mask(spark, sf_dir):
-    """The documents as a stream: the scan plan in append mode, read back from its sink."""
+    """The documents as a stream into the sink with commit marks, read back from its finished batches."""
     folder = new_folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).select("doc_id", "text")
     )
-    masked = mask_stream(stream, "text", ["doc_id"]).masked
-    query = (
-        masked.writeStream.format("parquet").option("path", f"{folder}/masked")
-        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    write_masked(
+        stream, "text", ["doc_id"], f"{folder}/masked", f"{folder}/progress", f"{folder}/vault", findings_path=f"{folder}/findings"
+    ).awaitTermination()
+    return read_committed(spark, f"{folder}/masked", f"{folder}/masked", "doc_id BIGINT, masked STRING").drop("batch")
+
+
+# ---- sinks, read back ----
+
+
+def _written(spark, sf_dir):
+    """Masked texts and findings by source and language, and the vault, written and read again."""
+    folder = new_folder(spark)
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet", ("doc_id", "source", "lang"))
+    write_scan(
+        scan(docs, "text", ["doc_id", "source", "lang"]), f"{folder}/masked", f"{folder}/findings", f"{folder}/vault",
+        partition_by=["source", "lang"],
+    )
+    return [spark.read.parquet(f"{folder}/{name}") for name in ("masked", "findings", "vault")]
+
+
+@job(
+    "sink_masked",
+    _FINDINGS.rstrip() + "," + expected.MASKED
+    + "SELECT m.doc_id, d.source, d.lang, m.masked FROM masked m JOIN documents d ON d.doc_id = m.doc_id",
+)
+def sink_masked(spark, sf_dir):
+    return _written(spark, sf_dir)[0].select("doc_id", "source", "lang", "masked")
+
+
+@job(
+    "sink_tables",
+    _FINDINGS + 'SELECT f.id AS doc_id, d.source, f.s AS start, f.category, f.placeholder, f.value '
+    "FROM findings f JOIN documents d ON d.doc_id = f.id",
+)
+def sink_tables(spark, sf_dir):
+    """The findings with the values that the vault has for them."""
+    _, found, vault = _written(spark, sf_dir)
+    return found.join(vault, ["doc_id", "source", "lang", "placeholder"]).select(
+        "doc_id", "source", F.col("start").cast("bigint").alias("start"), "category", "placeholder", "value"
+    )
+
+
+# ---- SQL ----
+
+
+@job(
+    "sql_restore",
+    "SELECT doc_id, 'Dear ' || source || ', see ' || lang || '; MY_N_7X and UNKNOWN_1 stay' AS restored FROM documents",
+)
+def sql_restore(spark, sf_dir):
+    """The SQL form of restore, on replies that name things of their row."""
+    sql.register(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("veilspark_documents")
+    return spark.sql(
+        "SELECT doc_id, restore('Dear SOURCE_' || doc_id || ', see N_7; MY_N_7X and UNKNOWN_1 stay', "
+        "map('SOURCE_' || doc_id, source, 'N_7', lang)) AS restored FROM veilspark_documents"
+    )
+
+
+@job(
+    "sql_categories",
+    _FINDINGS + "SELECT position, c.category, count(f.id) AS n_findings FROM (VALUES "
+    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(P.CATEGORIES))
+    + ") c(position, category) LEFT JOIN findings f ON f.category = c.category GROUP BY ALL",
+)
+def sql_categories(spark, sf_dir):
+    """The findings of a scan by the categories, all in SQL."""
+    sql.register(spark)
+    document_scan(spark, sf_dir).create_views()
+    return spark.sql(
+        "SELECT position, c.category, count(f.doc_id) AS n_findings FROM categories c LEFT JOIN findings f "
+        "ON f.category = c.category GROUP BY position, c.category"
     )
-    query.awaitTermination()
-    return spark.read.schema(masked.schema).parquet(f"{folder}/masked")
 
 
 # ---- reports ----
@@ -935,19 +1002,9 @@ def leak_audit(spark, sf_dir):
 
     That the first word is gone is expected too, and wrongly, so the audit has something to find in every text.
     """
-    result = document_scan(spark, sf_dir).kept()
-    names = result.map
-    wanted = (
-        names.select("doc_id", F.lit("hide").alias("must"), "value")
-        .unionByName(names.select("doc_id", F.lit("keep").alias("must"), F.col("placeholder").alias("value")))
-        .unionByName(
-            documents(spark, sf_dir).select(
-                "doc_id", F.explode(F.array(F.lit("keep"), F.lit("hide"))).alias("must"),
-                F.substring_index("text", " ", 1).alias("value"),
-            )
-        )
-    )
-    return audits.leak_audit(result.masked, wanted, ["doc_id"])
+    word = F.substring_index("text", " ", 1).alias("value")
+    more = F.array(F.struct(F.lit("keep").alias("must"), word), F.struct(F.lit("hide").alias("must"), word))
+    return audits.leak_audit_in_rows(document_scan(spark, sf_dir), more)
 
 
 @job("roundtrip_audit", "SELECT doc_id, true AS same FROM documents")

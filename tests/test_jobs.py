@@ -4,11 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.cases import sample_log
-from veilspark import Catalogue, entropy, restore, scan
+from veilspark import CATEGORIES, Catalogue, entropy, restore, scan
 from veilspark.functions.text import ENTROPY_SQL
 from veilspark.operators import audits, keeping, reports
 from veilspark.operators.restoring import restore_with_map
+from veilspark.plans import sql
+from veilspark.plans.scan import KeptScan
 from veilspark.sources import documents
+from veilspark.sources.documents import write_scan
 from veilspark.streaming import masking
 
 
@@ -73,14 +76,79 @@ def test_streams(spark, folder, tmp_path):
 
 
 def test_restore_whole_words_only(spark):
-    mapping = spark.createDataFrame([(1, f"EMAIL_{i}", f"user{i}@example.com") for i in range(1, 13)], "id INT, placeholder STRING, value STRING")
-    reply = "Contact EMAIL_10, then EMAIL_1. EMAIL_99 and MY_EMAIL_1X stay."
-    want = "Contact user10@example.com, then user1@example.com. EMAIL_99 and MY_EMAIL_1X stay."
-    df = spark.createDataFrame([(1, reply), (2, reply), (3, "")], "id INT, reply STRING")
-    got = {r["id"]: r["restored"] for r in restore(df, "reply", mapping, ["id"], "id").collect()}
-    assert got == {1: want, 2: reply, 3: ""}
-    names = F.create_map(F.lit("EMAIL_10"), F.lit("user10@example.com"), F.lit("EMAIL_1"), F.lit("user1@example.com"))
-    assert df.where("id = 1").select(restore_with_map(F.col("reply"), names)).first()[0] == want
+    mapping = spark.createDataFrame([(7, f"HOST_{i}", f"node-{i}.example.net") for i in range(1, 25)], "ticket INT, placeholder STRING, value STRING")
+    answer = "Restart HOST_2 (not HOST_21!) and HOST_24/HOST_2; leave XHOST_2, HOST_2B, HOST_77 and host_2 alone."
+    want = "Restart node-2.example.net (not node-21.example.net!) and node-24.example.net/node-2.example.net; leave XHOST_2, HOST_2B, HOST_77 and host_2 alone."
+    df = spark.createDataFrame([(7, answer), (8, answer), (9, ""), (None, answer)], "ticket INT, reply STRING")
+    got = {r["ticket"]: r["restored"] for r in restore(df, "reply", mapping, ["ticket"], "ticket").collect()}
+    assert got == {7: want, 8: answer, 9: "", None: answer}
+    names = F.create_map(*[F.lit(x) for i in (2, 21, 24) for x in (f"HOST_{i}", f"node-{i}.example.net")])
+    assert df.where("ticket = 7").select(restore_with_map(F.col("reply"), names)).first()[0] == want
+    sql.register(spark)
+    df.createOrReplaceTempView("answers")
+    by_sql = "restore(reply, map('HOST_2', 'node-2.example.net', 'HOST_21', 'node-21.example.net', 'HOST_24', 'node-24.example.net'))"
+    assert {r[0] for r in spark.sql(f"SELECT {by_sql} FROM answers WHERE ticket IN (7, 9)").collect()} == {want, ""}
+    assert spark.sql("SELECT restore(CAST(NULL AS STRING), map('A_1', 'x'))").first()[0] is None
+    assert [r.category for r in spark.table("categories").orderBy("position").collect()] == list(CATEGORIES)
+
+
+def test_a_batch_that_dies_between_its_outputs(spark, tmp_path, monkeypatch):
+    """Each row comes once, no reader sees half a batch, and nothing is left in the shared folder."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.log").write_text(f"mail user{i}@example.org now")
+    paths = {n: str(tmp_path / n) for n in ("masked", "findings", "vault", "progress")}
+
+    def run():
+        masking.write_masked(
+            masking.text_stream(spark, str(folder)), "text", ["path"], paths["masked"], paths["progress"], paths["vault"], findings_path=paths["findings"]
+        ).awaitTermination()
+
+    def left():
+        shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        return [n for n in os.listdir(shared) if n.startswith("veilspark-stream-")]
+
+    with monkeypatch.context() as broken:
+        broken.setattr(KeptScan, "discard", lambda self: None)  # a killed driver discards nothing
+        broken.setattr(KeptScan, "findings", property(lambda self: 1 / 0))
+        with pytest.raises(Exception):
+            run()
+    schema = "path STRING, masked STRING"
+    assert masking.read_committed(spark, paths["masked"], paths["masked"], schema).count() == 0 and left()
+    run()
+    got = masking.read_committed(spark, paths["masked"], paths["masked"], schema).collect()
+    assert sorted(r.masked for r in got) == ["mail EMAIL_1 now"] * 3 and masking.committed_batches(spark, paths["masked"]) == [0]
+    vault = masking.read_committed(spark, paths["vault"], paths["masked"], "path STRING, placeholder STRING, value STRING")
+    assert {r.value for r in vault.collect()} == {f"user{i}@example.org" for i in range(3)} and vault.count() == 3
+    assert not left()
+
+
+def test_partitioned_sinks_are_put_in_place_together(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "mail x@example.org"), (2, "b", "none"), (3, None, "y@example.org")], "id INT, part STRING, text STRING")
+    masked, found, vault = (str(tmp_path / n) for n in ("masked", "found", "vault"))
+    write_scan(scan(df, "text", ["id", "part"]), masked, found, vault, partition_by=["part"])
+    assert {n for n in os.listdir(masked) if "=" in n} == {"part=a", "part=b", "part=__HIVE_DEFAULT_PARTITION__"}
+    assert {(r.id, r.part, r.masked) for r in spark.read.parquet(masked).collect()} == {(1, "a", "mail EMAIL_1"), (2, "b", "none"), (3, None, "EMAIL_1")}
+    with pytest.raises(Exception):  # the vault is there already: nothing is replaced
+        write_scan(scan(df.limit(0), "text", ["id", "part"]), masked, found, vault)
+    assert spark.read.parquet(masked).count() == 3 and spark.read.parquet(found).count() == 2
+    write_scan(scan(df.where("id = 2"), "text", ["id", "part"]), masked, found)
+    assert spark.read.parquet(masked).count() == 1 and not [n for n in os.listdir(tmp_path) if ".new-" in n]
+    with pytest.raises(ValueError):
+        write_scan(scan(df, "text", ["id"]), masked, found, partition_by=["part"])
+
+
+def test_leaks_are_looked_for_in_the_row(spark):
+    df = spark.createDataFrame([(1, "mail x@example.org, twice x@example.org"), (2, "nothing"), (3, None)], "id INT, text STRING")
+    more = F.array(F.struct(F.lit("hide").alias("must"), F.lit("twice").alias("value")), F.struct(F.lit("keep").alias("must"), F.lit("mail").alias("value")))
+    result = scan(df, "text", ["id"])
+    audit = audits.leak_audit_in_rows(result, more)
+    assert {tuple(r) for r in audit.collect()} == {(1, "hide", "twice"), (2, "keep", "mail")}
+    assert "Exchange " not in audit._jdf.queryExecution().executedPlan().toString()
+    assert audits.leak_audit_in_rows(result).count() == 0
+    wanted = spark.createDataFrame([(1, "hide", "twice"), (1, "hide", "example"), (2, "keep", "mail"), (9, "keep", "x")], "id INT, must STRING, value STRING")
+    assert {tuple(r) for r in audits.leak_audit(result.masked, wanted, ["id"]).collect()} == {(1, "hide", "twice"), (2, "keep", "mail")}
 
 
 def test_scope_shares_names_and_splits_rows(spark):

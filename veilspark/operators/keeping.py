@@ -36,6 +36,16 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Put a folder in the place of another one, if there is one."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path(old), spark._jvm.org.apache.hadoop.fs.Path(new)
+    files = paths[1].getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(paths[1], True)
+    files.mkdirs(paths[1].getParent())
+    if not files.rename(*paths):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
@@ -94,16 +104,19 @@ def changed_values(df: DataFrame, change: Callable[[Column], Column]) -> Column:
     )
 
 
-def stored(rows: DataFrame, ids: Sequence[str], text: str, seal: Callable[[Column], Column]) -> tuple[DataFrame, str]:
+def stored(
+    rows: DataFrame, ids: Sequence[str], text: str, seal: Callable[[Column], Column], folder: str | None = None
+) -> tuple[DataFrame, str]:
     """``(_row, ids, _gaps, _spans)`` written as Parquet into the shared folder, and where.
 
-    The texts are scanned here, once. ``_row`` names a row, also where ids are null or repeated.
+    The texts are scanned here, once. ``_row`` names a row, also where ids are null or repeated. What lies in a
+    given ``folder`` is written over.
     """
-    folder = new_folder(rows.sparkSession)
+    folder = folder or new_folder(rows.sparkSession)
     rows.select(
         F.monotonically_increasing_id().alias("_row"),
         *ids,
         gaps(F.col(text), F.col("_spans")).alias("_gaps"),
         changed_values(rows, seal).alias("_spans"),
-    ).write.parquet(folder)
+    ).write.mode("overwrite").parquet(folder)
     return rows.sparkSession.read.parquet(folder), folder

@@ -196,13 +196,14 @@ class ScanResult:
         self.findings.createOrReplaceTempView("findings")
         self.map.createOrReplaceTempView("placeholder_map")
 
-    def kept(self) -> KeptScan:
+    def kept(self, folder: str | None = None) -> KeptScan:
         """The same results from rows that are written once, now, to the shared folder.
 
-        What is written holds the plain parts of the texts and sealed values. ``discard`` deletes it.
+        What is written holds the plain parts of the texts and sealed values. ``discard`` deletes it. A ``folder`` of
+        the caller's choice is written over.
         """
         seal, unseal = sealing()
-        parts, folder = stored(self.rows, self.ids, self.text, seal)
+        parts, folder = stored(self.rows, self.ids, self.text, seal, folder)
         return KeptScan.of(parts, folder, unseal, self.ids, self.text, self.scope, self.scope_map)
 
 
@@ -237,7 +238,7 @@ class KeptScan(ScanResult):
     def _opened(self, value: Column) -> Column:
         return self.unseal(value)
 
-    def kept(self) -> KeptScan:
+    def kept(self, folder: str | None = None) -> KeptScan:
         return self
 
     def discard(self) -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let, running_sum
+from veilspark.operators.keeping import removed, renamed
 from veilspark.plans.scan import ScanResult
 
 
@@ -64,27 +66,43 @@ def lines(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
 
 
 def write_scan(
-    result: ScanResult, masked_path: str, findings_path: str, vault_path: str | None = None, fmt: str = "parquet"
+    result: ScanResult,
+    masked_path: str,
+    findings_path: str,
+    vault_path: str | None = None,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
 ) -> None:
     """Write masked texts and findings; the map only where an explicit vault path is given.
 
-    A vault is never written over: older masked texts need it to be restored.
+    A vault is never written over: older masked texts need it to be restored. ``partition_by`` are id columns of the
+    scan, such as those that the input is partitioned by; masked texts and findings get folders for their values.
 
     The texts are scanned once, into the shared folder with sealed values, and
-    all outputs are read from there.
+    all outputs are read from there. Masked texts and findings are written beside their places and put there
+    one after the other when both are complete, so a job that fails leaves the older ones.
     """
+    if not set(partition_by) <= set(result.ids):
+        raise ValueError("partition columns must be id columns of the scan")
     if vault_path is not None:
         for other in (masked_path, findings_path):
             one, two = vault_path.rstrip("/") + "/", other.rstrip("/") + "/"
             if one.startswith(two) or two.startswith(one):
                 raise ValueError("the vault must not share a folder with masked texts or findings")
+    spark = result.rows.sparkSession
     kept = result.kept()
+    places = [p.rstrip("/") for p in (masked_path, findings_path)]
+    fresh = [f"{p}.new-{uuid.uuid4().hex}" for p in places]
     try:
         if vault_path is not None:
             kept.map.write.mode("errorifexists").format(fmt).save(vault_path)
-        kept.masked.write.mode("overwrite").format(fmt).save(masked_path)
-        kept.findings.write.mode("overwrite").format(fmt).save(findings_path)
+        for table, folder in zip((kept.masked, kept.findings), fresh, strict=True):
+            table.write.format(fmt).partitionBy(*partition_by).save(folder)
+        for folder, place in zip(fresh, places, strict=True):
+            renamed(spark, folder, place)
     finally:
+        for folder in fresh:
+            removed(spark, folder)
         if kept is not result:
             kept.discard()
 
