@@ -82,3 +82,11 @@ def test_edge_cases(spark):
     assert {x.predicted for x in toxicity.scores(empty, none).collect()} == {0}
     bare, nothing = toxicity.fit(docs.limit(0), labels)
     assert toxicity.scores(nothing, bare).count() == 0 and toxicity.without_toxic(docs.limit(0), bare).count() == 0
+
+
+def test_terms_are_counted_in_the_tasks(spark):
+    rows = [([1, 2, 2**62], 1), ([2], 0), ([], 1), ([-5, 2], None), ([1], 1)] * 50
+    vectors = spark.createDataFrame(rows, "terms array<long>, toxic int").repartition(7)
+    assert {tuple(r) for r in toxicity.term_counts(vectors, "toxic").collect()} == {(1, 100, 100), (2, 150, 50), (2**62, 50, 50), (-5, 50, 0)}
+    assert {tuple(r) for r in toxicity.term_counts(vectors).collect()} == {(1, 100, 0), (2, 150, 0), (2**62, 50, 0), (-5, 50, 0)}
+    assert toxicity.term_counts(vectors.limit(0)).count() == 0

@@ -102,6 +102,31 @@ def term_vectors(docs: DataFrame, text: str, keys: list[str], terms: np.ndarray
     return docs.select(*keys, text).mapInArrow(run, out)
 
 
+def term_counts(vectors: DataFrame, toxic: str | None = None) -> DataFrame:
+    """``(term, n, a)``: rows that hold a term and, of these, the sum of the column ``toxic``.
+
+    Each task counts what it reads and gives a row for each term, so a common term is not exchanged once a text.
+    """
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("term", "n", "a")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, n, a = (np.empty(0, np.int64) for _ in range(3))
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy()
+            marked = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
+            found, back = np.unique(np.concatenate([term, flat]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, np.ones(len(flat), np.int64)]), len(found)).astype(np.int64)
+            a = np.bincount(back, np.concatenate([a, marked]), len(found)).astype(np.int64)
+            term = found
+        if len(term):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (term, n, a)], names=out.names)
+
+    marks = F.col(toxic).cast("long") if toxic else F.lit(0).cast("long")
+    counted = vectors.select("terms", F.coalesce(marks, F.lit(0)).alias("_a")).mapInArrow(run, out)
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+
+
 @dataclass
 class Index:
     """Unit vectors of the examples as postings by block, with the largest weight of each block."""
@@ -211,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     n_toxic = F.sum("_toxic").alias("n1")
     words = store(term_vectors(labelled.select(doc_id, "_toxic", text), text, [doc_id, "_toxic"]), "labelled-words").frame
     n, n1 = words.agg(F.count("*"), F.coalesce(n_toxic, F.lit(0))).first()
-    per_term = words.select("_toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("_toxic").alias("a"))
+    per_term = term_counts(words, "_toxic")
     # The usual 2 x 2 table: a toxic with the term, b others with it, c and d without.
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
@@ -222,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     total = vectors.count()
     frequency = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        frequency[r.term] = r["count"]
+    for r in term_counts(vectors).collect():  # at most TERMS rows
+        frequency[r.term] = r.n
     idf = np.log((total + 1) / (frequency + 1)) + 1
     rows = vectors.join(F.broadcast(sample), doc_id).select(F.col(doc_id).cast("long").alias("id"), "_toxic", "terms", "counts").orderBy("id").toArrow()
     toxic = rows.column("_toxic").to_numpy().astype(np.float64)
