@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,10 +235,18 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node that each node of ``links (a, b)`` reaches.
 
     Each round links the larger neighbours of a node, then its smaller ones, to the
-    smallest neighbour. Every link of a result points from a node to the smallest node
-    of its group, so the rounds end when nothing changes. The smallest node itself has no row.
+    smallest neighbour. In a result every node points to the smallest node of its group and nothing points to
+    it, which one sum over the nodes tells; links that are such stars from the start need no round. The smallest node
+    itself has no row.
     """
 
+    def are_stars(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("out"))
+        )
+        sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("all"))
+        return sums.where("out > 1 OR (out = 1 AND all > 1)").isEmpty()
+
     def round_of(edges: DataFrame, rows: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hot = hot_keys(both, "u", rows=2 * rows)
@@ -252,20 +260,13 @@ def components(links: DataFrame) -> DataFrame:
         )
         return small.where("u <> v").distinct()
 
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last, now, rows = None, None, edges.count()
-    while rows:
-        seen = Observation()
-        after = store(
-            round_of(edges, rows).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")),
-            "groups",
-        )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = None
+    while not are_stars(edges):
+        after = store(round_of(edges, edges.count()), "groups")
         if now is not None:
             now.drop()
-        now, edges, rows, state = after, after.frame, seen.get["n"], (seen.get["n"], seen.get["sum"])
-        if state == last:
-            break
-        last = state
+        now, edges = after, after.frame
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
