@@ -5,8 +5,9 @@ DataFrame; ``run`` writes it as Parquet into the shared folder and rereads it fo
 the last return the columns of documents.
 
 1. toxicity: rows whose score from labelled neighbours is 0.5 or more go.
-2. near-dedup: one document of each group of near-duplicates stays, the one with the smallest id; of
-   repeated rows of that document one stays; texts without words and rows without an id all stay.
+2. near-dedup: one document of each group of near-duplicates stays, the one with the smallest id; of equal
+   rows one stays; different texts with the same id stay together if one of them is kept; texts without words and
+   rows without an id all stay.
 3. decontamination: documents that hold a window of the benchmark go.
 4. secrets: found secrets are replaced in the texts, ``n_chars`` follows.
 5. tokens: the ids of the texts, with counts and digests.
@@ -36,9 +37,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*DOCUMENT)
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*DOCUMENT).unionByName(docs.where("doc_id IS NULL"))
+    found = minhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = store(found.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "kept-ids").frame
+    repeated = ids.where("n > 1").select("doc_id")
+    named = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*DOCUMENT)
+    if not repeated.isEmpty():  # only rows that share an id can be equal
+        several = named.join(repeated, "doc_id", "left_semi").select(*DOCUMENT).dropDuplicates()
+        named = named.join(repeated, "doc_id", "left_anti").select(*DOCUMENT).unionByName(several)
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
