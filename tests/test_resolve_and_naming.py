@@ -173,3 +173,15 @@ def test_a_hot_key_stays_where_it_is(spark):
         assert hot_keys(left, ["scope", "word"]).count() == 2 and split_join(left.limit(0), right, [("word", "_w")]).isEmpty()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_large_island(spark):
+    """10,000 candidates that hang together: none is compared with all that are accepted."""
+    rng = random.Random(11)
+    chain = [(i * 7, i * 7 + 9, "c", "L", rng.randrange(1, 5), "r", i) for i in range(8000)]
+    inner = [(s := rng.randrange(56_000), s + rng.randrange(1, 40), "c", "L", rng.randrange(1, 5), "r", 8000 + i) for i in range(2000)]
+    table = spark.createDataFrame([(chain + inner,)], f"c array<struct<{FIELDS.replace(' ', ':')}>>".replace(",:", ","))
+    began = time.time()
+    got = [tuple(x) for x in table.select(resolve.resolved(F.col("c")).alias("kept")).first().kept]
+    assert time.time() - began < 30
+    assert got == greedy(chain + inner)

@@ -24,7 +24,11 @@ def _copy(c: Column) -> Column:
 
 
 def _greedy(island: Column) -> Column:
-    """Accept by priority whatever does not touch an accepted position."""
+    """Accept by priority whatever does not touch an accepted position.
+
+    Accepted spans share no position and are kept in text order, so their ends ascend: a binary search finds the first one that
+    ends behind a candidate's start, the only one to compare with, and the place to insert at.
+    """
     by_priority = F.array_sort(
         F.transform(
             island,
@@ -38,14 +42,27 @@ def _greedy(island: Column) -> Column:
         )
     )
 
-    def accept(taken: Column, item: Column) -> Column:
-        c = item["candidate"]
-        clash = F.exists(taken, lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"]))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(_copy(c))))
+    def accepted(strides: Column) -> Column:
+        def accept(taken: Column, item: Column) -> Column:
+            c = item["candidate"]
 
-    return F.when(F.size(island) == 1, island).otherwise(
-        let(by_priority, lambda p: F.array_sort(F.aggregate(p, F.slice(island, 1, 0), accept)))
-    )
+            def step(low: Column, stride: Column) -> Column:
+                further = (low + stride <= F.size(taken)) & (F.get(taken, low + stride - 1)["end"] <= c["start"])
+                return F.when(further, low + stride).otherwise(low)
+
+            def put(at: Column) -> Column:
+                clash = F.coalesce(F.get(taken, at)["start"] < c["end"], F.lit(False))
+                longer = F.concat(
+                    F.slice(taken, F.lit(1), at), F.array(_copy(c)), F.slice(taken, at + 1, F.size(taken) - at)
+                )
+                return F.when(clash, taken).otherwise(longer)
+
+            return let(F.aggregate(strides, F.lit(0), step), put)
+
+        return let(by_priority, lambda p: F.aggregate(p, F.slice(island, 1, 0), accept))
+
+    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.when(F.size(island) == 1, island).otherwise(let(F.filter(powers, lambda p: p <= F.size(island)), accepted))
 
 
 def resolved(candidates: Column) -> Column:
