@@ -434,6 +434,40 @@ def assign_not_code(spark, sf_dir):
     return texts.select("c_custkey", F.explode(kept).alias("p")).select("c_custkey", "p.key", "p.value")
 
 
+# the three forms of an assignment: text before the value, key, value, text after it
+_FORM_PARTS = (
+    ("""'export DB_SECRET="'""", "DB_SECRET", "md5(c_name)", """'"' || chr(10)""", "line"),
+    ("'api.key: '", "api.key", "substr(md5(c_name), 1, 12)", "chr(10)", "line"),
+    ("""'{"id": "'""", "id", "CAST(c_custkey AS STRING)", """'", '""", "json"),
+    ("""'"client_secret": "'""", "client_secret", "c_name", """'"}' || chr(10)""", "json"),
+    ("'done with mode='", "mode", "substr(md5(c_name), 3, 6)", "' and '", "inline"),
+    ("'token=' || chr(39)", "token", "c_mktsegment", "chr(39) || ' for now' || chr(10)", "inline"),
+    ("chr(9) || 'pass_phrase = '", "pass_phrase", "'two' || substr(md5(c_name), 5, 4)", "''", "line"),
+)
+_FORM_TEXT = " || ".join(f"{before} || {value} || {after}" for before, _, value, after, _ in _FORM_PARTS)
+
+
+def _form_rows() -> str:
+    rows, start = [], "0"
+    for before, key, value, after, form in _FORM_PARTS:
+        rows.append(
+            f"SELECT c_custkey, '{key}' AS key, {value} AS value, CAST({start} + length({before}) AS BIGINT) AS start, "
+            f"'{form}' AS form FROM customer"
+        )
+        start += f" + length({before} || {value} || {after})"
+    return " UNION ALL ".join(rows)
+
+
+@job("assignment_forms", _form_rows())
+def assignment_forms(spark, sf_dir):
+    """Whole lines, JSON members and inline pairs in one text."""
+    texts = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr(_FORM_TEXT).alias("text"))
+    found = texts.select("c_custkey", F.explode_outer(assignments.pairs(searchable(F.col("text")))).alias("p"))
+    return found.where(F.col("p").isNotNull()).select(
+        "c_custkey", "p.key", "p.value", F.col("p.start").cast("bigint").alias("start"), "p.form"
+    )
+
+
 @job(
     "assignments",
     "WITH RECURSIVE " + expected.steps("tokens")
