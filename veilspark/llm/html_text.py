@@ -7,12 +7,17 @@ lies in links. The element with most points is the container; it widens to the a
 around it, else siblings that score like content, or are headings and paragraphs of it, are kept too.
 
 Never part of a text: scripts, styles and other things that are not shown, and elements whose
-tag, role or class marks them as menu, header, footer, sidebar, notice, advert, form or reader
+tag or role marks them as menu, header, footer, sidebar, notice, advert, form or reader
 comments. A header within an article is the article's own.
 
+Words of classes and ids only put an element aside. It counts again if it holds the page's main element, or if
+nothing but such elements has text. Headings and paragraphs are put aside by a class that is such a word as a whole,
+never by their id; what follows ``with``, ``has``, ``no`` or ``without`` in a name says nothing about the element.
+
 Defined results: null and empty pages, and pages without any paragraph, have an empty text; broken
 markup is read as it comes: unclosed elements end with their parent, stray end tags are
-ignored, a lone ``<`` is text; equal rows get equal rows; other columns are not read.
+ignored, a quote that never closes is a character of its tag, a lone ``<`` is text; of containers with equal points the
+outer and earlier one is taken; equal rows get equal rows; other columns are not read. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -47,9 +52,11 @@ UNWANTED = frozenset(
     " nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager topbar toolbar masthead header footer copyright"
     " sidebar aside widget widgets related recommended recommendations share sharing social"
     " notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall"
-    " comment comments commentlist respond replies disqus discussion"
+    " comment comments commentlist respond replies disqus"
     " form search searchform hidden".split()
 )
+#: Words of a name that tell what an element goes with, not what it is.
+BESIDE = frozenset("with has have no without and".split())
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {
     "p": BLOCKS - {"body", "html"},
@@ -65,12 +72,13 @@ ENDS = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|))*+)>|([^<]+|<)",
     re.S,
 )
-#: A tag whose quotes do not close.
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _NAMES = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -78,35 +86,48 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: its blocks of text are ``(order, text, link characters)``."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "blocks")
+    __slots__ = ("tag", "parent", "children", "dropped", "aside", "block", "points", "chars", "linked", "blocks")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, aside: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.aside = tag, parent, dropped, aside
         self.children: list[Node] = []
+        #: The nearest block, itself included.
+        self.block: Node = self if parent is None or tag in BLOCKS or tag in ENDS else parent.block
         self.blocks: list[tuple[int, str, int]] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         if parent is not None:
             parent.children.append(self)
 
 
-def _marked(tag: str, attributes: str, within_content: bool) -> bool:
-    """Whether tag, role or class tell that an element is no part of the article."""
+def _marked(tag: str, attributes: str, within_content: bool) -> tuple[bool, bool]:
+    """Whether an element is not shown or no part of the article by tag and role, and whether its names put it aside."""
     if tag in NOT_SHOWN or (tag == "header" and not within_content):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    plain, aside = tag in PARAGRAPHS, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id"):
-            for one in value.split():
-                parts = _NAMES.split(one)
-                if (parts[0] in UNWANTED or parts[-1] in UNWANTED) and parts[0] not in ("has", "with", "no", "without"):
-                    return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+            return True, False
+        if name == "style" and _UNSEEN.search(value):
+            return True, False
+        if name == "class" or name == "id" and not plain:
+            aside = aside or any(_names_other(one, plain) for one in value.split())
+    hidden = bool(_HIDDEN.search(_QUOTED.sub("", attributes)))
+    return hidden, aside and tag != "header"
+
+
+def _names_other(name: str, whole: bool) -> bool:
+    """Whether a class or id names something beside the article; ``whole``: only as one word."""
+    if whole:
+        return name in UNWANTED
+    parts = _NAMES.split(name)
+    for i, part in enumerate(parts):
+        if part in BESIDE:
+            parts = parts[:i]
+            break
+    return bool(parts) and (parts[0] in UNWANTED or parts[-1] in UNWANTED)
 
 
 def tree(page: str) -> Node:
@@ -114,7 +135,17 @@ def tree(page: str) -> Node:
     root = here = Node("", None, False)
     parts: list[tuple[str, bool]] = []  # of the open paragraph: text, and whether it is in a link
     order, links, content = 0, 0, 0
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    opened: dict[str, int] = {}
+
+    def leave(node: Node) -> None:
+        """Ends ``node`` and all that is open in it."""
+        nonlocal here, links, content
+        while here is not node.parent:
+            links -= here.tag == "a"
+            content -= here.tag in CONTENT
+            opened[here.tag] -= 1
+            here = here.parent
 
     def close() -> None:
         nonlocal order
@@ -122,24 +153,18 @@ def tree(page: str) -> Node:
             text = _SPACE.sub(" ", html.unescape("".join([t for t, _ in parts]))).strip()
             if text and not here.dropped:
                 linked = sum(len(t) for t, inside in parts if inside)
-                here_block().blocks.append((order, text, min(linked, len(text))))
+                here.block.blocks.append((order, text, min(linked, len(text))))
                 order += 1
             parts.clear()
 
-    def here_block() -> Node:
-        node = here
-        while node.parent is not None and node.tag not in BLOCKS:
-            node = node.parent
-        return node
-
     while at < n:
-        m = _TOKEN.match(page, at)
-        if m is not None and m.group(4) == "<":
-            m = _LOOSE_TAG.match(page, at) or m
-        if m is None:  # an unfinished tag: its bracket is text
-            parts.append((page[at], links > 0))
-            at += 1
+        if at > last and not page.startswith(("<!", "<?"), at):  # no tag ends any more: brackets are text
+            end = min([i for i in (page.find("<!", at), page.find("<?", at)) if i >= 0], default=n)
+            if not here.dropped:
+                parts.append((page[at:end], links > 0))
+            at = end
             continue
+        m = _TOKEN.match(page, at)
         at = m.end()
         text = m.group(4)
         if text:
@@ -151,19 +176,16 @@ def tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is None:  # nothing to end
+            if not opened.get(tag):  # nothing to end
                 if tag in BLOCKS:
                     close()
                 continue
+            node = here
+            while node.tag != tag:
+                node = node.parent
             if tag in BLOCKS or _holds_block(here, node):
                 close()
-            while here is not node.parent:
-                links -= here.tag == "a"
-                content -= here.tag in CONTENT
-                here = here.parent
+            leave(node)
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br" and not here.dropped:
@@ -171,18 +193,12 @@ def tree(page: str) -> Node:
             continue
         if tag in BLOCKS:
             close()
-        node, limit = here, 0
-        while node.parent is not None and limit < 8:  # elements that this one ends
-            if node.tag in ENDS and tag in ENDS[node.tag]:
-                close()
-                while here is not node.parent:
-                    links -= here.tag == "a"
-                    content -= here.tag in CONTENT
-                    here = here.parent
-                break
-            if node.tag in BLOCKS and node.tag not in ("tbody", "thead", "tfoot"):
-                break
-            node, limit = node.parent, limit + 1
+        node = here.block  # what this one ends
+        while node.parent is not None and tag not in ENDS.get(node.tag, ()) and node.tag in ("tbody", "thead", "tfoot"):
+            node = node.parent.block
+        if node.parent is not None and tag in ENDS.get(node.tag, ()):
+            close()
+            leave(node)
         if tag in VOID:
             continue
         attributes = m.group(3)
@@ -192,7 +208,9 @@ def tree(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        here = Node(tag, here, here.dropped or _marked(tag, attributes, content > 0))
+        never, aside = (True, False) if here.dropped else _marked(tag, attributes, content > 0)
+        here = Node(tag, here, never, aside)
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         content += tag in CONTENT
     close()
@@ -217,6 +235,27 @@ def _walk(root: Node) -> list[Node]:
     return nodes
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Decides about elements that are put aside; ``nodes`` have parents before children."""
+    if not any(node.aside for node in nodes):
+        return
+    holds = {id(node) for node in nodes if node.tag == "main" and not node.dropped}
+    for node in reversed(nodes):
+        if id(node) in holds and node.parent is not None:
+            holds.add(id(node.parent))
+    for node in nodes:
+        if id(node) in holds:
+            node.aside = False
+        elif node.parent is not None and node.parent.aside:
+            node.aside = True
+    if not any(node.blocks and not node.aside for node in nodes):
+        return
+    for node in nodes:
+        if node.aside:
+            node.dropped = True
+            node.blocks.clear()
+
+
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -227,6 +266,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     nodes = _walk(root)
+    _settle(nodes)
     for node in nodes:
         for _, text, linked in node.blocks:
             own = 0.5 if node.tag in HEADINGS else 1.0 + text.count(",") + min(len(text) / 100, 3.0)
