@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import topk
@@ -38,6 +39,22 @@ def test_best_are_those_of_all_pairs(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id = 1100"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**10, 2.0**20])
+def test_scores_above_2_53_are_exact(spark, size):
+    r = random.Random(3)
+    near = [[r.uniform(-size, size) for _ in range(6)] for _ in range(4)]
+    rows = [(i, [c + r.choice([0, 1 / 1024, -1 / 1024]) for c in r.choice(near)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10)
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(100, [2.0**40]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(df, F.col("vec_id") % 100 == 0)
+
+
 def test_bounds_spare_evaluations():
     import numpy as np
 

@@ -15,8 +15,8 @@ neither side has to fit anywhere as a whole.
 Defined results: vectors that are null or hold null or non-finite components, and rows without an
 id, take no part; shorter vectors end in zeros; a vector without components scores 0; equal
 rows are candidates each, equal query rows are one query; no row with a query's own id is its
-candidate; an empty table gives an empty table. Components are taken to be small enough for
-the score to fit in 64 bits. Other columns are not read.
+candidate; an empty table gives an empty table. Scores are exact 64-bit integers; vectors so long that a score
+might not fit (the largest square norm is 2^63 or more) are an error. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def best_of_block(
         upper[ids == query_ids[i]] = -np.inf
         order = np.argsort(-upper, kind="stable")
         order = order[: len(order) - int(np.isinf(upper).sum())]
-        best, scores, at, size = np.empty(0, np.int64), np.empty(0), 0, 64
+        best, scores, at, size = np.empty(0, np.int64), np.empty(0, exact.dtype), 0, 64
         while at < len(order):
             if len(best) >= k and upper[order[at]] < scores[-1]:
                 break
@@ -129,6 +129,8 @@ def top_k(
     if not n:
         empty = vectors.sparkSession.createDataFrame([], kind)
         return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    if largest >= 2.0**63:  # no product is larger than the largest square
+        raise ValueError("scores of these vectors do not fit in 64 bits")
     radius, width = float(np.sqrt(largest)), max(width, 1)
     sample = hash_sample(rows, n, SAMPLE, ["id", "row"]).select("v").toArrow()  # a bounded sample
     chosen, added = choose_pivots(matrix(sample.column(0), width).astype(np.float64), radius, pivots)
