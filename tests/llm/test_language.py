@@ -24,6 +24,21 @@ def test_evidence_of_all_kinds(spark):
     assert {r.lang for r in language.identify(pages, texts.limit(0)).collect()} == {None}
 
 
+def test_many_languages_and_odd_columns(spark):
+    """Each made language has words of its own; a map column is not read; copies of a text do not fill the sample."""
+    def words(i, at):
+        return " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + j) % 26)}{'xyz'[(at + j) % 3]}" for j in range(40))
+
+    rows = [(i * 10 + at, words(i, at), f"l{i:02}", {"k": i}) for i in range(70) for at in range(3)] + [(9000 + i, words(0, 0), "l00", None) for i in range(300)]
+    rows += [(None, words(1, 1), "l01", None), (9999, None, "l02", None), (9998, "words without a language", None, None), (9997, "long " * 60_000, "l69", None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string, odd map<string,int>")
+    names, table = language.learn(texts)
+    assert sorted(names) == [f"l{i:02}" for i in range(70)] and table.shape == (70, language.BUCKETS)
+    pages = spark.createDataFrame([(i, None, f"<p>{words(i, 5)}</p>") for i in range(69)], "page_id long, url string, html string")
+    got = {r.page_id: r.text_lang for r in language.identify(pages, texts).collect()}
+    assert sum(got[i] == f"l{i:02}" for i in range(69)) >= 66
+
+
 def test_held_out_texts(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

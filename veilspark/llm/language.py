@@ -14,7 +14,8 @@ Defined results: a page without text is decided by the other evidence; null page
 text nor a declaration, null addresses have no host and count as one host; equal rows
 get equal rows; without labelled texts every page has a null language. Declarations and parts of
 addresses are two or three letters, so their tables have at most 18,252 rows and are broadcast;
-hosts are joined with hot hosts salted. Other columns are not read.
+hosts are joined with hot hosts salted. Every language that a labelled text has is known; the model has a row of
+``BUCKETS`` numbers for each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from veilspark.llm.shared import hot_keys, salted_join, store, text_bytes
 #: Labelled texts that the text model is learned from (about so many), and its buckets of trigrams.
 EXAMPLES = 8000
 BUCKETS = 1 << 15
-LANGUAGES = 64
 #: Weight of a trigram, for they overlap and repeat, and the most that text may weigh.
 TEMPER = 0.2
 MOST = 25.0
@@ -59,11 +59,14 @@ def _buckets(data: np.ndarray) -> np.ndarray:
     return places
 
 
-def learn(texts: DataFrame, text: str = "text", lang: str = "lang", examples: int = EXAMPLES) -> tuple[list[str], np.ndarray]:
+def learn(
+    texts: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", examples: int = EXAMPLES
+) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every bucket under each, from a bounded sample of labelled texts."""
-    known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_place", F.pmod(F.xxhash64(*texts.columns), F.lit(1 << 30)))
-    sizes = known.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(LANGUAGES).collect()
-    names = [r[0] for r in sizes]
+    place = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30))
+    known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("_place"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    names = [r.lang for r in sizes.orderBy(F.col("rows").desc(), "lang").collect()]
     share = max(1, examples // max(1, len(names)))
     out = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -79,14 +82,17 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang", examples: in
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=out.names)
 
-    chosen = F.lit(False)  # of each language as many rows as its share, give or take chance, by the hash of the whole row
-    for name, rows in sizes:
-        chosen = chosen | ((F.col(lang) == name) & (F.col("_place") < int(min(1.0, share / rows) * (1 << 30)) + 1))
-    sample = known.where(chosen).select(lang, text)
+    # Of each language as many rows as its share, give or take chance; a row a language is sent to the tasks.
+    reach = F.floor(F.least(F.lit(1.0), F.lit(float(share)) / F.col("rows")) * (1 << 30)) + 1
+    sample = known.join(F.broadcast(sizes.select("lang", reach.alias("_reach"))), "lang").where("_place < _reach").select("lang", "text")
     table = np.full((len(names), BUCKETS), 0.5)
     if names:
-        for r in sample.mapInArrow(run, out).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-            table[names.index(r.lang), r.bucket] += r.n
+        row = {name: i for i, name in enumerate(names)}
+        lists = F.collect_list(F.struct("bucket", "n")).alias("cells")  # at most BUCKETS a language
+        counts = sample.mapInArrow(run, out).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(lists)
+        for batch in counts.select("lang", "cells.bucket", "cells.n").toArrow().to_batches():
+            for name, bucket, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                table[row[name], bucket.values.to_numpy()] += n.values.to_numpy()
     return names, np.log(table / table.sum(axis=1, keepdims=True)) if names else table
 
 
@@ -138,10 +144,11 @@ def _sums(n: int) -> list[Column]:
 
 
 def identify(
-    pages: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("page_id",), url: str = "url", page: str = "html", text: str = "text", lang: str = "lang"
+    pages: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("page_id",), url: str = "url", page: str = "html", text: str = "text",
+    lang: str = "lang", doc_id: str = "doc_id",
 ) -> DataFrame:
     """``(keys, url, lang, confidence, text_lang, declared, suffix, shares map)`` of every page."""
-    names, table = learn(texts, text, lang)
+    names, table = learn(texts, text, lang, doc_id)
     n = len(names)
     address = F.lower(F.col("url"))
     host = F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/:?#]*)", 1)
