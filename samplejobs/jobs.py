@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplejobs import derived, expected
+from samplejobs import derived, expected, rule_samples
 from veilspark.functions import checks
 from veilspark.functions import patterns as P
 from veilspark.functions.text import ENTROPY_SQL, entropy, find_all, searchable
@@ -390,6 +390,21 @@ def rule_allowlist(spark, sf_dir):
     )
 
 
+@job(
+    "every_rule",
+    rule_samples.texts_sql("supplier", "s_suppkey")
+    + f" SELECT s_suppkey, rule_id, start, value FROM shapes WHERE least < 0 OR {derived.SQL_ENTROPY.format(v='made')} > least",
+)
+def every_rule(spark, sf_dir):
+    """The finding of each rule of the catalogue in a text made from its pattern, for every supplier."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    texts = rule_samples.texts_of(suppliers, "s_suppkey")
+    found = candidates(texts, "text", ["s_suppkey", "rule_id", "text"], ["keys", "passwords", "privateKeys"]).where("rule = rule_id")
+    return found.select(
+        "s_suppkey", "rule_id", F.col("start").cast("bigint").alias("start"), F.expr("substr(text, start + 1, `end` - start)").alias("value")
+    )
+
+
 # A generic value is no secret where it holds a stop word; here the stop words are the names of the nations.
 _STOPWORD_VALUE = (
     "'Zx' || substr(md5(c_name), 1, 9) || CASE WHEN c_custkey % 3 = 0 THEN lower(replace(n_name, ' ', '')) "
