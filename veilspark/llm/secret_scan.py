@@ -38,14 +38,20 @@ TREES, DEPTH, SEED = 16, 5, 17
 MASK = "[SECRET]"
 
 # Words that speak of secrets, of other things that look like them, and of placeholders; known formats.
-SPEAKS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_.-]?key|apikey|access[_.-]?key|private[_.-]?key|auth|credential"
+PASSWORD = r"passw(?:or)?d|passwd|passphrase|pwd"
+SPEAKS = rf"token|secret|{PASSWORD}|api[ _.-]?key|access[ _.-]?key|private[ _.-]?key|auth|credential"
 OTHERWISE = r"commit|revision|sha-?1|sha-?256|md5|checksum|digest|hash|etag|uuid|guid|integrity|fingerprint|build|version"
 PLACEHOLDER = r"example|sample|dummy|changeme|change_me|placeholder|your|xxxx|test|redacted|insert|todo|none|null|undefined|\*\*\*\*|\$\{|\{\{|<"
 FORMATS = (
     r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[0-9A-Za-z]{24,}"
     r"|AIza[0-9A-Za-z_-]{35}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
 )
-ASSIGNED = rf"(?i)(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]*(?:{SPEAKS})[A-Za-z0-9_.-]*)[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s|basic\s)?[\"']?([^\s\"'`,;]{{8,}})"
+_GAP = r"[ \t]*+(?:\r?\n[ \t]*+)?+"
+#: A value of four and more characters behind an operator, or behind ``is`` if it has a digit.
+ASSIGNED = (
+    rf"(?i)(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]*(?:{SPEAKS})[A-Za-z0-9_.-]*)[\"']?{_GAP}"
+    rf"(?:=>|:=|=|:|(?<=\s)is(?=\s+[\"']?[^\s\"'`,;0-9]*+[0-9])){_GAP}(?:bearer\s|basic\s)?[\"']?([^\s\"'`,;]{{4,}})"
+)
 KNOWN = rf"(?<![A-Za-z0-9_-])()({FORMATS})(?![A-Za-z0-9_-])"
 QUOTED = r"[\"']()([A-Za-z0-9+/_=-]{24,})[\"']"
 _KEY = r"[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----"
@@ -59,11 +65,11 @@ IN_URL = r"(?<![A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]{0,24}+://[^\s:/?#@\"'<>`]*
 BARE = r"(?<![A-Za-z0-9_+/-])()((?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+)(?![+/])"
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "symbols", "changes", "longest_run", "hex_only", "pairs", "dictionary",
-    "slashes", "dots", "in_path", "speaks", "otherwise", "placeholder", "known", "assigned", "pieces", "free",
+    "slashes", "dots", "in_path", "speaks", "of_password", "otherwise", "placeholder", "known", "assigned", "pieces", "free",
 )
 
 
-_STEMS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
+_STEMS = ("token", "secret", "passw", "passphrase", "pwd", "key", "auth", "credential")
 _MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "AIza", "SG.", "npm_", "eyJ")
 _SCORED = "array<struct<start:int,end:int,kind:string,name:string,score:double,is_secret:boolean>>"
 _CANDIDATE = "array<struct<start:int,last:int,end:int,kind:string,name:string,value:string,before:string,after:string>>"
@@ -104,7 +110,7 @@ def candidates(text: Column) -> Column:
             return F.coalesce(F.transform(hits, one).cast(_CANDIDATE), F.array().cast(_CANDIDATE))
 
         low = F.lower(whole)
-        assigned = _any(low, _STEMS) & _any(whole, ("=", ":"))
+        assigned = _any(low, _STEMS) & _any(whole, ("=", ":", "is"))
         quoted = F.contains(whole, F.lit('"')) | F.contains(whole, F.lit("'"))
         return F.array_sort(
             F.concat(
@@ -171,7 +177,7 @@ def features(c: Column, vocabulary: Vocabulary) -> Column:
         count("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"), count(r"(.)\1\1"), flag(v.rlike("^[0-9a-fA-F-]+$")),
         F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / n, covered / n,
         count("/"), count("[.]"), flag(c["before"].rlike("[/.]$") | (c["after"] == "/") | v.rlike("^[./~]|://")),
-        flag(near.rlike(SPEAKS)), flag(near.rlike(OTHERWISE)), flag(~written), flag(known),
+        flag(near.rlike(SPEAKS)), flag(F.lower(c["name"]).rlike(rf"(?:{PASSWORD})$") & v.rlike("[0-9!@#%^&*?$]") & written), flag(near.rlike(OTHERWISE)), flag(~written), flag(known),
         flag(c["kind"] == "assigned"), F.size(pieces) / n, flag((c["kind"] == "bare") & ~near.rlike(OTHERWISE) & ~v.rlike("^[0-9a-fA-F-]+$")),
     )
     return F.struct(*[x.cast("double").alias(name) for name, x in zip(FEATURES, values)])
@@ -193,6 +199,8 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     part = lambda x, n, at=1: F.substring(x, at, n)
     lit, low = F.lit, F.lower
     uuid = F.concat_ws("-", part(hex_, 8), part(hex_, 4, 9), part(hex_, 4, 13), part(hex_, 4, 17), part(hex_, 12, 21))
+    digits = F.translate(F.col("hex2"), "abcdef", "314159")
+    digit = F.substring(digits, 7, 1)
     lower_prefix = F.substring(low(w[3]), 1, 4)
     lines = F.concat_ws("\n", mixed, F.reverse(mixed), F.col("b64"))
     true = [
@@ -205,6 +213,10 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         (" redis://:", F.concat(low(w[4]), part(hex_, 3)), "@cache:6379 "), (" amqp://mq:", part(mixed, 4), "@mq.internal "),
         (" ", F.concat(lit("github_pat_"), part(mixed, 22), lit("_"), part(mixed, 50, 20)), " "), (" ", F.concat(lower_prefix, lit("_"), part(mixed, 32, 7)), "\n"),
         (" ", part(mixed, 40, 11), " "), (" ", F.concat(lower_prefix, lit("-"), part(mixed, 28, 3)), " "),
+        (" password: ", F.concat(low(w[3]), digit), " "), (" pwd=", part(mixed, 7, 2), "\n"), (" DB_PASSWORD=", part(mixed, 9, 12), " "),
+        (' password = "', F.concat(low(w[4]), digit, lit("!")), '" '), (" passwd: ", F.concat(F.initcap(w[3]), part(digits, 4)), " "),
+        (' secret    =     "', part(mixed, 16, 30), '" '), (" api key is ", part(hex_, 32, 9), " "), (" the password is ", F.concat(part(mixed, 6, 40), digit), " "),
+        (" PASSWORD=", F.concat(part(mixed, 3, 50), lit("@"), digit, part(mixed, 3, 60)), " "), (" passphrase: ", part(mixed, 5, 22), " "),
     ]
     false = [
         (' token = "', F.concat_ws("_", low(w[3]), low(w[4]), low(w[5])), '" '), (" secret = ", F.concat(lit("your_"), low(w[3]), lit("_here")), " "),
@@ -216,6 +228,10 @@ def labelled_findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         (" ", lit("-----BEGIN PRIVATE KEY-----\nYOUR KEY HERE\n-----END PRIVATE KEY-----"), "\n"), (" ", lit("-----BEGIN RSA PRIVATE KEY-----\n...\n-----END RSA PRIVATE KEY-----"), "\n"),
         (" DATABASE_URL=postgres://app:", F.concat(lit("${"), F.upper(w[4]), lit("}")), "@db.internal:5432/main "), (" https://user:", lit("xxxxxxxx"), "@host.example.org/ "),
         (" mysql://root:", F.concat(lit("your_"), low(w[3])), "@db/ "), (" ftp://me:", lit("****"), "@files/ "),
+        (" password: ", low(w[3]), " "), (" token: ", low(w[4]), " "), (" auth = ", low(w[5]), " "), (' password: "', F.initcap(w[4]), '" '),
+        (" token_count = ", part(digits, 5), " "), (" auth_version: v2.", part(digits, 4), " "), (" author: ", F.concat(F.initcap(w[3]), lit("2024")), " "),
+        (" secret: ", lit("true"), " "), (" password: ", lit("null"), " "), (" password_hash = ", F.concat(lit("get_"), low(w[3]), lit("()")), " "),
+        (" password = ", F.concat(lit("user."), low(w[3])), " "), (" token is ", F.concat(lit("v1_"), low(w[3])), " "),
         (" commit ", part(hex_, 40), " "), (" sha256 ", hex_, " "), (" ", part(hex_, 40), " "), (" ", part(F.col("hex2"), 32), "\n"), (" ", uuid, " "), (" etag ", part(mixed, 24), " "),
         (" ", F.concat(F.concat_ws("-", *[low(x) for x in w[2:6]]), lit("-2024")), " "), (" ", F.concat(F.concat_ws("_", *[low(x) for x in w[2:6]]), lit("_1")), " "),
         (" ", F.concat(lit("20240131-"), F.concat_ws("-", low(w[3]), low(w[4]), low(w[5]))), " "), (" ", F.concat(*[F.initcap(x) for x in w[2:6]], lit("2")), " "),
