@@ -88,9 +88,9 @@ def is_placeholder(value: Column) -> Column:
 
 
 def globally_allowed(value: Column) -> Column:
-    """One search for the first pattern, which is not anchored, and one for all others."""
+    """One search for the first pattern, which is not anchored, and one for all others, whose anchor is tested once."""
     first, *anchored = P.GLOBAL_ALLOW
-    return value.rlike(first) | value.rlike("|".join(f"(?:{p})" for p in anchored))
+    return value.rlike(first) | value.rlike(r"\A(?:" + "|".join(f"(?:{p.replace(r'\A', '', 1)})" for p in anchored) + ")")
 
 
 def has_global_stopword(value: Column) -> Column:
