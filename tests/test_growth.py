@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from samplejobs import derived
 from samplejobs.jobs import QUERIES
-from veilspark.functions.arrays import let
-from veilspark.functions.text import ENTROPY_SQL, chunked, widen
-from veilspark.operators import audits
+from veilspark.functions.arrays import let, running_max, running_sum
+from veilspark.functions.text import ENTROPY_SQL, chunked, searchable, widen
+from veilspark.operators import audits, secrets
+from veilspark.operators import candidates as spans
+from veilspark.sources.rules import Catalogue
 
 
 def plan(df):
@@ -64,3 +66,59 @@ def test_spans_grow_over_words_of_any_length(spark):
     for n, m, g, longest in df.select("n", "m", grown, F.array_max(F.transform(chunked(F.col("t")), F.length))).collect():
         assert (g["start"], g["end"]) == (2, n + m + 4)
         assert longest <= 128
+
+
+def never(*_):
+    """Text that must not be asked for."""
+    return F.raise_error(F.lit("not needed")).cast("string")
+
+
+def test_keywords_of_short_lines_need_no_look_at_their_places(spark, monkeypatch):
+    token = "gl" + "pat-" + "0123456789abcdefghij"
+    monkeypatch.setattr(secrets, "condensed", lambda t: F.struct(*[never().alias(p) for p in ("named", "tokens", "text")]))
+    found = secrets.rule_candidates(searchable(F.col("t")), Catalogue(), {"keys"})
+    short = spark.createDataFrame([(f"first line\nuse {token} here\nlast one",), ("nothing here",), ("",)], "t STRING")
+    rows = [[(c["rule"], c["start"], c["end"]) for c in r[0] or []] for r in short.select(found).collect()]
+    assert rows == [[("gitlab-pat", 15, 41)], [], []]
+    long = spark.createDataFrame([("word " * 60 + token,)], "t STRING")
+    with pytest.raises(Exception, match="not needed"):
+        long.select(found).collect()
+
+
+def test_both_ways_to_the_rules_of_a_text_agree(spark, monkeypatch):
+    tokens = ["gl" + "pat-" + "0123456789abcdefghij", "datadog_api_key = '" + "0a1b2c3d4e" * 4 + "'", "np" + "m_" + "0a1b2c3d4e5f6g7h8i9" + "j" * 17]
+    head = "-----BEGIN RSA PRIV" + "ATE KEY-----\n"
+    texts = ["\n".join(["plain words"] * 3 + tokens + [head + "A" * 64 + "\n" + head.replace("BEGIN", "END")])]
+    texts += [texts[0].replace("plain words", "plain words " * 90), tokens[0] + " " + tokens[1], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").repartition(1)
+
+    def found(mean):
+        monkeypatch.setattr(secrets, "SHORT_LINE", mean)
+        every = F.sort_array(secrets.rule_candidates(searchable(F.col("t")), Catalogue(), {"keys", "privateKeys", "passwords"}))
+        return sorted((i, [tuple(c) for c in f or []]) for i, f in df.select("i", every).collect())
+
+    whole, looked = found(1 << 30), found(0)
+    assert whole == looked and {c[5] for c in whole[0][1]} >= {"gitlab-pat", "datadog-access-token", "private-key"}
+
+
+def test_only_spans_beside_word_characters_are_widened(spark, monkeypatch):
+    def grown(texts):
+        whole = F.expr("array(named_struct('start', a, 'end', b, 'category', 'keys', 'label', 'L', 'tier', 1, 'rule', 'r', 'seq', 0))")
+        df = spark.createDataFrame(texts, "t STRING, a INT, b INT")
+        return [(r[0][0]["start"], r[0][0]["end"]) for r in df.select(spans.widened(F.col("t"), whole)).collect()]
+
+    assert grown([("xyz", 0, 3), ("xyz", 1, 2), ("xy z", 0, 1), ("-\u00e9 xyz", 4, 6), ("a" * 300 + "xy", 300, 302)]) == [
+        (0, 3), (0, 3), (0, 2), (3, 6), (0, 302)
+    ]
+    monkeypatch.setattr(spans, "widen", lambda *_: F.struct(never().cast("int").alias("start"), F.lit(0).alias("end")))
+    assert grown([("xyz", 0, 3), ("- xyz\n", 2, 5), ("\u00e9xyz\u00e9", 1, 4)]) == [(0, 3), (2, 5), (1, 4)]
+
+
+def test_running_values_take_as_many_strides_as_the_array_needs(spark):
+    arrays = [[(i * 7) % 11 - 5 for i in range(n)] for n in (*range(10), 16, 17, 31, 32, 33, 64, 65, 100)]
+    df = spark.createDataFrame([(a,) for a in [*arrays, None]], "v ARRAY<INT>").repartition(1)
+    got = {tuple(r[0]): (r[1], r[2]) for r in df.select("v", running_sum(F.col("v")), running_max(F.col("v"))).collect() if r[0] is not None}
+    for a in arrays:
+        assert got[tuple(a)] == ([sum(a[: i + 1]) for i in range(len(a))], [max(a[: i + 1]) for i in range(len(a))])
+    shown = df.select(running_sum(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin(" in shown

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let
-from veilspark.functions.text import chunked, unquoted, widen
+from veilspark.functions.text import chunked, cut, quoted, widen
 
 CANDIDATE = "struct<start:int,end:int,category:string,label:string,tier:int,rule:string,seq:int>"
 
@@ -43,18 +43,18 @@ def candidate(
     def col(x: Column | str | int) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
 
-    return let(
-        unquoted(value, start, end),
-        lambda span: F.struct(
-            span["start"].alias("start"),
-            span["end"].alias("end"),
+    def at(first: Column, last: Column) -> Column:
+        return F.struct(
+            first.alias("start"),
+            last.alias("end"),
             col(category).alias("category"),
             col(label).alias("label"),
             col(tier).cast("int").alias("tier"),
             col(rule).alias("rule"),
             col(seq).cast("int").alias("seq"),
-        ),
-    )
+        )
+
+    return F.when(quoted(value), at(start + 1, end - 1)).otherwise(at(start, end))
 
 
 def gather(parts: list[Column]) -> Column:
@@ -63,22 +63,25 @@ def gather(parts: list[Column]) -> Column:
 
 
 def widened(text: Column, found: Column) -> Column:
-    """Grow every candidate to ASCII word boundaries."""
+    """Grow every candidate to ASCII word boundaries.
+
+    Most have no word character beside them and stay as they are: one look tells. A blank on both sides of the text
+    spares the questions for its ends.
+    """
 
-    def grow(source: Column) -> Column:
+    def grow(chunks: Column) -> Column:
         def one(c: Column) -> Column:
-            return let(
-                widen(source["chunks"], source["length"], c["start"], c["end"]),
+            longer = let(
+                widen(chunks, F.length(text) + 2, c["start"] + 1, c["end"] + 1),
                 lambda w: F.struct(
-                    w["start"].alias("start"),
-                    w["end"].alias("end"),
+                    (w["start"] - 1).alias("start"),
+                    (w["end"] - 1).alias("end"),
                     *[c[f].alias(f) for f in ("category", "label", "tier", "rule", "seq")],
                 ),
             )
+            return F.when(cut(chunks, c["start"], c["end"] + 2).rlike(r"\A(?:\w|(?s:.*+)(?<=\w))"), longer).otherwise(c)
 
         return F.transform(found, one)
 
-    return F.when(
-        F.size(found) > 0,
-        let(F.struct(chunked(text).alias("chunks"), F.length(text).alias("length")), grow),
-    ).otherwise(none())
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.when(F.size(found) > 0, let(chunked(padded), grow)).otherwise(none())

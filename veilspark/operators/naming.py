@@ -43,7 +43,7 @@ def _skips(ranks: Column, taken: Column) -> Column:
     n log n in the number of both.
     """
     canonical = F.filter(taken, lambda t: t.rlike(_CANONICAL))
-    numbers = F.array_sort(
+    numbers = F.sort_array(
         F.transform(
             canonical,
             lambda t: F.struct(
@@ -76,7 +76,7 @@ def _skips(ranks: Column, taken: Column) -> Column:
 
     # at equal places values come before marks: a mark counts for the ranks above it
     values = F.transform(ranks, lambda r: point(r["label"], r["rank"], 0))
-    return let(F.array_sort(F.concat(values, let(numbers, marks))), counted)
+    return let(F.sort_array(F.concat(values, let(numbers, marks))), counted)
 
 
 def named(spans: Column, taken: Column) -> Column:
@@ -93,7 +93,7 @@ def named(spans: Column, taken: Column) -> Column:
         )
 
     def by_value(s: Column) -> Column:
-        return F.array_sort(
+        return F.sort_array(
             F.transform(
                 s,
                 lambda x, i: F.struct(x["value"].alias("value"), i.alias("at"), x["label"].alias("label")),
@@ -126,12 +126,12 @@ def named(spans: Column, taken: Column) -> Column:
 
                 fresh = F.transform(r, lambda x: one(x, F.lit(0)))
                 beside = let(_skips(r, taken), lambda k: F.transform(r, lambda x, i: one(x, F.get(k, i))))
-                return F.array_sort(F.when(F.size(taken) == 0, fresh).otherwise(beside))
+                return F.sort_array(F.when(F.size(taken) == 0, fresh).otherwise(beside))
 
             return let(let(_heads(u, lambda x, i: i), ranked), issue)
 
         def back(names: Column) -> Column:
-            return F.array_sort(
+            return F.sort_array(
                 F.transform(
                     occurrences,
                     lambda o, j: F.struct(
@@ -141,7 +141,7 @@ def named(spans: Column, taken: Column) -> Column:
                 )
             )
 
-        return let(let(F.array_sort(firsts), per_label), back)
+        return let(let(F.sort_array(firsts), per_label), back)
 
     def attach(s: Column) -> Column:
         order = let(by_value(s), lambda o: let(running_sum(flags(o, "value")), lambda r: number(o, r)))

@@ -29,7 +29,7 @@ def _greedy(island: Column) -> Column:
     Accepted spans share no position and are kept in text order, so their ends ascend: a binary search finds the first one that
     ends behind a candidate's start, the only one to compare with, and the place to insert at.
     """
-    by_priority = F.array_sort(
+    by_priority = F.sort_array(
         F.transform(
             island,
             lambda c: F.struct(
@@ -81,7 +81,7 @@ def resolved(candidates: Column) -> Column:
         firsts = let(running_max(F.transform(c, lambda x: x["end"])), heads)
         return F.flatten(F.transform(let(firsts, lambda h: split_at(c, h)), _greedy))
 
-    ordered = F.array_sort(F.transform(candidates, _copy))
+    ordered = F.sort_array(F.transform(candidates, _copy))
     return F.when(F.size(candidates) <= 1, candidates).otherwise(let(ordered, islands))
 
 
@@ -90,7 +90,7 @@ def merged(spans: Column) -> Column:
 
     def join(group: Column) -> Column:
         best = F.get(
-            F.array_sort(
+            F.sort_array(
                 F.transform(
                     group, lambda c: F.struct((-c["tier"]).alias("tier"), c["start"].alias("start"), _copy(c).alias("c"))
                 )

@@ -2,9 +2,10 @@
 
 Three steps keep the cost of 221 expressions low:
 
-1. keywords are only looked up in the parts of a text where a rule can match;
+1. keywords of texts with long lines are only looked up in the parts where a rule
+   can match;
 2. only the rules of the keywords that occur are tried, and a rule that stays on
-   one line only on the lines that hold one of its keywords;
+   one line only on the lines that hold one of its keywords, found in one pass a line;
 3. offsets and filters are computed for the matches.
 
 Patterns are constants of the plan: a rule's number picks its expression by halving.
@@ -26,6 +27,9 @@ from veilspark.functions.text import entropy, find_all
 from veilspark.operators.candidates import candidate
 from veilspark.sources.rules import AROUND_VALUE, NAME_REACH, TOKEN_RUN, Catalogue
 
+#: Mean characters of a line up to which the rules of its keywords are tried without a look at their places.
+SHORT_LINE = 128
+
 
 def _hit(rule: Column, m: Column) -> Column:
     """The secret of a match, its position and the whole match."""
@@ -60,11 +64,11 @@ def by_rule(number: Column, cases: dict[int, Column], default: Column | None = N
     return half(known)
 
 
-def rejected(line: Column, rule: Column, hit: Column, rows: list[dict]) -> Column:
-    """True when the entropy, the global list or the rule's own lists drop a hit; ``rows`` are the rules."""
+def rejected(line: Column, number: Column, rule: Column, hit: Column, rows: list[dict]) -> Column:
+    """True when the entropy, the global list or the rule's own lists drop a hit; ``number`` counts in ``rows``."""
     value = hit["value"]
     own: dict[int, Column] = {}
-    for row in rows:
+    for i, row in enumerate(rows):
         tests = [
             F.coalesce(target.rlike(row[f"allow_{name}"]), F.lit(False))
             for name, target in (("secret", value), ("match", hit["match"]), ("line", line))
@@ -73,30 +77,34 @@ def rejected(line: Column, rule: Column, hit: Column, rows: list[dict]) -> Colum
         if row["stopwords"]:
             tests.append(F.lower(value).rlike(keyword_pattern(row["stopwords"])))
         if tests:
-            own[row["seq"]] = reduce(lambda a, b: a | b, tests)
+            own[i] = reduce(lambda a, b: a | b, tests)
     return (
         (value == "")
-        | (by_rule(rule["seq"], own, F.lit(False)) if own else F.lit(False))
+        | (by_rule(number, own, F.lit(False)) if own else F.lit(False))
         | checks.globally_allowed(value)
         | checks.has_global_stopword(value)
         | (rule["entropy"].isNotNull() & (entropy(value) <= rule["entropy"]))
     )
 
 
-def rule_matches(line: Column, rule: Column, rows: list[dict]) -> Column:
-    """All matches of one rule of ``rows`` in one line, with the position of the secret."""
+def rule_matches(line: Column, number: Column, rule: Column, rows: list[dict]) -> Column:
+    """All matches of one rule, number ``number`` of ``rows``, in one line, with the position of the secret."""
+
+    def guarded(row: dict) -> str:
+        # most positions fail at this look, before a group is opened
+        return rf"(?=[{row['begins']}])(?:{row['pattern']})" if row["begins"] else row["pattern"]
 
     def marked(template: Callable[[bool], str]) -> Column:
         return by_rule(
-            rule["seq"],
-            {r["seq"]: F.regexp_replace(line, F.lit(r["pattern"]), F.lit(template(r["branches"] == 2))) for r in rows},
+            number,
+            {i: F.regexp_replace(line, F.lit(guarded(r)), F.lit(template(r["branches"] == 2))) for i, r in enumerate(rows)},
         )
 
     return F.transform(find_all(line, marked, {"prefix": 1, "secret": 2}), lambda m: _hit(rule, m))
 
 
 def numbered_lines(text: Column) -> Column:
-    """``array<struct<start, line, low>>`` of a text."""
+    """``array<struct<start, line>>`` of a text."""
 
     def placed(parts: Column) -> Column:
         ends = running_sum(F.transform(parts, lambda line: F.length(line) + 1))
@@ -105,7 +113,6 @@ def numbered_lines(text: Column) -> Column:
             lambda e, i: F.struct(
                 (e - F.length(F.get(parts, i)) - 1).alias("start"),
                 F.get(parts, i).alias("line"),
-                F.lower(F.get(parts, i)).alias("low"),
             ),
         )
 
@@ -185,49 +192,74 @@ def condensed(text: Column) -> Column:
 
 def rule_candidates(text: Column, catalogue: Catalogue, categories: set[str]) -> Column:
     """Matches of all rules of the categories, after all their filters."""
-    rows = [r for r in catalogue.as_rows() if r["category"] in categories]
+    # rules that stay on one line come first, so a number tells them apart
+    rows = sorted((r for r in catalogue.as_rows() if r["category"] in categories), key=lambda r: r["multiline"])
+    on_line = sum(not r["multiline"] for r in rows)
     table = catalogue.literal(rows)
     words: dict[str, dict[str, list[int]]] = {"named": {}, "tokens": {}, "text": {}}
+    anywhere: dict[str, list[int]] = {}
     for i, row in enumerate(rows):
-        for place in row["keyword_places"]:
-            for word in row["trigger"]:
+        for word in row["trigger"]:
+            anywhere.setdefault(word, []).append(i)
+            for place in row["keyword_places"]:
                 words[place].setdefault(word, []).append(i)
 
-    def present(place: str, source: Column) -> Column:
-        """Numbers of the rules whose keywords occur in a place."""
-        known = sorted(words[place])
+    def numbers(low: Column, rules_of: dict[str, list[int]]) -> Column:
+        """Numbers of the rules whose keywords occur in a text in lower case."""
+        known = sorted(rules_of)
         # the longest keyword at a position brings the rules of the shorter ones along
-        rules = {w: sorted({i for k in known if w.startswith(k) for i in words[place][k]}) for w in known}
+        rules = {w: sorted({i for k in known if w.startswith(k) for i in rules_of[k]}) for w in known}
         entries = F.from_json(F.lit(json.dumps(rules)), "MAP<STRING, ARRAY<INT>>")
-        found = F.array_distinct(F.regexp_extract_all(source[place], F.lit(keyword_pattern(known)), F.lit(1)))
-        return F.when(source[place] != "", F.flatten(F.transform(found, lambda w: F.element_at(entries, w))))
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(keyword_pattern(known)), F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(found, lambda w: F.element_at(entries, w))))
+
+    def worth_trying(source: Column) -> Column:
+        """Numbers of the rules whose keywords occur in their places of a text."""
+        found = [F.when(source[p] != "", numbers(source[p], words[p])) for p in words if words[p]]
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*found))))
+
+    def tries(tried: Column) -> Column:
+        """``array<struct<rule, start, line>>``: the rules of each line and those of the whole text; null tries all."""
+
+        def of_line(x: Column) -> Column:
+            found = numbers(F.lower(x["line"]), anywhere)
+            return F.struct(
+                x["start"].alias("start"),
+                x["line"].alias("line"),
+                F.when(tried.isNull(), found).otherwise(F.array_intersect(found, tried)).alias("rules"),
+            )
 
-    def tried(source: Column) -> Column:
-        numbers = F.flatten(F.array_compact(F.array(*[present(p, source) for p in words if words[p]])))
-        return F.transform(F.array_sort(F.array_distinct(numbers)), lambda i: F.get(table, i))
+        def of_lines(lines: Column) -> Column:
+            def on(i: Column, start: Column, line: Column) -> Column:
+                return F.struct(i.alias("rule"), start.alias("start"), line.alias("line"))
 
-    def hits(rule: Column, lines: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("line"), F.lower(text).alias("low")))
-        worth = F.when(rule["multiline"], whole).otherwise(
-            F.filter(lines, lambda x: F.exists(rule["keywords"], lambda k: F.contains(x["low"], k)))
-        )
-
-        def in_line(x: Column) -> Column:
-            kept = F.filter(rule_matches(x["line"], rule, rows), lambda h: ~rejected(x["line"], rule, h, rows))
-            return F.transform(
-                kept,
-                lambda h: candidate(
-                    h["value"], x["start"] + h["start"], x["start"] + h["end"],
-                    rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
+            single = F.transform(
+                lines,
+                lambda x: F.transform(
+                    F.filter(x["rules"], lambda i: i < on_line), lambda i: on(i, x["start"], x["line"])
                 ),
             )
+            whole = F.filter(F.array_distinct(F.flatten(F.transform(lines, lambda x: x["rules"]))), lambda i: i >= on_line)
+            return F.concat(F.flatten(single), F.transform(whole, lambda i: on(i, F.lit(0), text)))
 
-        return F.flatten(F.array_compact(F.transform(worth, in_line)))
+        found = F.filter(F.transform(numbered_lines(text), of_line), lambda x: F.size(x["rules"]) > 0)
+        return F.when(tried.isNull() | (F.size(tried) > 0), let(found, of_lines))
 
-    def all_hits(rules: Column) -> Column:
-        return F.when(
-            F.size(rules) > 0,
-            let(numbered_lines(text), lambda lines: F.flatten(F.transform(rules, lambda r: hits(r, lines)))),
+    def hits(t: Column) -> Column:
+        # the facts of a rule are only looked up for its matches
+        rule = F.get(table, t["rule"])
+        kept = F.filter(
+            rule_matches(t["line"], t["rule"], rule, rows), lambda h: ~rejected(t["line"], t["rule"], rule, h, rows)
+        )
+        return F.transform(
+            kept,
+            lambda h: candidate(
+                h["value"], t["start"] + h["start"], t["start"] + h["end"],
+                rule["category"], rule["label"], rule["tier"], rule["rule_id"], rule["seq"],
+            ),
         )
 
-    return let(let(condensed(text), tried), all_hits)
+    # lines that are short on average are tried as they are: finding the places would cost more than it saves
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    gated = F.when(F.length(text) > SHORT_LINE * n_lines, let(condensed(text), worth_trying))
+    return F.flatten(F.array_compact(F.transform(let(gated, tries), hits)))
