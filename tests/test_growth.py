@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from samplejobs import derived
 from samplejobs.jobs import QUERIES
+from veilspark.functions import checks
+from veilspark.functions import patterns as P
 from veilspark.functions.arrays import let, running_max, running_sum
-from veilspark.functions.text import ENTROPY_SQL, chunked, searchable, widen
+from veilspark.functions.text import ENTROPY_SQL, chunked, entropy, searchable, widen
 from veilspark.operators import audits, secrets
 from veilspark.operators import candidates as spans
 from veilspark.sources.rules import Catalogue
@@ -122,3 +124,55 @@ def test_running_values_take_as_many_strides_as_the_array_needs(spark):
         assert got[tuple(a)] == ([sum(a[: i + 1]) for i in range(len(a))], [max(a[: i + 1]) for i in range(len(a))])
     shown = df.select(running_sum(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
     assert "bin(" in shown
+
+
+def test_a_bound_value_is_made_once_and_not_copied(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t STRING").repartition(1)
+    twice = let(F.concat("t", F.expr("uuid()")), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    shown = df.select(twice.alias("s"), let(F.col("t"), lambda x: F.coalesce(x, F.lit("none"))).alias("n"))
+    (full, one), (empty, none) = sorted(shown.collect(), key=lambda r: r[1])
+    assert full["a"] == full["b"] != None and (one, none) == ("a", "none") and tuple(empty) == (None, None)  # noqa: E711
+    assert "transform(" not in shown._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entropy_takes_a_run_of_equal_characters_at_once(spark):
+    texts = ["", "a", "aab", "aé\U0001f600\U0001f600", "x y\nz\n" * 40, "0123456789abcdef" * 3, "\U0001f600\U0001f601", "..$$\\\\", None]
+    shown = spark.createDataFrame([(t,) for t in texts], "t STRING").repartition(1).select("t", entropy("t"))
+    assert "replace(" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    for t, bits in shown.collect():
+        if t is None:
+            assert bits is None
+        else:
+            assert bits == pytest.approx(-sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)), abs=1e-12)
+
+
+def test_gates_of_the_checks_let_every_hit_pass(spark):
+    stop = P.GLOBAL_STOPWORDS
+    values = [
+        "true", "TRUEish", "truth", "a false b", "aFALSEb", "is null", "NULL", "null!", "annul", "$1", "${12}", "$HOME", "$home", "${A_B}",
+        "{{ a.b }}", "${{ secrets.KEY }}", "%PATH%", "%path%", "%+d", "%s", "{12}", "{}", "@VAR@", "/Users/me/x y", "/USERS/me/x", "/etc/a b",
+        "/etc", *("".join(c * n for _ in "1") for c in "akKsSxzZ*." for n in (1, 2, 9)), "aab", "aA", "Xx", "", "..x", "*x", "\u212a", "k\u212a",
+        *stop, *(f"x{w.upper()}y" for w in stop), stop[1].replace("k", "\u212a"), stop[1][:-1], stop[0][1:], "9f8e7d6c5b4a", None,
+    ]
+    df = spark.createDataFrame([(v,) for v in values], "v STRING").repartition(1)
+    v = F.col("v")
+    plain = F.lit(False)
+    for pattern in P.GLOBAL_ALLOW:
+        plain = plain | v.rlike(pattern)
+    held = F.contains(F.lower(v), F.lit(stop[0])) | F.contains(F.lower(v), F.lit(stop[1]))
+    rows = df.select("v", checks.globally_allowed(v), plain, checks.has_global_stopword(v), held, v.rlike(P.GLOBAL_ALLOW_GATE)).collect()
+    for value, allowed, listed, stopped, holds, gate in rows:
+        assert (allowed, stopped) == (listed, holds), value
+        assert gate or not listed, value
+    assert {r[0] for r in rows if r[1]} >= {"true", "a false b", "is null", "KK", "{}", "/etc/a b"} and sum(bool(r[3]) for r in rows) == 5
+    assert not any(r[5] for r in rows if r[0] in ("9f8e7d6c5b4a", "truth", "annul", "aab"))
+
+    names = ["key", "monkey", "apiKeys", "my.pwd", "PASS", "compass", "a_pa\u017fs", "title", "privateX", "publicKey", "keyed", "KEYS-x", "", None]
+    segments = F.split(v, P.NAME_SEGMENTS)
+    whole = ~F.upper(v).rlike(P.PUBLIC_NAME) & (
+        F.upper(v).rlike(P.SECRET_NAME) | F.exists(segments, lambda s: F.upper(s).rlike(P.SECRET_SEGMENT))
+    )
+    shown = spark.createDataFrame([(n,) for n in names], "v STRING").repartition(1)
+    assert all(r[0] == r[1] for r in shown.select(checks.is_secret_name(v), whole, F.lit(P.SECRET_SEGMENT_GATE)).collect())
+    gate = re.compile(P.AUTH_GATE)
+    assert all(gate.search(x) for x in ("x BEARER y", "AUTHORIZATION:", "bearer")) and not gate.search("bear author")

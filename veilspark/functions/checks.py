@@ -90,11 +90,12 @@ def is_placeholder(value: Column) -> Column:
 def globally_allowed(value: Column) -> Column:
     """One search for the first pattern, which is not anchored, and one for all others, whose anchor is tested once."""
     first, *anchored = P.GLOBAL_ALLOW
-    return value.rlike(first) | value.rlike(r"\A(?:" + "|".join(f"(?:{p.replace(r'\A', '', 1)})" for p in anchored) + ")")
+    others = r"\A(?:" + "|".join(f"(?:{p.replace(r'\A', '', 1)})" for p in anchored) + ")"
+    return value.rlike(P.GLOBAL_ALLOW_GATE) & (value.rlike(first) | value.rlike(others))
 
 
 def has_global_stopword(value: Column) -> Column:
-    return contains_any(value, P.GLOBAL_STOPWORDS)
+    return value.rlike(P.GLOBAL_STOPWORD_GATE) & contains_any(value, P.GLOBAL_STOPWORDS)
 
 
 def is_secret_name(key: Column) -> Column:
@@ -103,7 +104,7 @@ def is_secret_name(key: Column) -> Column:
     segments = F.split(key, P.NAME_SEGMENTS)
     return ~upper.rlike(P.PUBLIC_NAME) & (
         upper.rlike(P.SECRET_NAME)
-        | F.exists(segments, lambda s: F.upper(s).rlike(P.SECRET_SEGMENT))
+        | (upper.rlike(P.SECRET_SEGMENT_GATE) & F.exists(segments, lambda s: F.upper(s).rlike(P.SECRET_SEGMENT)))
     )
 
 
