@@ -11,8 +11,8 @@ from samplejobs.jobs import QUERIES
 from veilspark.functions import checks
 from veilspark.functions import patterns as P
 from veilspark.functions.arrays import let, running_max, running_sum
-from veilspark.functions.text import ENTROPY_SQL, chunked, searchable, widen
-from veilspark.operators import audits, secrets
+from veilspark.functions.text import ENTROPY_SQL, chunked, cut, searchable, widen
+from veilspark.operators import audits, resolve, secrets
 from veilspark.operators import candidates as spans
 from veilspark.sources.rules import Catalogue
 
@@ -165,3 +165,48 @@ def test_gates_of_the_checks_let_every_hit_pass(spark):
     assert all(r[0] == r[1] for r in shown.select(checks.is_secret_name(v), whole, F.lit(P.SECRET_SEGMENT_GATE)).collect())
     gate = re.compile(P.AUTH_GATE)
     assert all(gate.search(x) for x in ("x BEARER y", "AUTHORIZATION:", "bearer")) and not gate.search("bear author")
+
+
+def test_a_cut_takes_one_chunk_or_two_without_a_slice(spark, monkeypatch):
+    text = "".join(chr(97 + i % 26) if i % 9 else "é" for i in range(400))
+    at = [(a, b) for a in (0, 1, 127, 128, 255, 256, 383, 384, 399, 400) for b in (0, 1, 127, 128, 129, 256, 300, 400) if a <= b]
+    df = spark.createDataFrame([(text, a, b) for a, b in at], "t STRING, a INT, b INT").repartition(1)
+    for n in (400, 384):
+        short = df.withColumn("t", F.substr("t", F.lit(1), F.lit(n))).where(f"b <= {n}")
+        rows = short.select("a", "b", cut(chunked(F.col("t")), F.col("a"), F.col("b"))).collect()
+        assert len(rows) > 20 and all(got == text[a:b] for a, b, got in rows)
+    none = df.limit(1).select(cut(chunked(F.lit(None).cast("string")), F.col("a"), F.col("b"))).collect()
+    assert none[0][0] is None
+    monkeypatch.setattr(F, "slice", lambda *_: F.array(never()))
+    near = df.where("a div 128 = greatest(b - 1, a) div 128 or a div 128 + 1 = greatest(b - 1, a) div 128").where("a < 400")
+    rows = near.select("a", "b", cut(chunked(F.col("t")), F.col("a"), F.col("b"))).collect()
+    assert len(rows) > 20 and all(got == text[a:b] for a, b, got in rows)
+
+
+def test_spans_in_order_and_apart_are_not_sorted_again(spark, monkeypatch):
+    fields = "array<struct<start:int,end:int,category:string,label:string,tier:int,rule:string,seq:int>>"
+
+    def rows(spans):
+        one = [(a, b, "email", "EMAIL", 2, "email", 1003) for a, b in spans]
+        df = spark.createDataFrame([(one,), (None,)], f"c {fields}").repartition(1)
+        both = df.select(let(resolve.resolved(F.col("c")), resolve.merged)).collect()
+        return sorted(([(s["start"], s["end"]) for s in r[0]] if r[0] is not None else [(-1, -1)]) for r in both)[1]
+
+    assert rows([(5, 9), (0, 3)]) == [(0, 3), (5, 9)]
+    assert rows([(0, 3), (3, 9), (12, 14)]) == [(0, 9), (12, 14)]
+    assert rows([(0, 6), (4, 12), (20, 21)]) == [(4, 12), (20, 21)]
+    monkeypatch.setattr(resolve, "_greedy", lambda _: F.array(F.raise_error(F.lit("not needed"))).cast(fields))
+    assert rows([(0, 3), (4, 9), (9, 10)]) == [(0, 3), (4, 10)] and rows([(2, 3)]) == [(2, 3)]
+    with pytest.raises(Exception, match="not needed"):
+        rows([(5, 9), (0, 3)])
+
+
+def test_documents_that_grow_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "TEXTS_PER_TASK", 8)
+    rows = [(i // 2, f"user{i % 3}@mail.example.com and text {i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["doc_top_findings"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 20
+    # 231 addresses, the first of the list twice: 230 and the text's own one, 200 of them listed
+    assert found.count() == 40 * 200 and {r[0] for r in found.select("n_more").distinct().collect()} == {31}
+    assert found.where("placeholder = 'EMAIL_2' AND preview = 'box1@many.example.org' AND n_hits = 2 AND place = 2").count() == 40

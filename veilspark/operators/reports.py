@@ -133,22 +133,26 @@ def values_of(spans: Column) -> Column:
     Two sorts, so n log n in the number of spans. No spans give an empty array.
     """
     fields = ("category", "placeholder", "rule", "value")
-    ordered = F.array_sort(
-        F.transform(
-            spans,
-            lambda x, i: F.struct(x["placeholder"].alias("name"), i.alias("at"), *[x[f].alias(f) for f in fields]),
-        )
+    # only names and places are sorted: what a sort holds is copied
+    ordered = F.sort_array(
+        F.transform(spans, lambda x, i: F.struct(x["placeholder"].alias("name"), i.alias("at")))
     )
 
     def counted_runs(o: Column) -> Column:
         heads = positions(o, lambda i: (i == 0) | (F.get(o, i - 1)["name"] != F.get(o, i)["name"]))
 
         def one(h: Column, run: Column, begins: Column) -> Column:
-            first = F.get(o, h)
             hits = F.coalesce(F.get(begins, run + 1), F.size(o)) - h
-            return F.struct(first["at"].alias("at"), *[first[f].alias(f) for f in fields], hits.alias("n_hits"))
+            return F.struct(F.get(o, h)["at"].alias("at"), hits.alias("n_hits"))
+
+        def told(x: Column) -> Column:
+            return let(
+                F.get(spans, x["at"]),
+                lambda first: F.struct(x["at"].alias("at"), *[first[f].alias(f) for f in fields], x["n_hits"].alias("n_hits")),
+            )
 
-        return let(heads, lambda begins: F.array_sort(F.transform(begins, lambda h, run: one(h, run, begins))))
+        uses = let(heads, lambda begins: F.sort_array(F.transform(begins, lambda h, run: one(h, run, begins))))
+        return F.transform(uses, told)
 
     none = "ARRAY<STRUCT<at INT, category STRING, placeholder STRING, rule STRING, value STRING, n_hits INT>>"
     return F.when(F.size(spans) > 0, let(ordered, counted_runs)).otherwise(F.array().cast(none))

@@ -9,7 +9,7 @@ Priority: higher tier, then longer, then earlier, then the detector order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,13 @@ def _copy(c: Column) -> Column:
     return F.struct(*[c[f].alias(f) for f in _FIELDS])
 
 
+def _apart(spans: Column, holds: Callable[[Column, Column], Column]) -> Column:
+    """True when ``holds(end, start)`` for the end of every span and the start of the next one in the array."""
+    further = F.greatest(F.size(spans) - 1, F.lit(0))
+    ends, starts = F.slice(spans["end"], F.lit(1), further), F.slice(spans["start"], F.lit(2), further)
+    return (F.size(spans) <= 1) | F.forall(F.zip_with(ends, starts, holds), lambda x: x)
+
+
 def _greedy(island: Column) -> Column:
     """Accept by priority whatever does not touch an accepted position.
 
@@ -81,8 +88,9 @@ def resolved(candidates: Column) -> Column:
         firsts = let(running_max(F.transform(c, lambda x: x["end"])), heads)
         return F.flatten(F.transform(let(firsts, lambda h: split_at(c, h)), _greedy))
 
+    # what one detector finds is in order and apart, mostly: one look tells, and nothing is sorted
     ordered = F.sort_array(F.transform(candidates, _copy))
-    return F.when(F.size(candidates) <= 1, candidates).otherwise(let(ordered, islands))
+    return F.when(_apart(candidates, lambda end, start: end <= start), candidates).otherwise(let(ordered, islands))
 
 
 def merged(spans: Column) -> Column:
@@ -113,7 +121,7 @@ def merged(spans: Column) -> Column:
         )
         return F.transform(let(heads, lambda h: split_at(s, h)), join)
 
-    return F.when(F.size(spans) <= 1, spans).otherwise(let(spans, groups))
+    return let(spans, lambda s: F.when(_apart(s, lambda end, start: end != start), s).otherwise(groups(s)))
 
 
 # ---- table form ----
